@@ -11,8 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import pieces, texts
+from tidelog.llm.common import extended, pieces, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
 CACHE_WORDS, QUERY_ROWS = 200_000, 2_500_000
@@ -231,7 +232,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, values)], [*keep, "ids"])
 
-    return kept.mapInArrow(work, kept.drop("__text").schema.add("ids", "array<int>"))
+    return kept.mapInArrow(work, extended(kept.drop("__text"), ids=T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -258,4 +259,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, got], [*names, "decoded"])
                 start = stop
 
-    return kept.mapInArrow(work, kept.schema.add("decoded", "binary"))
+    return kept.mapInArrow(work, extended(kept, decoded=T.BinaryType()))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +48,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
 
 
+def extended(df: DataFrame, **fields: T.DataType) -> T.StructType:
+    """The schema of ``df`` and further fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in fields.items())])
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, utf8
+from tidelog.llm.common import durable, extended, utf8
 from tidelog.llm.components import connected_components
 
 
@@ -45,8 +46,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             got = pa.array([fingerprint(x, width) for x in utf8(batch.column("__text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*keep, "fp"])
 
-    schema = kept.drop("__text").schema.add("fp", "long")
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(work, extended(kept.drop("__text"), fp=T.LongType()))
 
 
 def _kept_bits(blocks: int, kept: tuple[int, ...]) -> int:

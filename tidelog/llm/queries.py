@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, simhash
+from tidelog.llm import bpe, decontaminate, langid, simhash
 from tidelog.llm.common import documents
 
 
@@ -20,6 +20,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.train(docs.where(~out))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -36,7 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op7_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op3_language_id, op7_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

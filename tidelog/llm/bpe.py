@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,31 @@ LONG_WORD = 512
 #: Bytes of text, and tokens, that are held at a time.
 TEXT_BYTES, DECODE_TOKENS = 6 << 20, 400_000
 
-#: One row per token of a word: word, position, token, position of the next token. Each
-#: round joins neighbours to the merge table, and contracts every word's leftmost pair of
-#: least rank; a word without a pair ends.
+#: One row per token of a word: word, position, position of the next token, token, next token,
+#: and the rank that the merge table gives for the two. Each round contracts every word's
+#: leftmost pair of least rank and joins the pairs that changed to the merge table; a word
+#: without a pair ends. Positions take 10 bits of ``best``.
 SHORT_SQL = """
-WITH RECURSIVE step(w, p, t, n, i) AS (
-  SELECT w, p, t, n, 0::INTEGER FROM tok
+WITH RECURSIVE step(w, p, n, t, u, r, i) AS (
+  SELECT w, p, n, t, u, m, 0::SMALLINT
+  FROM tok LEFT JOIN merges ON ab = ((t::BIGINT << 32) | u)
   UNION ALL
-  SELECT s.w, s.p,
-         CASE WHEN s.p = b.best & 65535 THEN (b.best >> 16)::INTEGER ELSE s.t END,
-         CASE WHEN s.p = b.best & 65535 THEN b.after ELSE s.n END,
-         s.i + 1
-  FROM step s JOIN (
-    SELECT a.w, min((m.m::BIGINT << 16) | a.p) AS best,
-           arg_min(c.n, (m.m::BIGINT << 16) | a.p) AS after,
-           arg_min(c.p, (m.m::BIGINT << 16) | a.p) AS gone
-    FROM step a JOIN step c ON c.w = a.w AND c.p = a.n
-    JOIN merges m ON m.ab = ((a.t::BIGINT << 32) | c.t)
-    GROUP BY a.w) b ON b.w = s.w
-  WHERE s.p <> b.gone
+  SELECT x.w, x.p, x.n, x.t, x.u, CASE WHEN x.k IS NULL THEN x.r ELSE m.m END, x.i + 1::SMALLINT
+  FROM (
+    SELECT s.w, s.p, s.i, s.r,
+           CASE WHEN s.p = g.p THEN g.after ELSE s.n END AS n,
+           CASE WHEN s.p = g.p THEN g.m ELSE s.t END AS t,
+           CASE WHEN s.p = g.p THEN g.u WHEN s.n = g.p THEN g.m ELSE s.u END AS u,
+           CASE WHEN s.p = g.p THEN (g.m::BIGINT << 32) | g.u
+                WHEN s.n = g.p THEN (s.t::BIGINT << 32) | g.m END AS k
+    FROM step s JOIN (
+      SELECT b.w, (b.best >> 20)::INTEGER AS m, ((b.best >> 10) & 1023)::SMALLINT AS p,
+             c.p AS gone, c.n AS after, c.u
+      FROM (SELECT w, min((r::BIGINT << 20) | (p::BIGINT << 10) | n) AS best
+            FROM step WHERE r IS NOT NULL GROUP BY w) b
+      JOIN step c ON c.w = b.w AND c.p = (b.best & 1023)) g ON g.w = s.w
+    WHERE s.p <> g.gone) x
+  LEFT JOIN merges m ON m.ab = x.k
 ), last AS (SELECT w, max(i) AS i FROM step GROUP BY w)
 SELECT w, list(t ORDER BY p) AS ids FROM step JOIN last USING (w, i) GROUP BY w ORDER BY w
 """
@@ -121,8 +128,12 @@ class Encoder:
         lengths = np.array([len(x) for x in words])
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        p = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.con.register("tok", pa.table({"w": w, "p": p, "t": self.byte[flat], "n": p + 1}))
+        p = np.arange(len(flat), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
+        t = self.byte[flat]
+        u = np.append(t[1:], -1).astype(np.int32)
+        u[np.cumsum(lengths) - 1] = -1  # none: no pair of the merge table has it
+        short = np.int16 if query is SHORT_SQL else np.int32
+        self.con.register("tok", pa.table({"w": w, "p": p.astype(short), "n": (p + 1).astype(short), "t": t, "u": u}))
         ids = self.con.sql(query).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("tok")
         values, offsets = np.asarray(ids.values).astype("<i4"), ids.offsets.to_pylist()
@@ -163,13 +174,21 @@ class Encoder:
         rows = [x.split(" ") for x in docs]
         found: dict[str, list[str]] = {}
         unsafe: set[str] = set()
-        for row in rows:
-            for x in row[1:]:
-                if x not in self.spaced and x not in found:
-                    if not x or x[0].isspace() or x[-1].isspace():
-                        unsafe.add(x)
-                    else:
-                        found[x] = self.split(" " + x)
+        fresh_parts = []
+        for x in set(chain.from_iterable(rows)):
+            if x not in self.spaced:
+                if not x or x[0].isspace() or x[-1].isspace():
+                    unsafe.add(x)
+                else:
+                    fresh_parts.append(x)
+        if fresh_parts:  # one split for all: the words that begin with a space begin a part
+            at = -1
+            for word in self.split(" " + " ".join(fresh_parts)):
+                if word[0] == " ":
+                    at += 1
+                    found[fresh_parts[at]] = part = [word]
+                else:
+                    part.append(word)
         whole, heads = {}, {}
         for i, row in enumerate(rows):
             if len(row) == 1 or not row[0] or row[0][-1].isspace() or not unsafe.isdisjoint(row):
@@ -226,6 +245,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         if (ranks_path, pattern) not in _ENCODERS:
             _ENCODERS[ranks_path, pattern] = Encoder(read_ranks(ranks_path), pattern)
         encoder = _ENCODERS[ranks_path, pattern]
+        gc.disable()  # nothing here makes cycles, and its passes over the many small lists cost a tenth
         for batch in pieces(batches, "__text", TEXT_BYTES):
             rows = encoder.encode(texts(batch.column("__text")))
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int32)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash
+from tidelog.llm import bpe, decontaminate, langid, simhash, urlfilter
 from tidelog.llm.common import documents
 
 
@@ -20,6 +20,42 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Host, path and verdict of the listed URL prefixes.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+OP2_SQL = """
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0
+              THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(rest, length(split_part(rest, '/', 1)) + 1) AS path
+  FROM u
+), r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                           ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+b AS (
+  SELECT page_id, host, path, rh || rp AS rule, v,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC) AS k
+  FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM b WHERE k = 1
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     out = langid.held_out(F.col("doc_id"), 4, 2)
@@ -45,8 +81,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_language_id, op7_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op7_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash, urlfilter
+from tidelog.llm import bpe, decontaminate, langid, simhash, toxicity, urlfilter
 from tidelog.llm.common import documents
 
 
@@ -65,6 +65,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    out = langid.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~out))
+    p = F.col("toxic_score")
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -81,7 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op7_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op6_toxicity, op7_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 from tidelog.llm.common import extended, pieces, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, QUERY_ROWS = 200_000, 2_500_000
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 120_000, 2_500_000
 #: Words above this many bytes go through the query that contracts all equal pairs at once.
 LONG_WORD = 512
 #: Bytes of text, and tokens, that are held at a time.
-TEXT_BYTES, DECODE_TOKENS = 6 << 20, 400_000
+TEXT_BYTES, DECODE_TOKENS = 9 << 20, 400_000
 
 #: One row per token of a word: word, position, position of the next token, token, next token,
 #: and the rank that the merge table gives for the two. Each round contracts every word's
@@ -198,7 +198,7 @@ class Encoder:
         fresh = self._fresh({w for group in (found, whole, heads) for ws in group.values() for w in ws})
         ids = (self.words | fresh).__getitem__
         spaced = {x: b"".join(map(ids, ws)) for x, ws in found.items()}
-        self.spaced.update(islice(spaced.items(), max(0, CACHE_WORDS - len(self.spaced))))
+        self.spaced.update(islice(spaced.items(), max(0, CACHE_PARTS - len(self.spaced))))
         get = (self.spaced | spaced).__getitem__
         return [
             b"".join(map(ids, whole[i])) if i in whole else b"".join([*map(ids, heads[i]), *map(get, row[1:])])

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, secrets, simhash, toxicity, urlfilter
-from tidelog.llm.common import documents
+from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, toxicity, urlfilter
+from tidelog.llm.common import documents, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = stored(media.to_media(documents(spark, sf_dir, "doc_id", "text")), "media")
+    return media.features(images).select(
+        "doc_id",
+        "n_bytes",
+        F.col("samples").alias("payload_bytes"),
+        F.col("samples_sha256").alias("payload_sha256"),
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(":", "height", "width", "dhash", F.sha2("tile", 256)).alias("feature"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -104,7 +118,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,7 +269,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         if ranks_path not in _DECODERS:
             _DECODERS[ranks_path] = Decoder(read_ranks(ranks_path))
         for batch in batches:
-            lengths = np.asarray(pa.compute.list_value_length(batch.column(ids)).fill_null(0)).astype(np.int64)
+            lengths = np.asarray(pc.list_value_length(batch.column(ids)).fill_null(0)).astype(np.int64)
             ends, start = np.cumsum(lengths), 0
             while start < len(lengths):
                 base = ends[start - 1] if start else 0

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = pa.compute.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
+        ends = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()
         start = size = 0
         for i, n in enumerate(ends):
             if size and size + n > limit:

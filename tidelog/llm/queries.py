@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, toxicity, urlfilter
+from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, tokenfiles, toxicity, urlfilter
 from tidelog.llm.common import documents, stored
 
 
@@ -80,6 +80,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfiles.read(tokenfiles.write(documents(spark, sf_dir, "doc_id", "text"), path, end_id=2))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     out = langid.held_out(F.col("doc_id"), 5, 0)
@@ -118,7 +123,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

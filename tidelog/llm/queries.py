@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, tokenfiles, toxicity, urlfilter
+from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, tokenfiles, toxicity, urlfilter, warc
 from tidelog.llm.common import documents, stored
 
 
@@ -111,6 +111,90 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """A crawl log of ``pages``, as WARC text: each page's response, and 7,001 ticks on a revisit.
+
+    A response is captured at 10 times page_id. Every third revisit has no entity tag, every
+    fifth one that has changed meanwhile, every seventh neither validator.
+    """
+    n, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    response = warc.format_record(
+        F.lit("response"),
+        F.concat(F.lit("r"), n),
+        F.col("url"),
+        n * 10,
+        [("ETag", tag), ("Last-Modified", n * 10), ("Date", n * 10), ("Content-Type", F.lit("text/html"))],
+        F.col("html"),
+    )
+    later = F.when(n % 5 == 0, F.concat(F.lit('"new-'), n, F.lit('"'))).otherwise(F.concat(F.lit("W/"), tag))
+    revisit = warc.format_record(
+        F.lit("revisit"),
+        F.concat(F.lit("v"), n),
+        F.col("url"),
+        n * 10 + 7001,
+        [
+            ("ETag", F.when((n % 3 != 0) & (n % 7 != 0), later)),
+            ("Last-Modified", F.when(n % 7 != 0, n * 10)),
+            ("Date", n * 10 + 7001),
+            ("Content-Type", F.lit("text/plain")),
+        ],
+        F.lit(None).cast("string"),
+    )
+    return pages.select(F.explode(F.array(response, revisit)).alias("warc"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.parse_records(crawl_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    header = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return warc.resolve(records).withColumn("headers", F.array_join(header, ";"))
+
+
+OP9_SQL = """
+WITH u AS (
+  SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, md5(coalesce(html, '')) AS pm,
+         split_part(substr(url, strpos(url, '://') + 3), '#', 1) AS rest, strpos(url, '://') > 0 AS ok
+  FROM pages
+), c AS (
+  SELECT *, split_part(rest, '?', 1) AS base, split_part(split_part(rest, '?', 1), '/', 1) AS host FROM u
+), k AS (
+  SELECT *, list_sort([x FOR x IN string_split(substr(rest, length(base) + 2), '&')
+              IF x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('ref', 'fbclid', 'gclid')]) AS q FROM c
+), p AS (
+  SELECT page_id, tag, pm,
+         CASE WHEN ok THEN regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '')
+              || regexp_replace(substr(base, length(host) + 1), '/+$', '')
+              || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS cu
+  FROM k
+), v AS (
+  SELECT p.page_id, p.cu, p.page_id * 10 + 7001 AS t,
+         CASE WHEN p.page_id % 3 <> 0 AND p.page_id % 7 <> 0
+              THEN CASE WHEN p.page_id % 5 = 0 THEN '"new-' || p.page_id || '"' ELSE p.tag END END AS tag,
+         CASE WHEN p.page_id % 7 <> 0 THEN p.page_id * 10 END AS lm,
+         CASE WHEN p.page_id % 5 = 0 THEN '' ELSE 'W/' END AS weak,
+         r.page_id AS rid, r.tag AS rtag, r.pm AS rpm,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY r.page_id DESC NULLS LAST) AS n
+  FROM p LEFT JOIN p r ON r.cu = p.cu AND r.page_id * 10 < p.page_id * 10 + 7001
+), w AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'orphan'
+                 WHEN tag IS NOT NULL THEN CASE WHEN tag = rtag THEN 'resolved' ELSE 'changed' END
+                 WHEN lm IS NOT NULL THEN CASE WHEN lm = rid * 10 THEN 'resolved' ELSE 'changed' END
+                 ELSE 'unverified' END AS status
+  FROM v WHERE n = 1
+)
+SELECT 'r' || page_id AS record_id, cu AS canonical_url, 'response' AS kind, page_id * 10 AS captured,
+       'r' || page_id AS response_id, 'full' AS status,
+       'content-type=text/html;date=' || page_id * 10 || ';etag=' || tag || ';last-modified=' || page_id * 10 AS headers, pm AS payload_md5
+FROM p
+UNION ALL
+SELECT 'v' || page_id, cu, 'revisit', t, CASE WHEN status IN ('resolved', 'unverified') THEN 'r' || rid END, status,
+       CASE WHEN status IN ('resolved', 'unverified')
+            THEN 'content-type=text/html;date=' || t || ';etag=' || coalesce(weak || tag, rtag) || ';last-modified=' || rid * 10
+            ELSE 'content-type=text/plain;date=' || t || coalesce(';etag=' || weak || tag, '') || coalesce(';last-modified=' || lm, '') END,
+       CASE WHEN status IN ('resolved', 'unverified') THEN rpm END
+FROM w
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -123,8 +207,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op9_warc_revisits": OP9_SQL}

@@ -149,7 +149,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(records).withColumn("headers", F.array_join(header, ";"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, md5(coalesce(html, '')) AS pm,
          split_part(substr(url, strpos(url, '://') + 3), '#', 1) AS rest, strpos(url, '://') > 0 AS ok

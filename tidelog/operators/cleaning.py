@@ -28,12 +28,14 @@ def valid_id(c: Column) -> Column:
 
 def parse_hour(c: Column) -> Column:
     """A timestamp of exactly ``yyyy-MM-dd HH``, else null; years outside 1678 to 2261 are null too."""
-    time = F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}\z"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH")).cast("timestamp_ntz"))
-    return F.when(F.year(time).between(1678, 2261), time)
+    hour = c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}\z")
+    time = F.when(hour, F.concat(c, F.lit(":00:00")).try_cast("timestamp_ntz"))  # much faster than a format
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in ("1678-01-01 00:00:00", "2261-12-31 23:00:00"))
+    return F.when(time.between(first, last), time)
 
 
 def analyse(raw: DataFrame, allowed_start: str | None = None, allowed_end: str | None = None) -> DataFrame:
-    """``raw`` with stripped fields ``s_*``, masks, ``parsed_time`` and ``removal_reason`` (null: base valid).
+    """``raw`` with stripped fields ``s_*``, masks, ``parsed_time``, ``removal_reason`` (null: base valid) and ``base_valid``.
 
     Masks overlap; the reason is the first that holds. Bounds are inclusive ``yyyy-MM-dd HH``.
     """
@@ -73,13 +75,20 @@ def analyse(raw: DataFrame, allowed_start: str | None = None, allowed_end: str |
     reason = F.lit(None).cast("string")
     for name, mask in reversed(list(zip(REASONS, ("missing_any", "bad_behavior", "bad_id_any", "bad_time", "out_of_range")))):
         reason = F.when(F.col(mask), name).otherwise(reason)
-    return df.withColumn("removal_reason", reason)
+    # the same as "no reason", but short: as a filter it is pushed down with all that it is made of
+    valid = s["behavior_type"].isin(*map(str, BEHAVIORS))
+    for c in IDS:
+        valid = valid & valid_id(s[c])
+    valid = valid & F.col("parsed_time").isNotNull()
+    if bounds:
+        valid = valid & ~F.col("out_of_range")
+    return df.withColumns({"removal_reason": reason, "base_valid": valid})
 
 
 def clean(analysed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base-valid rows of ``analyse`` in the clean schema, then ``keep`` columns."""
     code, time = F.col("s_behavior_type").cast("int"), F.col("parsed_time")
-    return analysed.where(F.col("removal_reason").isNull()).select(
+    return analysed.where("base_valid").select(
         time.alias("time"),
         F.col("s_user_id").try_cast("bigint").alias("user_id"),
         F.col("s_item_id").try_cast("bigint").alias("item_id"),

@@ -44,7 +44,8 @@ def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
     """A clean log as CSV, cast to the clean schema; a value of the wrong type fails the read."""
     names = CLEAN.fieldNames()
     require_header(spark, path, names)
-    return spark.read.schema(CLEAN).csv(path, header=True, enforceSchema=False, mode="FAILFAST", timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    options = {"header": True, "enforceSchema": False, "mode": "FAILFAST", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    return spark.read.schema(CLEAN).options(**options).csv(path)
 
 
 def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None, start=None, end=None) -> DataFrame:

@@ -95,7 +95,7 @@ def clean(analysed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.col("s_item_category").try_cast("bigint").alias("category_id"),
         code.alias("behavior_type"),
         behaviour_name(code).alias("behavior_name"),
-        F.date_format(time, "yyyy-MM-dd").alias("behavior_date"),
+        time.cast("date").cast("string").alias("behavior_date"),
         F.hour(time).alias("behavior_hour"),
         F.weekday(time).alias("weekday"),
         *keep,

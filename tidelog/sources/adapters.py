@@ -23,7 +23,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
-        F.date_format("ts", "yyyy-MM-dd HH").alias("time"),
+        F.substring(F.col("ts").cast("timestamp_ntz").cast("string"), 1, 13).alias("time"),
         F.col("user_id").cast("string").alias("user_id"),
         item.alias("item_id"),
         (1 + (item.cast("long") + F.col("event_id") % 3) % 10).cast("string").alias("item_category"),
@@ -67,7 +67,7 @@ def clean_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(
         "*",
         F.element_at(F.array(*map(F.lit, ("pv", "fav", "cart", "buy"))), F.col("behavior_type")).alias("behavior_name"),
-        F.date_format("time", "yyyy-MM-dd").alias("behavior_date"),
+        F.col("time").cast("date").cast("string").alias("behavior_date"),
         F.hour("time").alias("behavior_hour"),
         F.weekday("time").alias("weekday"),
     )

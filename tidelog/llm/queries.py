@@ -117,7 +117,8 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     A response is captured at 10 times page_id. Every third revisit has no entity tag, every
     fifth one that has changed meanwhile, every seventh neither validator.
     """
-    n, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    pages = pages.withColumn("tag", F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"')))
+    n, tag = F.col("page_id"), F.col("tag")
     response = warc.format_record(
         F.lit("response"),
         F.concat(F.lit("r"), n),

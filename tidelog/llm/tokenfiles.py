@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidelog.llm.common import pieces, stored, texts
 
 #: Bits of a code chunk, bits between entries of a rank directory, tokens of a file row, parts of texts kept.
-CHUNK_BITS, RANK_STEP, SHARD_TOKENS, CACHE_PARTS = 8, 512, 1 << 20, 250_000
+CHUNK_BITS, RANK_STEP, SHARD_TOKENS, CACHE_PARTS = 8, 512, 1 << 20, 1_000_000
 TEXT_BYTES = 6 << 20
 _MAGIC = b"DAC1"
 _SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -114,15 +114,16 @@ class Tokenizer:
     def encode(self, docs: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
         rows = [_SPACE.split(x) for x in docs]
-        unseen = [x for x in set().union(*rows) if x not in self.parts]
+        look = {x: self.parts.get(x) for x in set().union(*rows)}
+        unseen = [x for x, ids in look.items() if ids is None]
         fresh: dict[str, bytes] = {}
         for k in range(0, len(unseen), 4096):
             part = unseen[k : k + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 fresh[x] = np.array(e.ids, dtype="<u4").tobytes()
         self.parts.update(islice(fresh.items(), max(0, CACHE_PARTS - len(self.parts))))
-        get = (self.parts | fresh).__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+        look.update(fresh)
+        return [b"".join(map(look.__getitem__, row)) for row in rows]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import durable
+
 #: Header fields that a not-modified response may update (fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that a canonical URL drops: by start and by name.
@@ -42,17 +44,17 @@ def _lines(fields: list[tuple[str, Column]]) -> Column:
 def format_record(kind: Column, record_id: Column, url: Column, date: Column, http: list[tuple[str, Column]], payload: Column) -> Column:
     """A WARC/1.1 record as text. ``http`` are header fields of the response; null ones are left out."""
     status = F.when(kind == "revisit", "HTTP/1.1 304 Not Modified").otherwise("HTTP/1.1 200 OK")
-    block = F.concat(status, F.lit(_END), _lines(http), F.lit(_END), F.coalesce(payload, F.lit("")))
+    top, body = F.concat(status, F.lit(_END), _lines(http), F.lit(_END)), F.coalesce(payload, F.lit(""))
     head = _lines(
         [
             ("WARC-Type", kind),
             ("WARC-Record-ID", record_id),
             ("WARC-Target-URI", url),
             ("WARC-Date", date),
-            ("Content-Length", F.octet_length(block)),
+            ("Content-Length", F.octet_length(top) + F.octet_length(body)),
         ]
     )
-    return F.concat(F.lit("WARC/1.1" + _END), head, F.lit(_END), block, F.lit(_END + _END))
+    return F.concat(F.lit("WARC/1.1" + _END), head, F.lit(_END), top, body, F.lit(_END + _END))
 
 
 def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
@@ -62,18 +64,17 @@ def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
     WARC record are left out.
     """
     parts = F.split(F.col(warc), "\r\n\r\n", 3)
-    fields = lambda x: F.map_from_entries(
-        F.map_entries(
-            F.aggregate(
-                F.filter(F.split(x, "\r\n"), lambda y: F.instr(y, ": ") > 0),
-                F.expr("cast(map() AS map<string, string>)"),
-                lambda m, y: F.map_concat(
-                    F.map_filter(m, lambda k, _: k != F.lower(F.substring_index(y, ": ", 1))),
-                    F.create_map(F.lower(F.substring_index(y, ": ", 1)), F.substr(y, F.instr(y, ": ") + 2, F.length(y))),
-                ),
-            )
+
+    def fields(block: Column) -> Column:
+        pairs = F.transform(
+            F.filter(F.split(block, "\r\n"), lambda y: F.instr(y, ": ") > 0),
+            lambda y: F.struct(
+                F.lower(F.substring_index(y, ": ", 1)).alias("k"), F.substr(y, F.instr(y, ": ") + 2, F.length(y)).alias("v")
+            ),
         )
-    )
+        last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(last)
+
     return (
         records.where(F.col(warc).startswith("WARC/"))
         .select(fields(F.get(parts, F.lit(0))).alias("w"), fields(F.get(parts, F.lit(1))).alias("headers"), F.get(parts, F.lit(2)).alias("body"))
@@ -115,6 +116,7 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         "headers",
         F.when(F.col("kind") == "response", F.md5(F.coalesce("payload", F.lit("")).cast("binary"))).alias("payload_md5"),
     )
+    rows = durable(rows)  # payloads are read once; what goes on is small
     steps = [i / buckets for i in range(1, buckets)]
     bounds = rows.agg(F.percentile_approx("captured", steps, 1000)).first()[0] or []
     bucket = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b <= F.col("captured")))

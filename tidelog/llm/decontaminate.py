@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,12 +131,12 @@ def contaminated(
     windows = _windows(base, "h", ["doc_id"], masks, window)
     known = bitmap.scalar()
 
-    def may_hit(seed: Column) -> Column:
-        word = F.get(known, F.shiftright(seed.bitwiseAND(bits - 1), 6).cast("int"))
-        return F.bit_get(word, seed.bitwiseAND(63).cast("int")) == 1
-
-    likely = reduce(or_, (may_hit(F.col(f"seed{m}")) for m in range(len(masks))))
-    hits = _by_seed(windows.where(likely), len(masks)).join(seeds, "seed")
+    # The test stands behind the explode, on ``seed`` itself: in front of it, it would be pushed
+    # down with the hash of every mask written out twice, and these made anew for each use.
+    seed = F.col("seed")
+    word = F.get(known, F.shiftright(seed.bitwiseAND(bits - 1), 6).cast("int"))
+    likely = F.bit_get(word, seed.bitwiseAND(63).cast("int")) == 1
+    hits = _by_seed(windows, len(masks)).where(likely).join(seeds, "seed")
 
     # All windows of the item that hold the hit's words: bit j of ``agree`` says whether the words
     # at ``lowest`` + j agree, so each window is a count of bits.

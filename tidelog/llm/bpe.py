@@ -173,7 +173,6 @@ class Encoder:
         split whole.
         """
         rows = [x.split(" ") for x in docs]
-        found: dict[str, list[str]] = {}
         unsafe: set[str] = set()
         fresh_parts = []
         for x in set(chain.from_iterable(rows)):
@@ -182,23 +181,21 @@ class Encoder:
                     unsafe.add(x)
                 else:
                     fresh_parts.append(x)
-        if fresh_parts:  # one split for all: the words that begin with a space begin a part
-            at = -1
-            for word in self.split(" " + " ".join(fresh_parts)):
-                if word[0] == " ":
-                    at += 1
-                    found[fresh_parts[at]] = part = [word]
-                else:
-                    part.append(word)
+        # one split for all: the words that begin with a space begin a part
+        words = self.split(" " + " ".join(fresh_parts)) if fresh_parts else []
+        ends = [i for i, word in enumerate(words) if word[0] == " "] + [len(words)]
         whole, heads = {}, {}
         for i, row in enumerate(rows):
             if len(row) == 1 or not row[0] or row[0][-1].isspace() or not unsafe.isdisjoint(row):
                 whole[i] = self.split(docs[i])
             else:
                 heads[i] = self.split(row[0])
-        fresh = self._fresh({w for group in (found, whole, heads) for ws in group.values() for w in ws})
+        fresh = self._fresh(set(chain(words, *whole.values(), *heads.values())))
         ids = (self.words | fresh).__getitem__
-        spaced = {x: b"".join(map(ids, ws)) for x, ws in found.items()}
+        spaced = {
+            x: ids(words[i]) if j - i == 1 else b"".join(map(ids, words[i:j]))
+            for x, i, j in zip(fresh_parts, ends, ends[1:])
+        }
         self.spaced.update(islice(spaced.items(), max(0, CACHE_PARTS - len(self.spaced))))
         get = (self.spaced | spaced).__getitem__
         return [

@@ -114,16 +114,20 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl log of ``pages``, as WARC text: each page's response, and 7,001 ticks on a revisit.
 
-    A response is captured at 10 times page_id. Every third revisit has no entity tag, every
+    A response is captured 10 times page_id seconds after 1970 (a tick is a second). Every third revisit has no entity tag, every
     fifth one that has changed meanwhile, every seventh neither validator.
     """
     pages = pages.withColumn("tag", F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"')))
     n, tag = F.col("page_id"), F.col("tag")
+    two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
+    of_day = lambda t: F.pmod(t, F.lit(86_400))
+    clock = lambda t: F.concat_ws(":", two(F.floor(of_day(t) / 3600)), two(F.floor(of_day(t) % 3600 / 60)), two(of_day(t) % 60))
+    iso = lambda t: F.concat(F.date_from_unix_date(F.floor(t / 86_400).cast("int")).cast("string"), F.lit("T"), clock(t), F.lit("Z"))
     response = warc.format_record(
         F.lit("response"),
         F.concat(F.lit("r"), n),
         F.col("url"),
-        n * 10,
+        iso(n * 10),
         [("ETag", tag), ("Last-Modified", n * 10), ("Date", n * 10), ("Content-Type", F.lit("text/html"))],
         F.col("html"),
     )
@@ -132,7 +136,7 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         F.lit("revisit"),
         F.concat(F.lit("v"), n),
         F.col("url"),
-        n * 10 + 7001,
+        iso(n * 10 + 7001),
         [
             ("ETag", F.when((n % 3 != 0) & (n % 7 != 0), later)),
             ("Last-Modified", F.when(n % 7 != 0, n * 10)),
@@ -145,9 +149,20 @@ def crawl_records(pages: DataFrame) -> DataFrame:
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.parse_records(crawl_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = stored(warc.parse_records(crawl_records(pages)), "records")  # parsed once, read for resolving and for payloads
     header = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return warc.resolve(records).withColumn("headers", F.array_join(header, ";"))
+    found = warc.with_payload(warc.resolve(records), records)
+    return found.select(
+        "record_id",
+        "canonical_url",
+        "kind",
+        F.unix_seconds("captured").alias("captured"),
+        "response_id",
+        "status",
+        F.array_join(header, ";").alias("headers"),
+        F.md5(F.col("payload").cast("binary")).alias("payload_md5"),
+    )
 
 
 OP9_SQL = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import durable
 
@@ -57,23 +58,43 @@ def format_record(kind: Column, record_id: Column, url: Column, date: Column, ht
     return F.concat(F.lit("WARC/1.1" + _END), head, F.lit(_END), top, body, F.lit(_END + _END))
 
 
+def timestamp(date: Column) -> Column:
+    """An ISO 8601 date as a timestamp, in UTC unless it names an offset; null if it is none.
+
+    As WARC allows, it may stop after year, month, day or minute; digits past microseconds are cut.
+    """
+    date = F.regexp_replace(date, r"(T[0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00")
+    full = (
+        F.when(F.length(date) == 4, F.concat(date, F.lit("-01-01T00:00:00Z")))
+        .when(F.length(date) == 7, F.concat(date, F.lit("-01T00:00:00Z")))
+        .when(F.length(date) == 10, F.concat(date, F.lit("T00:00:00Z")))
+        .when(date.rlike(r"T[0-9:.]+$"), F.concat(date, F.lit("Z")))
+        .otherwise(date)
+    )
+    return F.when(date.rlike(r"^[0-9]{4}(-|$)"), full.try_cast("timestamp"))
+
+
 def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
     """(record_id, kind, url, captured, headers, payload) of records as text; null where a field is missing.
 
     Header names are lower-cased; of a repeated name the last counts. Rows that are null or no
-    WARC record are left out.
+    WARC record are left out. White space around a header's value does not count. ``captured``
+    is a timestamp.
     """
     parts = F.split(F.col(warc), "\r\n\r\n", 3)
 
     def fields(block: Column) -> Column:
+        lines = F.split(block, "\r\n")
         pairs = F.transform(
-            F.filter(F.split(block, "\r\n"), lambda y: F.instr(y, ": ") > 0),
+            F.filter(F.slice(lines, 2, F.size(lines)), lambda y: F.instr(y, ":") > 1),  # the first is no header
             lambda y: F.struct(
-                F.lower(F.substring_index(y, ": ", 1)).alias("k"), F.substr(y, F.instr(y, ": ") + 2, F.length(y)).alias("v")
+                F.lower(F.trim(F.substring_index(y, ":", 1))).alias("k"),
+                F.trim(F.substr(y, F.instr(y, ":") + 1, F.length(y)), F.lit(" \t")).alias("v"),
             ),
         )
-        last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-        return F.map_from_entries(last)
+        last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+        # bound to a name: the pairs are taken once, not for each of them
+        return F.transform(F.array(pairs), lambda p: F.map_from_entries(last(p)))[0]
 
     return (
         records.where(F.col(warc).startswith("WARC/"))
@@ -82,9 +103,9 @@ def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
             F.col("w")["warc-record-id"].alias("record_id"),
             F.col("w")["warc-type"].alias("kind"),
             F.col("w")["warc-target-uri"].alias("url"),
-            F.expr("try_cast(w['warc-date'] AS bigint)").alias("captured"),
+            timestamp(F.col("w")["warc-date"]).alias("captured"),
             "headers",
-            F.regexp_replace("body", "\r\n\r\n\\z", "").alias("payload"),
+            F.when(F.col("body").endswith(_END + _END), F.expr("left(body, length(body) - 4)")).otherwise(F.col("body")).alias("payload"),
         )
     )
 
@@ -106,8 +127,12 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     Records are spread by (URL, range of time): within a range the join is a running last
     value, and between ranges one row per URL and range is carried forward, so a URL with a
-    third of all records is shared by ``buckets`` tasks. Payloads are not shuffled.
+    third of all records is shared by ``buckets`` tasks. Payloads are not shuffled:
+    ``with_payload`` joins them back. ``captured`` is a timestamp or a whole number.
     """
+    given = records.schema["captured"].dataType
+    if isinstance(given, T.TimestampType):
+        records = records.withColumn("captured", F.unix_micros("captured"))
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id",
         canonical_url(F.col("url")).alias("canonical_url"),
@@ -165,9 +190,23 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         "record_id",
         "canonical_url",
         "kind",
-        "captured",
+        F.timestamp_micros("captured").alias("captured") if isinstance(given, T.TimestampType) else F.col("captured"),
         F.when(F.col("status") == "full", F.col("record_id")).when(taken, F.col("found.record_id")).alias("response_id"),
         "status",
         F.when(taken, merged).otherwise(own).alias("headers"),
         F.when(taken, F.col("found.payload_md5")).otherwise(F.col("payload_md5")).alias("payload_md5"),
     )
+
+
+def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
+    """``resolved`` with ``payload``: that of the response that a row names, null where it names none.
+
+    Responses are found by record_id and digest, so repeated ids with other payloads do not mix.
+    """
+    body = F.coalesce("payload", F.lit(""))
+    bodies = (
+        records.where("kind = 'response' AND record_id IS NOT NULL")
+        .select(F.col("record_id").alias("response_id"), F.md5(body.cast("binary")).alias("payload_md5"), body.alias("payload"))
+        .dropDuplicates(["response_id", "payload_md5"])
+    )
+    return resolved.join(bodies, ["response_id", "payload_md5"], "left").select(*resolved.columns, "payload")

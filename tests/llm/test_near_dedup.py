@@ -75,3 +75,12 @@ def test_stage_drops_near_copies_of_more_than_two_bits(spark, sf_dir):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([" ".join(base), near, far])]
     kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == [0, 2]
+
+
+def test_rows_of_one_id_are_told_apart(spark, sf_dir):
+    a, b = [f"a{i}" for i in range(60)], " ".join(f"b{i}" for i in range(60))
+    near = " ".join([*a[:-1], "z"])
+    pairs = [(5, " ".join(a)), (5, b), (5, b), (3, near), (None, b)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in pairs]
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (3, near), (5, b)])

@@ -118,7 +118,9 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row.
+    """(doc_id, key, component_id, keeps) of every row; ``key`` is xxhash64 of the text.
+
+    ``keeps`` is true for the rows of the group's smallest (doc_id, key).
 
     ``component_id`` is the smallest doc_id reachable over pairs of texts whose sets of
     five-word shingles have a Jaccard similarity of 0.8 or more. No pair is missed: sets that
@@ -157,7 +159,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(stars, ["a", "b"], "left_anti")
     )
     roots = connected_components(links.union(_verified(texts, durable(others))))
-    reps = prints.groupBy("node").agg(F.min("doc_id").alias("rep")).join(roots, "node", "left")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    reps = prints.groupBy("node").agg(F.min(row).alias("rep")).join(roots, "node", "left")
     whole = reps.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
-    named = reps.join(whole, "root", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(named, "node").select("doc_id", "component_id")
+    named = reps.join(whole, "root", "left").select("node", F.coalesce("least", "rep").alias("first"))
+    keeps = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.lit(False))
+    return prints.join(named, "node").select("doc_id", "key", F.col("first.doc_id").alias("component_id"), keeps.alias("keeps"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +54,70 @@ def extended(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in fields.items())])
 
 
+def spread_join(
+    rows: DataFrame,
+    other: DataFrame,
+    keys: list[str],
+    by: list[str],
+    how: str = "inner",
+    total: int | None = None,
+    counts: DataFrame | None = None,
+    share: int = 1000,
+) -> DataFrame:
+    """``rows`` joined with ``other`` by ``keys``, so that no key's rows meet in one task.
+
+    A key of more than 1 / ``share`` of all rows is split by a hash of the columns ``by`` over so
+    many tasks that none takes more than such a part; the rows of ``other`` with that key are
+    repeated for each. There are fewer than ``share`` such keys, so a list of them is broadcast;
+    they are counted with partial sums. ``total`` is the number of rows, or more, and ``counts``
+    has the rows ``n`` of each key, if these are known. Rows with a null key are spread too; they
+    match nothing. Up to ``share`` rows in all are too few to spread.
+    """
+    if total is None:
+        total = rows.count()
+    if total <= share:
+        return rows.join(other, keys, how)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    tasks = F.ceil(F.col("n") * share / F.lit(total)).cast("int").alias("__tasks")
+    heavy = F.broadcast(counts.where(F.col("n") * share > total).select(*keys, tasks))
+    row = F.xxhash64(*by)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    salt = F.when(no_key, F.pmod(row, F.lit(share))).otherwise(F.coalesce(F.pmod(row, F.col("__tasks")), F.lit(0))).cast("int")
+    left = rows.join(heavy, keys, "left").withColumn("__salt", salt).drop("__tasks")
+    last = F.coalesce(F.col("__tasks"), F.lit(1)) - 1
+    right = other.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__tasks")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def bitmap(hashes: DataFrame, column: str, n: int, most: int) -> tuple[Column, int]:
+    """An array of longs, as a scalar, with a bit set for each hash of ``column``; and the number of its bits.
+
+    64 bits for each of ``n`` hashes, but never over ``most`` in all: beyond it, more that is not listed passes.
+    """
+    bits = 1 << min(most.bit_length() - 1, max(12, (64 * n).bit_length()))
+    h = F.col(column)
+    words = hashes.groupBy(F.shiftright(h.bitwiseAND(bits - 1), 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).alias("w")
+    )
+    every = hashes.sparkSession.range(bits // 64, numPartitions=1).join(F.broadcast(words), F.col("id") == F.col("word"), "left")
+    filled = F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))
+    return every.agg(F.transform(F.array_sort(filled), lambda x: x["w"]).alias("bitmap")).scalar(), bits
+
+
+def in_bitmap(known: Column, bits: int, h: Column) -> Column:
+    word = F.get(known, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int"))
+    return F.bit_get(word, h.bitwiseAND(63).cast("int")) == 1
+
+
+def refuse(keep: Iterable[str], *made: str) -> None:
+    """Columns that are kept may not have the names of those that are made."""
+    if clash := sorted(set(keep) & set(made)):
+        raise ValueError(f"columns that are kept have names of results: {clash}")
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -79,6 +143,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield batch.slice(start)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(key: Hashable, make: Callable):
+    """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages do not pile up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def bounded_sample(df: DataFrame, key: Column, group: Column, bound: int) -> DataFrame:
     """At most about ``bound`` rows of each group, chosen by a hash of ``key`` alone.
 

@@ -65,3 +65,9 @@ def quantile(df: DataFrame, column: str, q: float) -> Column:
     Meant for per-key totals: what it holds is one count per distinct value.
     """
     return df.agg(F.percentile(column, q)).scalar()
+
+
+def quantiles(df: DataFrame, column: str, qs: tuple[float, ...]) -> list[Column]:
+    """Several quantiles of a column by one aggregation."""
+    every = df.agg(F.percentile(column, F.array(*map(F.lit, qs)))).scalar()
+    return [F.get(every, F.lit(i)) for i in range(len(qs))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.expr import quantile, safe_rate
+from tidelog.functions.expr import quantiles, safe_rate
 from tidelog.operators.stats import top
 
 
@@ -60,15 +60,17 @@ def category_scatter(categories: DataFrame, n: int = 3000) -> DataFrame:
 def category_segments(categories: DataFrame) -> DataFrame:
     """``hot`` from the 80 % quantile of totals on, else ``long_tail`` up to the 20 % quantile, else ``normal``."""
     total = F.col("category_total_count")
-    low, high = quantile(categories, "category_total_count", 0.2), quantile(categories, "category_total_count", 0.8)
+    low, high = quantiles(categories.select("category_total_count"), "category_total_count", (0.2, 0.8))
     segment = F.when(total >= high, "hot").when(total <= low, "long_tail").otherwise("normal")
     return categories.select("category_id", "category_total_count", "category_buy_count", "category_buy_to_pv_rate", segment.alias("segment"))
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("segment").agg(
+    """Figures of each segment: hot, normal, long tail, in this order."""
+    out = segments.groupBy("segment").agg(
         F.count("*").alias("categories"),
         F.sum("category_total_count").alias("total_count"),
         F.sum("category_buy_count").alias("buy_count"),
         F.round(F.avg("category_buy_to_pv_rate"), 6).alias("avg_buy_rate"),
     )
+    return out.orderBy(F.array_position(F.array(*map(F.lit, ("hot", "normal", "long_tail"))), F.col("segment")))

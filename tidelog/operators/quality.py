@@ -66,6 +66,7 @@ def feature_rules() -> dict[str, dict[str, Column]]:
         "user_features": {
             "user_id_present": c("user_id").isNotNull(),
             "user_total_positive": c("user_total_count") > 0,
+            "user_average_not_negative": c("user_avg_daily_behavior_count") >= 0,
             "user_counts_add_up": parts("user_") == c("user_total_count"),
             "user_active_days_positive": c("user_active_day_count") >= 1,
             "user_span_not_negative": c("user_behavior_span_hours") >= 0,
@@ -98,8 +99,34 @@ def feature_rules() -> dict[str, dict[str, Column]]:
     }
 
 
+def key_rules(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, failures, status): rows beyond the first of a key, and rows without one, by table."""
+    keys = {name: KEYS.get(name, ["user_id"]) for name in tables}
+    found = reduce(DataFrame.unionByName, (pk_check(df, keys[name], name) for name, df in tables.items()))
+    rule = lambda kind: F.struct(F.concat("table_name", F.lit(f"_{kind}")).alias("rule"), F.col(kind).alias("failures"))
+    return found.select(F.inline(F.array(rule("duplicate_keys"), rule("null_keys"))))
+
+
+def cross_rules(users: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(rule, failures): by how many users the tables differ in number, and users that only one of them has."""
+    side = lambda df, name: df.select("user_id").distinct().withColumn(name, F.lit(1))
+    both = side(users, "a").join(side(sequences, "b"), "user_id", "full")
+    one = both.agg(F.count("a").alias("a"), F.count("b").alias("b"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("apart"))
+    return one.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit("same_user_count").alias("rule"), F.abs(F.col("a") - F.col("b")).alias("failures")),
+                F.struct(F.lit("same_user_set").alias("rule"), F.col("apart").alias("failures")),
+            )
+        )
+    )
+
+
 def feature_qa_rules(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (rule_frame(tables[name], rules) for name, rules in feature_rules().items()))
+    """(rule, failures, status) of the user, hour and sequence tables: rows, keys, and users across tables."""
+    rows = reduce(DataFrame.unionByName, (rule_frame(tables[name], rules) for name, rules in feature_rules().items()))
+    more = key_rules(tables).unionByName(cross_rules(tables["user_features"], tables["sequence_features"]))
+    return rows.unionByName(more.withColumn("status", F.when(F.col("failures") == 0, "PASS").otherwise("FAIL")))
 
 
 def user_set_equality(a: DataFrame, b: DataFrame) -> DataFrame:

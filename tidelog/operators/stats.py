@@ -9,12 +9,14 @@ from tidelog.functions.expr import behaviour_counts, safe_rate, share
 from tidelog.sources.schema import BEHAVIORS
 
 NAMES = list(BEHAVIORS.values())
+DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def behavior_distribution(c: DataFrame) -> DataFrame:
     counts = c.where(F.col("behavior_name").isin(*NAMES)).groupBy("behavior_name").agg(F.count("*").alias("behavior_count"))
     total = F.sum("behavior_count").over(Window.partitionBy())  # over four rows at most
-    return counts.select("behavior_name", "behavior_count", share(F.col("behavior_count"), total).alias("percentage"))
+    out = counts.select("behavior_name", "behavior_count", share(F.col("behavior_count"), total).alias("percentage"))
+    return out.orderBy(F.desc("behavior_count"), "behavior_name")
 
 
 def behavior_statistics(c: DataFrame) -> DataFrame:
@@ -84,10 +86,13 @@ def conversion_rates_unpivot(c: DataFrame) -> DataFrame:
 
 
 def time_summary(c: DataFrame) -> DataFrame:
-    """Counts by hour, weekday and kind of day from one scan with grouping sets."""
+    """Counts by hour, weekday and kind of day from one scan with grouping sets.
+
+    In order: hours from 0, days from Monday, then working days before weekends.
+    """
     rows = c.select(
         F.col("behavior_hour").cast("string").alias("hour"),
-        F.element_at(F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"))), F.col("weekday") + 1).alias("weekday"),
+        F.element_at(F.array(*map(F.lit, DAYS)), F.col("weekday") + 1).alias("weekday"),
         F.when(F.col("weekday") >= 5, "weekend").otherwise("weekday").alias("day_type"),
         "behavior_type",
     )
@@ -96,7 +101,10 @@ def time_summary(c: DataFrame) -> DataFrame:
         F.grouping_id().alias("g"), F.count("*").alias("behavior_count"), *behaviour_counts("")
     )
     name = F.when(F.col("g") == 3, "hour").when(F.col("g") == 5, "weekday").otherwise("day_type")
-    return grouped.select(name.alias("time_dimension"), F.coalesce(*dims).alias("time_value"), "behavior_count", *(f"{n}_count" for n in NAMES))
+    out = grouped.select(name.alias("time_dimension"), F.coalesce(*dims).alias("time_value"), "behavior_count", *(f"{n}_count" for n in NAMES))
+    place = lambda column, values: F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    hour = F.when(F.col("time_dimension") == "hour", F.col("time_value").try_cast("int"))
+    return out.orderBy(place("time_dimension", ("hour", "weekday", "day_type")), hour, place("time_value", (*DAYS, "weekday", "weekend")))
 
 
 def peak_hours(c: DataFrame, q: float = 0.8) -> DataFrame:

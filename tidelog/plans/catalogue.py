@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import cleaning, features, marts, quality, sequences, stats
 from tidelog.plans import sqltext
+from tidelog.sources import stage
 from tidelog.sources.adapters import REFERENCE, clean_events, clean_lineitem, dirty_events, raw_events
 from tidelog.sources.schema import CLEAN_COLUMNS
 
@@ -166,14 +167,29 @@ def raw_status_judgement(d):
     return d.agg(F.when(hour == n, "raw format").when(eight > 0, "other format").otherwise("mixed").alias("judgement"))
 
 
-@_query("r", None)
+_FLAGGED = ("behavior_date", "behavior_hour", "weekday", "behavior_name", "item_category")
+
+
+@_query("r", "SELECT " + ", ".join(f"list_contains(json_keys(to_json(r)), '{c}') AS has_{c}" for c in _FLAGGED) + " FROM r LIMIT 1")
 def schema_feature_flags(r):
     """Which derived columns the log already has; nothing but the schema is read."""
     names = set(r.columns)
-    flags = {f"has_{c}": c in names for c in ("behavior_date", "behavior_hour", "weekday", "behavior_name", "item_category")}
+    flags = {f"has_{c}": c in names for c in _FLAGGED}
     return r.sparkSession.createDataFrame([tuple(flags.values())], ", ".join(f"{k} boolean" for k in flags))
 
 
+_TYPE = lambda c: f"CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END AS type_of_{c}"
+
+
+@_query("r", f"""SELECT event_id, "time", {_TYPE("time")}, user_id, item_id, item_category, behavior_type, {_TYPE("behavior_type")}, {_TYPE("event_id")}
+  FROM r ORDER BY event_id LIMIT 30""")
+def raw_typed_sample(r):
+    """The first rows of the log, and the types of their fields."""
+    kind = lambda c: F.typeof(c).alias(f"type_of_{c}")
+    rows = r.select("event_id", "time", kind("time"), "user_id", "item_id", "item_category", "behavior_type", kind("behavior_type"), kind("event_id"))
+    return rows.orderBy("event_id").limit(30)
+
+
 @_query("r", """SELECT event_id, "time", user_id, item_id, item_category, behavior_type, substr("time", 1, 10) AS behavior_date,
   substr("time", 12, 2) AS behavior_hour, CASE behavior_type WHEN '1' THEN 'pv' WHEN '2' THEN 'fav' WHEN '3' THEN 'cart' WHEN '4' THEN 'buy'
   ELSE 'unknown' END AS behavior_name FROM r""")
@@ -290,6 +306,12 @@ def non_buyers_antijoin(c):
     return c.select("user_id").distinct().join(c.where("behavior_type = 4").select("user_id"), "user_id", "left_anti")
 
 
+@_query("c", """SELECT DISTINCT user_id, item_id FROM c WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM c WHERE behavior_type = 4)""")
+def unbought_pairs_antijoin(c):
+    """Pairs of user and item without a purchase."""
+    return c.select("user_id", "item_id").distinct().join(c.where("behavior_type = 4").select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+
 _ITEMS = f"SELECT item_id, {_n()} FROM c GROUP BY item_id"
 _query("c", _ITEMS, "item_statistics")(stats.item_statistics)
 _query("c", _ITEMS, "item_statistics_pivot")(stats.item_statistics_pivot)
@@ -374,6 +396,7 @@ _ICONV = f""", ic AS (SELECT item_id, {_rate("buy", "pv", "item_pv_to_buy_rate")
   SELECT item_id, {", ".join(f"count(*) FILTER (WHERE behavior_type = {k}) AS {n}" for k, n in ((1, "pv"), (2, "fav"), (3, "cart"), (4, "buy")))} FROM c GROUP BY item_id))"""
 
 _users = lambda c: features.user_features(c, REFERENCE)
+_cells = lambda c: stage.stored(features.cells(c), "cells")  # noqa: E731  # the log is read and cleaned once for several tables
 _query("c", _user_sql(REFERENCE) + " SELECT * FROM uf", "user_features")(_users)
 _query("c", _ITEM + " SELECT * FROM itf", "item_features")(features.item_features)
 _query("c", _CAT + " SELECT * FROM cf", "category_features")(features.category_features)
@@ -484,7 +507,7 @@ _query(
   LEFT JOIN cf USING (category_id) LEFT JOIN (SELECT behavior_date AS ui_last_interaction_date, behavior_hour AS ui_last_interaction_hour, weekday,
     is_weekend, time_period, time_total_count, time_buy_to_pv_rate FROM tf) USING (ui_last_interaction_date, ui_last_interaction_hour)""",
     "wide_user_item",
-)(lambda c: _text(features.wide_user_item(c, REFERENCE, sequences.sequence_features(c))))
+)(lambda c: _text(features.wide_user_item(_cells(c), REFERENCE, sequences.sequence_features(c))))
 _query("c", _ITEM + " SELECT item_id, item_total_count, item_pv_count, item_buy_count, item_buy_to_pv_rate FROM itf", "item_mart")(
     lambda c: marts.item_mart(features.item_features(c))
 )
@@ -547,7 +570,7 @@ _query(
         for k, v in _SQLNAMES.items()
     ),
     "feature_reconciliation",
-)(lambda c: quality.reconciliation({k: (df, F.expr(_TOTALS[k])) for k, df in _tables(c).items()}, c))
+)(lambda c: quality.reconciliation({k: (df, F.expr(_TOTALS[k])) for k, df in _tables(_cells(c)).items()}, c))
 _query(
     "c",
     _ALL + " " + " UNION ALL ".join(
@@ -555,14 +578,49 @@ _query(
         for k, v in _SQLNAMES.items()
     ),
     "pk_checks",
-)(lambda c: quality.pk_checks(_tables(c)))
+)(lambda c: quality.pk_checks(_tables(_cells(c))))
 
 
 def _rules(c):
-    return quality.feature_qa_rules({"user_features": _users(c), "time_features": features.time_features(c), "sequence_features": sequences.sequence_features(c)})
-
-
-_query("c", None, "feature_qa_rules")(_rules)
+    x = _cells(c)
+    return quality.feature_qa_rules({"user_features": _users(x), "time_features": features.time_features(x), "sequence_features": stage.stored(sequences.sequence_features(c), "sequences")})
+
+
+_SUM = lambda p: " + ".join(f"{p}{n}_count" for n in _FOUR)
+_LIST = "string_split(sequence_recent_10_behavior_types, ',')"
+_RULES = {
+    "uf": {
+        "user_id_present": "user_id IS NOT NULL", "user_total_positive": "user_total_count > 0", "user_average_not_negative": "user_avg_daily_behavior_count >= 0",
+        "user_counts_add_up": f"{_SUM('user_')} = user_total_count", "user_active_days_positive": "user_active_day_count >= 1",
+        "user_span_not_negative": "user_behavior_span_hours >= 0", "user_recency_not_negative": "user_recency_hours >= 0",
+        "user_level_known": "user_activity_level IN ('high', 'low')", "user_rates_not_negative": "least(user_fav_to_pv_rate, user_cart_to_pv_rate, user_buy_to_pv_rate) >= 0",
+        "user_buyer_flag": "user_is_buyer IN (0, 1)", "user_repeat_flag": "user_is_repeat_buyer IN (0, 1)", "user_repeat_implies_buyer": "user_is_repeat_buyer <= user_is_buyer",
+    },
+    "tf": {
+        "time_hour_in_range": "behavior_hour BETWEEN 0 AND 23", "time_weekday_in_range": "weekday BETWEEN 0 AND 6", "time_weekend_flag": "is_weekend IN (0, 1)",
+        "time_weekend_agrees": "is_weekend = CAST(weekday >= 5 AS INTEGER)", "time_period_known": "time_period IN ('night', 'morning', 'afternoon', 'evening')",
+        "time_counts_add_up": f"{_SUM('time_')} = time_total_count",
+    },
+    "sq": {
+        "sequence_user_present": "user_id IS NOT NULL", "sequence_length": f"len({_LIST}) BETWEEN 1 AND 10",
+        "sequence_codes": f"len([x FOR x IN {_LIST} IF x NOT IN ('1', '2', '3', '4')]) = 0", "sequence_gap_not_negative": "sequence_avg_behavior_gap_hours >= 0",
+        **{f"sequence_{f}_flag": f"sequence_has_{f} IN (0, 1)" for f in ("pv_cart", "pv_fav", "pv_buy", "pv_cart_buy")},
+        "sequence_chain_implies_steps": "sequence_has_pv_cart_buy <= least(sequence_has_pv_cart, sequence_has_pv_buy)",
+    },
+}
+_KEYED = {"user_features": ("uf", "user_id"), "time_features": ("tf", "behavior_date, behavior_hour"), "sequence_features": ("sq", "user_id")}
+_CHECKS = [f"SELECT '{k}' AS rule, count(*) FILTER (WHERE NOT coalesce({v}, false)) AS failures FROM {t}" for t, rules in _RULES.items() for k, v in rules.items()]
+_CHECKS += [f"SELECT '{n}_duplicate_keys', count(*) - count(DISTINCT ({k})) FROM {t}" for n, (t, k) in _KEYED.items()]
+_CHECKS += [f"SELECT '{n}_null_keys', count(*) FILTER (WHERE {' OR '.join(f'{x} IS NULL' for x in k.split(', '))}) FROM {t}" for n, (t, k) in _KEYED.items()]
+_CHECKS += [
+    "SELECT 'same_user_count', abs((SELECT count(DISTINCT user_id) FROM uf) - (SELECT count(DISTINCT user_id) FROM sq))",
+    "SELECT 'same_user_set', count(*) FROM (SELECT DISTINCT user_id FROM uf) a FULL JOIN (SELECT DISTINCT user_id FROM sq) b USING (user_id) WHERE a.user_id IS NULL OR b.user_id IS NULL",
+]
+_query(
+    "c",
+    _user_sql(REFERENCE) + _TIME + _SEQ + " SELECT rule, failures, CASE WHEN failures = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(_CHECKS) + ")",
+    "feature_qa_rules",
+)(_rules)
 _query(
     "c",
     _SEQ + """ SELECT count(*) AS row_count, count(*) - count(DISTINCT user_id) AS duplicate_users,

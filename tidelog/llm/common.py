@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,37 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.sources.stage import durable, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine), a temporary folder takes its place;
-    on a cluster that would lose data, so it is refused there.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if sc.getCheckpointDir() is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-        return sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: later stages outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "shared_folder", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import bounded_sample, extended, texts
+from tidelog.llm.common import bounded_sample, extended, kept_by_worker, pieces, texts
 
 #: Rows per language that the model learns from, and words and n-grams per language that it keeps.
 SAMPLE_ROWS, KEEP_WORDS, KEEP_GRAMS = 4_000, 20_000, 8_000
@@ -23,55 +23,91 @@ LONGEST = 4
 WORD_LIMIT = 6.0
 UNKNOWN = "und"
 
+#: Words whose scores a Python worker keeps, and bytes of text that are held split up.
+CACHE_WORDS, TEXT_BYTES = 400_000, 2 << 20
+
 _LETTERS = regex.compile(r"\p{L}+")
 _LETTERS_JAVA = r"(\p{L}+)"
-_SCORED = 100_000  # words whose scores a task keeps
 
 
 @dataclass
 class Model:
-    """Log frequencies by language: ``known`` of words (" word "), ``grams`` of n-grams by length."""
+    """Scores by language in the rows of ``table``; ``known`` words (" word ") and ``grams`` by length name rows."""
 
     languages: list[str]
     prior: np.ndarray
-    known: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    table: np.ndarray
+    known: dict[str, int]
+    grams: list[dict[str, int]]
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a lower-cased word; each language's, less their mean.
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of lower-cased words: each language's log frequency, less their mean.
 
         A known word has its own. Else each longest n-gram that is known counts; where none of
         a length is, the next shorter length is tried.
         """
-        wrapped = f" {word} "
-        if (own := self.known.get(wrapped)) is not None:
-            return own
-        for n in range(LONGEST, 0, -1):
-            table = self.grams[n - 1]
-            found = [x for i in range(len(wrapped) - n + 1) if (x := table.get(wrapped[i : i + n])) is not None]
-            if found:
-                # a word's n-grams overlap: together they weigh as about len / n independent ones
-                return np.clip(np.sum(found, axis=0) / n, -WORD_LIMIT, WORD_LIMIT)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        """The language and its posterior; ``und`` and 0 for a text without letters."""
-        words = _LETTERS.findall(text.lower())
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        for w, n in counts.items():
-            row = cache.get(w)
-            if row is None:
-                row = self.word(w)
-                if len(cache) < _SCORED:
-                    cache[w] = row
-            total += row * n
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        rows: list[int] = []
+        counts, lengths = np.zeros(len(words), dtype=np.int64), np.ones(len(words))
+        for k, word in enumerate(words):
+            wrapped = f" {word} "
+            if (own := self.known.get(wrapped)) is not None:
+                rows.append(own)
+                counts[k] = 1
+                continue
+            for n in range(LONGEST, 0, -1):
+                get = self.grams[n - 1].get
+                found = [x for i in range(len(wrapped) - n + 1) if (x := get(wrapped[i : i + n])) is not None]
+                if found:
+                    rows += found
+                    counts[k], lengths[k] = len(found), n
+                    break
+        out = np.zeros((len(words), len(self.languages)))
+        some = counts > 0
+        if rows:
+            sums = np.add.reduceat(self.table[rows], (np.cumsum(counts) - counts)[some])
+            # a word's n-grams overlap: together they weigh as about len / n independent ones
+            out[some] = np.clip(sums / lengths[some, None], -WORD_LIMIT, WORD_LIMIT)
+        return out
+
+
+class Scorer:
+    """Predictions of a model; the scores of words met are kept, and forgotten when they are too many."""
+
+    def __init__(self, model: Model):
+        self.model, self.at = model, {}
+        self.scores = np.empty((0, len(model.languages)))
+
+    def _places(self, rows: list[list[str]]) -> list[list[int]]:
+        """The words' rows of ``scores``, which takes in the words that it lacks."""
+        if len(self.at) > CACHE_WORDS:
+            self.at, self.scores = {}, self.scores[:0]
+        found = [list(map(self.at.get, row)) for row in rows]
+        late = [i for i, places in enumerate(found) if None in places]
+        new = list(dict.fromkeys(w for i in late for w, at in zip(rows[i], found[i]) if at is None))
+        if new:
+            self.at.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            self.scores = np.concatenate([self.scores, self.model.words(new)])
+        for i in late:
+            found[i] = list(map(self.at.__getitem__, rows[i]))
+        return found
+
+    def predict(self, docs: list[str]) -> list[tuple[str, float, float]]:
+        """The language of each text, its posterior, and by how much each word speaks for it and
+        against the next one on average; ``und``, 0 and 0 for a text without letters."""
+        out = []
+        model, known = self.model, len(self.model.languages)
+        rows = [_LETTERS.findall(x.lower()) if known else [] for x in docs]
+        for places in self._places(rows):
+            if not places:
+                out.append((UNKNOWN, 0.0, 0.0))
+                continue
+            sums = self.scores[places].sum(axis=0)
+            total = sums + model.prior
+            best = int(total.argmax())
+            others = np.delete(sums, best)
+            margin = (sums[best] - others.max()) / len(places) if len(others) else 0.0
+            out.append((model.languages[best], float(1 / np.exp(total - total[best]).sum()), float(margin)))
+        return out
 
 
 def _top(counts: DataFrame, keep: int, *by: str) -> DataFrame:
@@ -80,18 +116,19 @@ def _top(counts: DataFrame, keep: int, *by: str) -> DataFrame:
     return counts.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= keep).drop("__r")
 
 
-def _tables(rows: list, languages: list[str], smooth: float) -> dict[str, np.ndarray]:
-    """Log frequency of each key, less the mean over languages."""
+def _tables(rows: list, languages: list[str], smooth: float, table: list[np.ndarray]) -> dict[str, int]:
+    """The rows that ``table`` gets for each key: its log frequency, less the mean over languages."""
     at = {x: i for i, x in enumerate(languages)}
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["key"], np.zeros(len(languages)))[at[r["lang"]]] += r["n"]
     if not counts:
         return {}
-    table = np.array(list(counts.values()))
-    logs = np.log((table + smooth) / (table.sum(axis=0) + smooth * len(table)))
-    logs = np.clip(logs - logs.mean(axis=1, keepdims=True), -WORD_LIMIT, WORD_LIMIT)
-    return dict(zip(counts, logs))
+    values = np.array(list(counts.values()))
+    logs = np.log((values + smooth) / (values.sum(axis=0) + smooth * len(values)))
+    start = sum(map(len, table))
+    table.append(np.clip(logs - logs.mean(axis=1, keepdims=True), -WORD_LIMIT, WORD_LIMIT))
+    return dict(zip(counts, range(start, start + len(counts))))
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -135,35 +172,35 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     finally:
         counted.unpersist()
     languages = sorted({r["lang"] for r in words} | {r["lang"] for r in top})
-    return Model(
-        languages,
-        np.full(len(languages), -math.log(max(1, len(languages)))),
-        _tables(words, languages, 0.5),
-        [_tables([r for r in top if r["size"] == n], languages, 0.5) for n in range(1, LONGEST + 1)],
-    )
+    table: list[np.ndarray] = [np.empty((0, len(languages)))]
+    known = _tables(words, languages, 0.5, table)
+    grams = [_tables([r for r in top if r["size"] == n], languages, 0.5, table) for n in range(1, LONGEST + 1)]
+    return Model(languages, np.full(len(languages), -math.log(max(1, len(languages)))), np.concatenate(table), known, grams)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``lang_pred`` and ``lang_score`` (which replace columns of these names).
+    """All columns of ``docs``, ``lang_pred``, ``lang_score`` and ``lang_margin`` (which replace columns of these names).
 
-    ``lang_pred`` is a learned language, or ``und`` with score 0 where the text is null, empty
-    or has no letter; the score is the posterior of the language. Ties go to the language that
-    is first by name. No other column is read.
+    ``lang_pred`` is a learned language, or ``und`` with score and margin 0 where the text is
+    null, empty or has no letter; the score is the posterior of the language. The margin is the
+    mean over all words by how much they speak for it and against the next language: near 0 for
+    words of no learned language, whatever their number. Ties go to the language that is first
+    by name. No other column is read.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    new = {"lang_pred": T.StringType(), "lang_score": T.DoubleType(), "lang_margin": T.DoubleType()}
+    names = [c for c in docs.columns if c not in new]
     kept = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
-        for batch in batches:
-            got = [m.predict(x, cache) for x in texts(batch.column(text))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
-                [*names, "lang_pred", "lang_score"],
-            )
-
-    return kept.mapInArrow(work, extended(kept, lang_pred=T.StringType(), lang_score=T.DoubleType()))
+        m = shared.value
+        scorer = kept_by_worker(("langid", id(m)), lambda: Scorer(m))  # a scorer holds its model, so the id stays its own
+        for batch in pieces(batches, text, TEXT_BYTES):
+            columns = zip(*scorer.predict(texts(batch.column(text))))
+            got = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *got], [*names, *new])
+
+    return kept.mapInArrow(work, extended(kept, **new))
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

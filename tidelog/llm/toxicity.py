@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,59 +14,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import bounded_sample, extended, texts
+from tidelog.llm.common import bounded_sample, extended, kept_by_worker, pieces, texts
 
 #: Labelled rows of each class that training takes, and characters of such a row at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 20_000
 #: Vectors are kept for so many hashed n-grams, of so many numbers each.
 BUCKETS, DIM = 1 << 16, 6
-#: Shortest and longest n-gram of a word between < and >, and words that are averaged together.
-SHORTEST, LONGEST, SEGMENT = 3, 6, 16
-_CACHE = 150_000
+#: Shortest and longest n-gram of a word between < and >.
+SHORTEST, LONGEST = 3, 6
+#: Words of a block; two blocks on end are a segment, whose words are averaged together.
+BLOCK = 8
+#: A longer run of letters counts as several words, which overlap so that no n-gram is lost.
+LONG_RUN = 40
+#: Words whose scores a Python worker keeps, and bytes of text that are held split up.
+CACHE_WORDS, TEXT_BYTES = 400_000, 2 << 20
 _WORDS = regex.compile(r"\p{L}+")
+_PRIME = 0x9E3779B97F4A7C15  # odd, so products keep all 64 bits apart
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """The lower-cased runs of letters between < and >, long ones in pieces of LONG_RUN characters."""
+    found = [f"<{w}>" for w in _WORDS.findall(text.lower())]
+    if found and max(map(len, found)) > LONG_RUN:
+        step = LONG_RUN - LONGEST + 1
+        found = [w[i : i + LONG_RUN] for w in found for i in range(0, max(1, len(w) - LONGEST + 1), step)]
+    return found
 
 
-def buckets(word: str) -> list[int]:
-    """The buckets of the word itself and of its character n-grams."""
-    raw = f"<{word[:64]}>"
-    grams = {raw} | {raw[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(raw) - n + 1)}
-    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
+def buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each word itself and of its character n-grams, one after another, and how many a word has."""
+    sizes = np.array([len(w) for w in found], dtype=np.int64)
+    chars = np.frombuffer("".join(found).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    left = ends[owner] - np.arange(len(chars))  # characters from here to the word's end
+    powers = np.cumprod(np.full(max(int(sizes.max(initial=1)), LONGEST), _PRIME, dtype=np.uint64))
+    hashes = [np.add.reduceat(chars * powers[np.arange(len(chars)) - (ends - sizes)[owner]], ends - sizes) if len(found) else chars]
+    owners = [np.arange(len(found))]
+    grown = np.zeros(len(chars), dtype=np.uint64)
+    for n in range(1, LONGEST + 1):
+        grown[: len(chars) - n + 1] += chars[n - 1 :] * powers[n - 1]
+        if n >= SHORTEST:
+            fits = left >= n
+            hashes.append(grown[fits] ^ np.uint64(n))
+            owners.append(owner[fits])
+    flat, of_word = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(of_word, kind="stable")
+    flat = (flat ^ (flat >> np.uint64(29))) * np.uint64(_PRIME) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+    return flat[order].astype(np.int64), np.bincount(of_word, minlength=len(found))
+
+
+def _segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of texts of ``counts`` words, one after another: their text, first block, last block, and words.
+
+    Segments overlap by a block; a text of one block is one segment.
+    """
+    n_blocks = -(-counts // BLOCK)
+    first_block = np.cumsum(n_blocks) - n_blocks
+    size = np.full(int(n_blocks.sum()), BLOCK, dtype=np.int64)
+    size[(first_block + n_blocks - 1)[counts > 0]] = (counts - BLOCK * (n_blocks - 1))[counts > 0]
+    n = np.where(counts > 0, np.maximum(n_blocks - 1, 1), 0)
+    text = np.repeat(np.arange(len(counts)), n)
+    first = first_block[text] + np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    last = np.where(n_blocks[text] > 1, first + 1, first)
+    held = size[first] + np.where(last > first, size[last], 0)
+    return text, first, last, held
 
 
 @dataclass
 class Model:
-    """``odds``: each bucket's vector times the difference of the two softmax rows, plus calibration."""
+    """``odds``: each bucket's vector times the difference of the two softmax rows; and the calibration."""
 
     odds: np.ndarray
     slope: float
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.odds[buckets(word)].mean())
-
-    def raw(self, text: str, cache: dict[str, float]) -> float:
-        """The highest mean over segments of SEGMENT words; 0 without words."""
-        found = words(text)
-        if not found:
-            return 0.0
-        row = []
-        for w in found:
-            x = cache.get(w)
-            if x is None:
-                x = self.word(w)
-                if len(cache) < _CACHE:
-                    cache[w] = x
-            row.append(x)
-        starts = np.arange(0, len(row), SEGMENT)
-        sums = np.add.reduceat(np.array(row), starts)
-        return float((sums / np.minimum(SEGMENT, len(row) - starts).clip(SEGMENT // 2)).max())
-
-    def score(self, text: str, cache: dict[str, float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(text, cache) + self.bias, -30, 30))))
+    def words(self, found: list[str]) -> np.ndarray:
+        """The mean of each word's buckets."""
+        flat, counts = buckets(found)
+        return np.add.reduceat(self.odds[flat], np.cumsum(counts) - counts) / counts if found else np.empty(0)
+
+
+class Scorer:
+    """Scores of a model; the words met are kept, and forgotten when they are too many."""
+
+    def __init__(self, model: Model):
+        self.model, self.at, self.values = model, {}, np.empty(0)
+
+    def raw(self, docs: list[str]) -> np.ndarray:
+        """The highest mean over a text's segments; 0 without words."""
+        rows = [words(x) for x in docs]
+        if len(self.at) > CACHE_WORDS:
+            self.at, self.values = {}, np.empty(0)
+        found = [list(map(self.at.get, row)) for row in rows]
+        late = [i for i, places in enumerate(found) if None in places]
+        new = list(dict.fromkeys(w for i in late for w, at in zip(rows[i], found[i]) if at is None))
+        if new:
+            self.at.update(zip(new, range(len(self.values), len(self.values) + len(new))))
+            self.values = np.concatenate([self.values, self.model.words(new)])
+        for i in late:
+            found[i] = list(map(self.at.__getitem__, rows[i]))
+        counts = np.array([len(x) for x in found], dtype=np.int64)
+        out = np.zeros(len(docs))
+        if counts.any():
+            values = self.values[np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum()))]
+            text, first, last, held = _segments(counts)
+            starts = np.concatenate([np.arange(0, n, BLOCK) + at for at, n in zip(np.cumsum(counts) - counts, counts)])
+            sums = np.add.reduceat(values, starts)
+            z = (sums[first] + np.where(last > first, sums[last], 0.0)) / np.maximum(held, BLOCK)
+            some = np.flatnonzero(counts)
+            out[some] = np.maximum.reduceat(z, np.searchsorted(text, some))
+        return out
+
+    def score(self, docs: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * self.raw(docs) + self.model.bias, -30, 30)))
 
 
 def fit(samples: list[tuple[str, int]], rounds: int = 150, seed: int = 7) -> Model:
@@ -84,39 +145,33 @@ def fit(samples: list[tuple[str, int]], rounds: int = 150, seed: int = 7) -> Mod
     cut = len(samples) // 6
     learn, check = samples[cut:], samples[:cut]
     vocabulary: dict[str, int] = {}
-    tokens, seg_doc, seg_len, labels = array("i"), array("i"), array("i"), []
+    tokens, sizes, labels = array("i"), [], []
     for text, label in learn:
-        found = words(text)
-        if not found:
-            continue
-        tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
-        n = -(-len(found) // SEGMENT)
-        seg_doc.extend([len(labels)] * n)
-        seg_len.extend([SEGMENT] * (n - 1) + [len(found) - SEGMENT * (n - 1)])
-        labels.append(label)
+        if found := words(text):
+            tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+            sizes.append(len(found))
+            labels.append(label)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, -4.0 if not labels or labels[0] == 0 else 4.0)
-    tok, seg_doc, seg_len = np.array(tokens), np.array(seg_doc), np.array(seg_len)
-    y = np.array(labels, dtype=float)
-    seg_of_tok = np.repeat(np.arange(len(seg_len)), seg_len)
-    tok_doc = seg_doc[seg_of_tok]
+    tok, y, counts = np.array(tokens), np.array(labels, dtype=float), np.array(sizes)
+    seg_doc, seg_first, seg_last, held = _segments(counts)
+    denominator = np.maximum(held, BLOCK).astype(float)
+    two = seg_last > seg_first
+    tok_doc = np.repeat(np.arange(len(y)), counts)
+    place = np.arange(len(tok)) - (np.cumsum(counts) - counts)[tok_doc]
+    n_blocks = -(-counts // BLOCK)
+    tok_block = (np.cumsum(n_blocks) - n_blocks)[tok_doc] + place // BLOCK
     # a bucket must occur in three texts
-    packed, counts = array("i"), array("i")
-    for w in vocabulary:
-        row = buckets(w)
-        packed.extend(row)
-        counts.append(len(row))
+    flat, per_word = buckets(list(vocabulary))
     n_words = len(vocabulary)
     del vocabulary
-    sizes, flat = np.array(counts), np.array(packed)
-    of_word = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), per_word)
     pairs = np.unique(tok * np.int64(len(y)) + tok_doc)
-    per_word = np.bincount(pairs // len(y), minlength=n_words)
-    seen = np.bincount(flat, weights=per_word[of_word], minlength=BUCKETS)
+    met = np.bincount(pairs // len(y), minlength=n_words)
+    seen = np.bincount(flat, weights=met[of_word], minlength=BUCKETS)
     use = seen[flat] >= 3
     flat, of_word = flat[use], of_word[use]
-    weight = (1.0 / sizes[of_word]).astype(np.float32)
-    denominator = np.maximum(seg_len, SEGMENT // 2).astype(float)
+    weight = (1.0 / per_word[of_word]).astype(np.float32)
     n_segs = np.bincount(seg_doc, minlength=len(y))
     first = np.concatenate([[0], np.cumsum(n_segs)[:-1]])
 
@@ -128,7 +183,8 @@ def fit(samples: list[tuple[str, int]], rounds: int = 150, seed: int = 7) -> Mod
     for step in range(1, rounds + 1):
         scalar = vec @ row
         word_odds = np.bincount(of_word, weights=scalar[flat] * weight, minlength=n_words)
-        z = np.bincount(seg_of_tok, weights=word_odds[tok], minlength=len(seg_len)) / denominator + bias
+        sums = np.bincount(tok_block, weights=word_odds[tok], minlength=int(n_blocks.sum()))
+        z = (sums[seg_first] + np.where(two, sums[seg_last], 0.0)) / denominator + bias
         if step <= rounds // 4:
             share = 1.0 / n_segs[seg_doc]
         else:
@@ -136,7 +192,9 @@ def fit(samples: list[tuple[str, int]], rounds: int = 150, seed: int = 7) -> Mod
             share = np.where(y[seg_doc] > 0, top, 0.5 * top + 0.5 / n_segs[seg_doc])
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = (p - y[seg_doc]) * share * balance[seg_doc] / len(y)
-        word_g = np.bincount(tok, weights=(g / denominator)[seg_of_tok], minlength=n_words)
+        block_g = np.bincount(seg_first, weights=g / denominator, minlength=len(sums))
+        block_g += np.bincount(seg_last[two], weights=(g / denominator)[two], minlength=len(sums))
+        word_g = np.bincount(tok, weights=block_g[tok_block], minlength=n_words)
         bucket_g = np.bincount(flat, weights=word_g[of_word] * weight, minlength=BUCKETS)
         grads = (bucket_g[:, None] * row[None, :] + 1e-7 * vec, bucket_g @ vec)
         bias -= 0.5 * float(g.sum())
@@ -146,9 +204,10 @@ def fit(samples: list[tuple[str, int]], rounds: int = 150, seed: int = 7) -> Mod
             move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
             value -= move * (bucket_g != 0)[:, None] if value is vec else move
     model = Model(vec @ row, 1.0, bias)
-    held = check if len({x for _, x in check}) > 1 else samples
-    cache: dict[str, float] = {}
-    x, t = np.array([model.raw(text, cache) for text, _ in held]), np.array([label for _, label in held], dtype=float)
+    held = check if len({label for _, label in check}) > 1 else samples
+    scorer = Scorer(model)
+    x = np.concatenate([scorer.raw([text for text, _ in held[k : k + 256]]) for k in range(0, len(held), 256)])
+    t = np.array([label for _, label in held], dtype=float)
     scale = max(float(np.abs(x).max()), 1e-9)
     u = x / scale
     a, b = 5.0, 0.0
@@ -183,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs``, and ``toxic_score`` (0 to 1), which replaces one of that name.
 
-    Whole texts count: a text scores as its most toxic segment. Null, empty and wordless texts
+    Whole texts count: a text scores as its most toxic segment of 16 words, and segments overlap
+    by half. Null, empty and wordless texts
     score as a text whose words say nothing. No other column is read.
     """
     names = [c for c in docs.columns if c != "toxic_score"]
@@ -191,9 +251,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
-        for batch in batches:
-            got = pa.array([m.score(x, cache) for x in texts(batch.column(text))], pa.float64())
+        m = shared.value
+        scorer = kept_by_worker(("toxicity", id(m)), lambda: Scorer(m))  # a scorer holds its model, so the id stays its own
+        for batch in pieces(batches, text, TEXT_BYTES):
+            got = pa.array(scorer.score(texts(batch.column(text))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*names, "toxic_score"])
 
     return kept.mapInArrow(work, extended(kept, toxic_score=T.DoubleType()))

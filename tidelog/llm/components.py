@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, root) of every node that ``links`` names; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each node's neighbours are tied to the
-    smallest of them, which halves path lengths. Only a minimum per node is kept, so a hub
-    with very many links never meets in one task as a list. Self-links, nulls and repeated
+    smallest of them, which halves path lengths. Only a minimum per node is kept, and the links
+    of a hub with very many are spread over tasks. Self-links, nulls and repeated
     links are ignored. Each round is checkpointed.
     """
     edges = durable(
@@ -31,17 +31,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if not before[0]:
             break
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(lowest, "hi")
-        edges = durable(
-            joined.select("hi", F.col("m").alias("lo"))
-            .union(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-            .distinct()
-        )
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        least = near.select("u", F.least("u", "m").alias("m"))
+        up = spread_join(both.where("v > u"), least, ["u"], ["v"], total=before[0], counts=near)
+        large = durable(up.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        joined = spread_join(large, lowest.select("hi", "m"), ["hi"], ["lo"], total=before[0], counts=lowest)
+        ties = F.array(F.struct("hi", F.col("m").alias("lo")), F.when(F.col("lo") != F.col("m"), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))
+        edges = durable(joined.select(F.explode(ties).alias("tie")).where("tie IS NOT NULL").select("tie.*").distinct())
         after = _state(edges)
         if after == before:
             break

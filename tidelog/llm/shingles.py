@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exactly, by prefix filtering."""
+"""Near duplicates at a Jaccard similarity of word shingles: SimHash pairs, verified, then completed by prefix filtering."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import bounded_sample, durable, extended, stored, utf8
+from tidelog.llm import simhash
+from tidelog.llm.common import bounded_sample, durable, extended, spread_join, stored, utf8
 from tidelog.llm.components import connected_components
 
 #: Words of a shingle; texts are near duplicates at PART / WHOLE of similarity or more.
@@ -20,6 +21,8 @@ WIDTH, PART, WHOLE = 5, 4, 5
 SAMPLE_TEXTS, COMMON = 5_000, 200_000
 #: Texts to verify that are picked out by a broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rounds in which texts meet one of their block, and pairs left for each row of a block that end them.
+ROUNDS, PAIRS_PER_ROW = 8, 8
 
 
 def words_hash(text: bytes) -> int:
@@ -72,7 +75,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(texts: DataFrame) -> DataFrame:
-    """(h, node, n, rest, head): prefix shingles that several texts share, and the block's smallest text.
+    """(h, node, n, rest): the prefix shingles that several texts share.
 
     ``n`` counts a text's shingles, ``rest`` those from ``h`` on in the order of rarity.
     """
@@ -87,10 +90,9 @@ def _blocks(texts: DataFrame) -> DataFrame:
                     columns = [h, np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(n, n - len(h), -1, dtype=np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "n", "rest"])
 
-    rows = texts.select("node", "text").mapInArrow(work, "h long, node long, n int, rest int")
-    block = Window.partitionBy("h")
-    seen = rows.withColumn("head", F.min(F.struct("node", "n", "rest")).over(block)).withColumn("tail", F.max("node").over(block))
-    return durable(seen.where("head.node < tail").drop("tail"))
+    rows = durable(texts.select("node", "text").mapInArrow(work, "h long, node long, n int, rest int"))
+    shared_by = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("h")
+    return durable(spread_join(rows, shared_by, ["h"], ["node"]))
 
 
 def _may_be_alike(a: str, b: str) -> str:
@@ -104,7 +106,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     if nodes.count() <= BROADCAST_KEYS:
         nodes = F.broadcast(nodes)
     picked = stored(texts.join(nodes, "node", "left_semi").select("node", "text"), "alike")
-    both = pairs.join(picked.toDF("a", "text_a"), "a").join(picked.toDF("b", "text_b"), "b")
+    both = spread_join(pairs, picked.toDF("a", "text_a"), ["a"], ["b"]).join(picked.toDF("b", "text_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,17 +119,50 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct())
 
 
+def _with_roots(blocks: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """Blocks with the ``root`` of each text's group so far."""
+    own = blocks.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return spread_join(blocks, own, ["node"], ["h"], total=size)
+
+
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): texts whose fingerprints of five-word shingles are equal or differ in two bits, by one text of each fingerprint."""
+    prints = durable(simhash.fingerprints(texts, keep=("node",), width=WIDTH))
+    first = durable(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = spread_join(prints, first, ["fp"], ["node"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.near_pairs(first).join(first.toDF("a", "node_a"), "a").join(first.toDF("b", "node_b"), "b")
+    return durable(same.union(near.select("node_a", "node_b")))
+
+
+def _to_heads(blocks: DataFrame, round_: int, size: int) -> DataFrame:
+    """(a, b): each text of a block with its head, a text chosen anew by each round, where they may be alike.
+
+    Texts of the head's own group are left out.
+    """
+    rows = blocks.select("h", F.struct("node", "n", "rest").alias("own"), "root")
+    order = F.col("own.node") if not round_ else F.xxhash64(F.lit(round_), "own.node")
+    heads = rows.groupBy("h").agg(F.min_by(F.struct("own", "root"), order).alias("head")).select("h", F.col("head.own").alias("head"), F.col("head.root").alias("head_root"))
+    met = spread_join(rows, heads, ["h"], ["own"], total=size).where((F.col("root") != F.col("head_root")) & F.expr(_may_be_alike("head", "own")))
+    ends = [F.col("head.node"), F.col("own.node")]
+    # the head stays first: its pairs are many, and a join by it is spread over tasks
+    return durable(met.select(ends[0].alias("a"), ends[1].alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, component_id, keeps) of every row; ``key`` is xxhash64 of the text.
 
     ``keeps`` is true for the rows of the group's smallest (doc_id, key).
 
     ``component_id`` is the smallest doc_id reachable over pairs of texts whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more. No pair is missed: sets that
-    are alike share one of their rarest shingles, and what shares one is compared in full.
-    Each text is held against the smallest of its blocks first; after that only texts of
-    different groups are, so a large group of near copies does not make all of its pairs.
-    Texts of the same words meet as one. Nulls and repeats are as in ``simhash``.
+    five-word shingles have a Jaccard similarity of 0.8 or more. Pairs that the SimHash
+    operator's pigeonhole blocks find at two bits are verified first; but of texts at 0.8 most
+    fingerprints differ in 3 to 14 bits, where such blocks no longer tell them apart from others.
+    So no pair is missed, the shingles go on: sets that are alike share one of their rarest
+    shingles, and what shares one is compared in full. A block is the texts that share one.
+    Each text is held against one of each of its blocks first, in further rounds against another
+    as long as texts of different groups would still make too many pairs; then those of different
+    groups are held against each other. So a large group of near copies does not make all of its
+    pairs. Texts of the same words meet as one. Nulls and repeats are as in ``simhash``.
     """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
 
@@ -140,23 +175,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = prints.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     # one row of each node's texts; where a row is repeated, the text comes twice and the pairs are made distinct
     chosen = first.select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("key"))
-    texts = stored(
-        keyed.join(chosen, "key").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text"), "distinct"
-    )
+    same = (keyed.key == chosen.key) & keyed.doc_id.eqNullSafe(chosen["__id"])  # both are keys of the join: no text's copies meet
+    texts = stored(keyed.join(chosen, same).select("node", "text"), "distinct")
     blocks = _blocks(texts)
-    to_head = blocks.where("head.node < node").select(F.col("head"), F.struct("node", "n", "rest").alias("own"))
-    stars = durable(to_head.where(_may_be_alike("head", "own")).select(F.col("head.node").alias("a"), F.col("own.node").alias("b")).distinct())
-    links = _verified(texts, stars)
+    size = blocks.count()
+    links = _verified(texts, _simhash_pairs(texts))
     roots = connected_components(links)
-    grouped = blocks.join(roots, "node", "left").select("h", F.struct("node", "n", "rest").alias("own"), F.coalesce("root", "node").alias("root"))
-    mixed = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    left = durable(grouped.join(mixed, "h", "left_semi"))
-    x, y = left.select("h", F.col("own").alias("x"), F.col("root").alias("p")), left.select("h", F.col("own").alias("y"), F.col("root").alias("q"))
+    for round_ in range(ROUNDS):
+        grouped = durable(_with_roots(blocks, roots, size))
+        links = durable(links.union(_verified(texts, _to_heads(grouped, round_, size))).distinct())
+        roots = connected_components(links)
+        grouped = durable(_with_roots(blocks, roots, size))
+        in_block = grouped.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h")
+        open_ = durable(in_block.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own").select("h", "n", "own"))
+        pairs = open_.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        if pairs <= PAIRS_PER_ROW * size:
+            break
+    left = durable(spread_join(grouped, open_.select("h"), ["h"], ["node"], total=size))
+    one = lambda x, p: left.select("h", F.struct("node", "n", "rest").alias(x), F.col("root").alias(p))
+    x, y = one("x", "p"), one("y", "q")
     others = (
         x.join(y, (x.h == y.h) & (F.col("x.node") < F.col("y.node")) & (F.col("p") != F.col("q")) & F.expr(_may_be_alike("x", "y")))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
     roots = connected_components(links.union(_verified(texts, durable(others))))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
@@ -164,4 +205,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     whole = reps.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
     named = reps.join(whole, "root", "left").select("node", F.coalesce("least", "rep").alias("first"))
     keeps = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.lit(False))
-    return prints.join(named, "node").select("doc_id", "key", F.col("first.doc_id").alias("component_id"), keeps.alias("keeps"))
+    return spread_join(prints, durable(named), ["node"], ["doc_id", "key"]).select("doc_id", "key", F.col("first.doc_id").alias("component_id"), keeps.alias("keeps"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, extended, utf8
+from tidelog.llm.common import durable, extended, refuse, spread_join, utf8
 from tidelog.llm.components import connected_components
 
 
@@ -38,7 +38,8 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3) -> DataFrame:
-    """``keep`` columns and ``fp`` (long) of each row. A null text counts as empty: fp 0."""
+    """``keep`` columns (none of them called ``fp``) and ``fp`` (long) of each row. A null text counts as empty: fp 0."""
+    refuse(keep, "fp")
     kept = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def near_duplicates(
     give a row each; a null doc_id never is a component's id unless all its doc_ids are null.
     """
     prints = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     links = durable(near_pairs(reps, distance, blocks))
     roots = connected_components(links)
     degree = (
@@ -119,7 +120,10 @@ def near_duplicates(
     )
     classes = reps.join(linked, "fp", "left").select(
         "fp",
+        "n",
         F.coalesce("component_id", "rep").alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
-    return prints.join(classes, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    # copies of a fingerprint may be a third of all rows
+    classes = durable(classes)
+    return spread_join(prints, classes.drop("n"), ["fp"], ["doc_id"], counts=classes.select("fp", "n")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_links")

@@ -15,37 +15,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import extended, utf8
+from tidelog.llm.common import extended, refuse, utf8
 
 #: Payload bytes are laid out in rows of this many 8-bit samples.
 ROW = 64
 #: Height and width of a tile; hashes compare neighbours on a grid of (8, 9).
 TILE = (32, 32)
-#: Pixels of one image at most, so that a wrong header cannot ask for unbounded memory.
-MAX_PIXELS = 1 << 28
-
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
+_COMMENT = re.compile(rb"#[^\n]*(\n|$)")
 
 
 def _netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6: plain and raw bitmaps (0 black, 255 white), grey and colour maps."""
+    """P1 to P6: plain and raw bitmaps (0 black, 255 white), grey and colour maps, scaled to 255."""
     kind, at, numbers = data[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _TOKEN.match(data, at)
-        if not m:
-            raise ValueError("Netpbm header is cut short")
+        if not m or len(m[1]) > 10:
+            raise ValueError("Netpbm header is cut short, or a number of it is too long")
         numbers.append(int(m[1]))
         at = m.end()
     width, height, *rest = numbers
     depth, most = (3 if kind in (3, 6) else 1), (rest[0] if rest else 1)
-    if not (0 < width * height <= MAX_PIXELS and 0 < most < 65536):
+    if not (width * height and 0 < most < 65536):
         raise ValueError("Netpbm size or greatest value is out of range")
     count = width * height * depth
+    if count > 8 * len(data):  # so no wrong header asks for more memory than its file does
+        raise ValueError("Netpbm samples are cut short")
     if kind == 1:
-        bits = re.sub(rb"#[^\n]*\n|\s", b"", data[at:])
-        values = np.frombuffer(bits, dtype=np.uint8)[:count] - 48
+        bits = re.sub(rb"\s", b"", _COMMENT.sub(b"", data[at:]))
+        values = np.frombuffer(bits[:count], dtype=np.uint8) - 48
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n]*\n", b"\n", data[at:]).split()[:count], dtype=np.int64)
+        tokens = _COMMENT.sub(b"\n", data[at:]).split(None, count)[:count]
+        if not all(x.isdigit() and len(x) <= 5 for x in tokens):
+            raise ValueError("a Netpbm sample is no number or too long")
+        values = np.array([int(x) for x in tokens], dtype=np.int64)
     else:
         body = memoryview(data)[at + 1 :]
         if kind == 4:
@@ -61,37 +64,46 @@ def _netpbm(data: bytes) -> np.ndarray:
             values = np.frombuffer(body, dtype=size, count=count)
     if values.size != count:
         raise ValueError("Netpbm samples are cut short")
+    if most < np.iinfo(values.dtype).max and values.max() > most:
+        raise ValueError("a Netpbm sample is above the greatest value")
     if kind in (1, 4):
         values = (1 - values.astype(np.uint8)) * 255
-    elif most > 255:
-        values = (values.astype(np.int64) * 255 // most).astype(np.uint8)
-    elif most < 255 and kind in (2, 3):
-        values = (values * 255 // most).astype(np.uint8)
+    elif most != 255:
+        values = values.astype(np.int64) * 255 // most
     values = values.astype(np.uint8, copy=False)
     return values.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
 def _bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP with 1, 4, 8 (palette), 24 or 32 bits; grey where the palette is grey."""
+    """Uncompressed BMP with 1, 4, 8 (palette), 16, 24 or 32 bits, by colour masks too; grey where the palette is grey."""
     if len(data) < 54:
         raise ValueError("BMP header is cut short")
     (offset,) = struct.unpack_from("<I", data, 10)
     header, width, height, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
     flipped, height = height > 0, abs(height)
-    if not (0 < width * height <= MAX_PIXELS) or packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if header < 40 or not (width > 0 < height) or bits not in (1, 4, 8, 16, 24, 32) or packing not in ((0, 3) if bits in (16, 32) else (0,)):
         raise ValueError("BMP form is not supported")
     stride = (width * bits + 31) // 32 * 4
     if len(data) < offset + stride * height:
         raise ValueError("BMP samples are cut short")
     rows = np.frombuffer(data, dtype=np.uint8, count=stride * height, offset=offset).reshape(height, stride)
     rows = rows[::-1] if flipped else rows
-    if bits >= 24:
+    if bits == 24 or (bits == 32 and not packing):
         step = bits // 8
         return np.ascontiguousarray(rows[:, : width * step].reshape(height, width, step)[:, :, 2::-1])
+    if bits > 8:
+        if packing and len(data) < 66:
+            raise ValueError("BMP masks are cut short")
+        masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(rows[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.int64)
+        shifts = [(m & -m).bit_length() - 1 if m else 0 for m in masks]
+        return np.stack([((pixels & m) >> s) * 255 // max(1, m >> s) for m, s in zip(masks, shifts)], axis=2).astype(np.uint8)
     if bits < 8:
         parts = np.unpackbits(rows, axis=1).reshape(height, -1, bits)
         rows = (parts * (1 << np.arange(bits)[::-1])).sum(axis=2).astype(np.uint8)
-    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    used = min(struct.unpack_from("<I", data, 46)[0] or 1 << bits, 1 << bits)
+    if len(data) < 14 + header + 4 * used:
+        raise ValueError("BMP palette is cut short")
     palette = np.frombuffer(data, dtype=np.uint8, count=4 * used, offset=14 + header).reshape(-1, 4)[:, 2::-1]
     if (palette == palette[:, :1]).all():
         palette = palette[:, 0]
@@ -101,7 +113,10 @@ def _bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An 8-bit array (height, width) or (height, width, 3) of a Netpbm or BMP file."""
+    """An 8-bit array (height, width) or (height, width, 3) of a Netpbm or BMP file; ValueError if it is none.
+
+    What follows the samples is left unread; an index past the palette is black.
+    """
     if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
         return _netpbm(data)
     if data[:2] == b"BM":
@@ -170,7 +185,9 @@ def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     """``keep`` columns, ``n_bytes`` of the UTF-8 text and ``media``, an image whose samples are the text.
 
     The text is filled with zero bytes up to a positive multiple of ROW; null counts as empty.
+    ``keep`` may not name ``n_bytes`` or ``media``.
     """
+    refuse(keep, "n_bytes", "media")
     kept = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

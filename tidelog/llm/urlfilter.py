@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import bitmap, durable, in_bitmap, refuse, spread_join
 
 #: Bits per listed URL, bits of a block (8 words of 32), and bytes of the filter at most.
 BITS_PER_KEY, BLOCK_BITS, FILTER_BYTES = 12, 256, 64 << 20
+#: Bits of the map of listed hosts, and of path lengths by host, at most (4 MB).
+HOST_BITS = 1 << 25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,11 +59,14 @@ def judge(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id"
     verdict. ``rule`` is its host and path; where none fits it is null and the verdict is
     ``default``: what is not listed. Rules with a null part are ignored.
 
-    Each distinct host and path is judged once, then joined back. Its candidates (host
-    suffixes with as many labels, path prefixes of such lengths, as rules have) are held
-    against the filter, whose size is bounded and so is broadcast; those that pass meet the
-    list in an ordinary join by key, so the list may have any size.
+    Each distinct host and path is judged once, then joined back, spread where many pages have
+    it. Of a host's suffixes those go on that a bitmap of listed hosts may hold, and of the
+    path's prefixes those of lengths that it may hold for that suffix; so a long list of many
+    lengths does not multiply the pages. They are held against the filter, whose size is bounded
+    and so is broadcast; those that pass meet the list in an ordinary join by key, so the list
+    may have any size. ``keep`` may not name a result.
     """
+    refuse(keep, "host", "path", "rule", "verdict")
     host, path = host_and_path(F.col(url))
     rows = pages.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), host.alias("host"), path.alias("path"))
     listed = durable(
@@ -72,18 +77,22 @@ def judge(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id"
     )
     shape = listed.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"))
     n, labels, lengths = shape.agg(F.count("*"), F.collect_set("labels"), F.collect_set("length")).first()
-    distinct = rows.select("host", "path").distinct()
+    of_length = lambda s, k: F.xxhash64(s, k.cast("int"))
+    hosts = listed.select(F.explode(F.array(F.xxhash64("host"), of_length("host", F.length("path")))).alias("h"))
+    known, bits = bitmap(hosts, "h", 2 * n, HOST_BITS)
+    judged = durable(rows.groupBy("host", "path").agg(F.count("*").alias("n")))
     parts = F.split("host", r"\.")
     suffixes = F.transform(
         F.filter(F.lit(sorted(labels)).cast("array<int>"), lambda k: k <= F.size(parts)),
         lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."),
     )
-    prefixes = F.transform(
-        F.filter(F.lit(sorted(lengths)).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k)
-    )
+    prefixes = F.filter(F.lit(sorted(lengths)).cast("array<int>"), lambda k: k <= F.length("path"))
     candidates = (
-        distinct.select("host", "path", F.explode(suffixes).alias("s"))
-        .select("host", "path", "s", F.explode(prefixes).alias("p"))
+        judged.select("host", "path", F.explode(suffixes).alias("s"))
+        .where(in_bitmap(known, bits, F.xxhash64("s")))
+        .select("host", "path", "s", F.explode(prefixes).alias("k"))
+        .where(in_bitmap(known, bits, of_length("s", F.col("k"))))
+        .select("host", "path", "s", F.substring(F.col("path"), F.lit(1), F.col("k")).alias("p"))
         .withColumn("h", _key_hash(F.col("s"), F.col("p")))
     )
     blocks, n_blocks = build_filter(listed, n)
@@ -95,8 +104,9 @@ def judge(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id"
     )
     rule = F.struct((F.length("s") + F.length("p")).alias("length"), F.length("s").alias("host_length"), F.concat("s", "p").alias("rule"), "verdict")
     exact = listed.select(F.col("host").alias("s"), F.col("path").alias("p"), "verdict")
-    best = possible.join(exact, ["s", "p"]).groupBy("host", "path").agg(F.max(rule).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    best = durable(possible.join(exact, ["s", "p"]).groupBy("host", "path").agg(F.max(rule).alias("best")))
+    by = [f"__{i}" for i in range(len(keep))] or ["host"]
+    return spread_join(rows, best, ["host", "path"], by, how="left", counts=judged).select(
         *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)),
         "host",
         "path",

@@ -2,7 +2,9 @@
 
 import datetime
 
-from tidelog.llm import warc
+import numpy as np
+
+from tidelog.llm import queries, warc
 
 
 def text(kind, name, date, http, payload=""):
@@ -40,3 +42,70 @@ def test_dates(spark):
     got = [r[0] for r in frame.select(warc.timestamp(frame.d).cast("string")).collect()]
     want = ["2024-01-01 00:00:00", "2024-03-01 00:00:00", "2024-03-04 00:00:00", "2024-03-04 05:06:00", "2024-03-04 05:06:07", "2024-03-04 05:06:07.123456"]
     assert got == [*want, None, None, None] and datetime.datetime.fromisoformat(got[0])
+
+
+def test_content_length_and_profiles(spark):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {}\r\nWARC-Profile: p\r\nWARC-Refers-To: q\r\n{}\r\n\r\n"
+    top, body = "HTTP/1.1 200 OK\r\nA: 1\r\n\r\n", "né\r\n\r\n"
+    cut = len((top + body).encode())
+    rows = [
+        (head.format("a", f"Content-Length: {cut}") + top + body + "\r\n\r\n",),  # the payload ends in a blank line itself
+        (head.format("b", f"Content-Length: {cut - 6}") + top + body + "\r\n\r\n",),
+        (head.format("c", "Content-Length: x") + top + body + "\r\n\r\n",),
+        (head.format("d", "Content-Length: 99999") + top + body + "\r\n\r\n",),
+        (head.format("e", f"Content-Length: {cut}") + top + body,),
+        (head.format("f", "Content-Length: 0") + top + body,),
+    ]
+    got = {r.record_id: r for r in warc.parse_records(spark.createDataFrame(rows, "warc string")).collect()}
+    assert {k: r.payload for k, r in got.items()} == {"a": body, "b": "n", "c": body, "d": body, "e": body, "f": ""}
+    assert {(r.profile, r.refers_to) for r in got.values()} == {("p", "q")}
+
+
+def test_revisits_of_other_profiles_and_brute_force(spark):
+    rng = np.random.default_rng(12)
+    profiles = [None, "http://x/revisit/server-not-modified", "http://x/revisit/identical-payload-digest"]
+    rows = [
+        (
+            f"{'vr'[int(k)]}{i}",
+            ("revisit", "response")[int(k)],
+            None if rng.random() < 0.2 else f"http://h{rng.integers(3)}.com/",
+            None if rng.random() < 0.1 else int(rng.integers(0, 60)),
+            profiles[int(rng.integers(3))],
+            {x: str(rng.integers(2)) for x in ("etag", "last-modified", "vary") if rng.random() < 0.6},
+            f"p{i}" if k else None,
+            "x" * 10,
+        )
+        for i, k in enumerate(rng.integers(0, 2, 300))
+    ]
+    given = spark.createDataFrame(
+        rows, "record_id string, kind string, url string, captured long, profile string, headers map<string,string>, payload string, response string"
+    )
+    want = {}
+    for r in rows:
+        if r[1] == "response":
+            want[r[0]] = ("full", r[0], r[5], r[6])
+            continue
+        if r[4] == profiles[2]:
+            want[r[0]] = ("other_profile", None, r[5], None)
+            continue
+        before = [x for x in rows if x[1] == "response" and None not in (r[2], r[3], x[2], x[3]) and x[2] == r[2] and x[3] < r[3]]
+        if not before:
+            want[r[0]] = ("orphan", None, r[5], None)
+            continue
+        x = max(before, key=lambda y: (y[3], y[0]))
+        name = "etag" if "etag" in r[5] else "last-modified"
+        if name in r[5] and r[5][name] != x[5].get(name):
+            want[r[0]] = ("changed", None, r[5], None)
+        else:
+            merged = {**x[5], **{k: v for k, v in r[5].items() if k in ("etag", "vary")}}
+            want[r[0]] = ("resolved" if name in r[5] else "unverified", x[0], merged, x[6])
+    for buckets in (None, 5):
+        found = warc.with_payload(warc.resolve(given, buckets), given).collect()
+        assert {r.record_id: (r.status, r.response_id, r.headers, r.payload) for r in found} == want and len(found) == len(rows)
+    assert len({s for s, *_ in want.values()}) == 6
+
+
+def test_very_long_record(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", "é" * 3_000_000)], "page_id long, url string, html string")
+    got = [r for r in warc.parse_records(queries.crawl_records(pages)).collect() if r.kind == "response"]
+    assert got[0].payload == "é" * 3_000_000

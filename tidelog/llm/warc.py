@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, spread_join, stored
 
 #: Header fields that a not-modified response may update (fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that a canonical URL drops: by start and by name.
 TRACKING_START, TRACKING_NAMES = "utm_", ("ref", "fbclid", "gclid")
-#: Ranges of time that the records of one URL are spread over.
-BUCKETS = 64
+# Fixed value: the end of the profile of a revisit that tells of a not-modified response.
+NOT_MODIFIED = "server-not-modified"
+#: Ranges of time that the records of one URL are spread over: one for so many records, but of these numbers.
+RECORDS_PER_BUCKET, BUCKETS = 500_000, (64, 1024)
 _END = "\r\n"
 
 
@@ -74,38 +76,61 @@ def timestamp(date: Column) -> Column:
     return F.when(date.rlike(r"^[0-9]{4}(-|$)"), full.try_cast("timestamp"))
 
 
+def _fields(block: Column) -> Column:
+    """The header lines of a block after its first line, as a map of lower-cased names; of a repeated name the last counts."""
+    lines = F.split(block, "\r\n")
+    pairs = F.transform(
+        F.filter(F.slice(lines, 2, F.size(lines)), lambda y: F.instr(y, ":") > 1),  # the first is no header
+        lambda y: F.struct(
+            F.lower(F.trim(F.substring_index(y, ":", 1))).alias("k"),
+            F.trim(F.substr(y, F.instr(y, ":") + 1, F.length(y)), F.lit(" \t")).alias("v"),
+        ),
+    )
+    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+    # bound to a name: the pairs are taken once, not for each of them
+    return F.transform(F.array(pairs), lambda p: F.map_from_entries(last(p)))[0]
+
+
+def _payload(block: Column, top: Column, body: Column, length: Column) -> Column:
+    """What follows the HTTP header ``top`` in the record's block, of which ``length`` octets count."""
+    ended = F.when(body.endswith(_END + _END), F.expr("left(body, length(body) - 4)")).otherwise(body)
+    octets = F.octet_length(block)
+    room = length - F.octet_length(top) - 4
+    cut = F.decode(F.substring(F.encode(body, "utf-8"), F.lit(1), F.greatest(room, F.lit(0))), "utf-8")
+    # without a length, one that is no number or more than there is, and one that ends before the blank lines, these go
+    return F.when(length.isNull() | (length > octets) | (length == octets - 4), ended).otherwise(cut)
+
+
 def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
-    """(record_id, kind, url, captured, headers, payload) of records as text; null where a field is missing.
+    """(record_id, kind, url, captured, profile, refers_to, headers, payload) of records as text; null where a field is missing.
 
     Header names are lower-cased; of a repeated name the last counts. Rows that are null or no
     WARC record are left out. White space around a header's value does not count. ``captured``
-    is a timestamp.
+    is a timestamp. The payload is the part of the block after its HTTP header that
+    Content-Length counts in octets; without a usable length, all but two blank lines at the end.
+    ``profile`` and ``refers_to`` are WARC-Profile and WARC-Refers-To.
     """
     parts = F.split(F.col(warc), "\r\n\r\n", 3)
-
-    def fields(block: Column) -> Column:
-        lines = F.split(block, "\r\n")
-        pairs = F.transform(
-            F.filter(F.slice(lines, 2, F.size(lines)), lambda y: F.instr(y, ":") > 1),  # the first is no header
-            lambda y: F.struct(
-                F.lower(F.trim(F.substring_index(y, ":", 1))).alias("k"),
-                F.trim(F.substr(y, F.instr(y, ":") + 1, F.length(y)), F.lit(" \t")).alias("v"),
-            ),
-        )
-        last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
-        # bound to a name: the pairs are taken once, not for each of them
-        return F.transform(F.array(pairs), lambda p: F.map_from_entries(last(p)))[0]
-
+    top = F.get(parts, F.lit(1))
+    length = F.when(F.length(F.col("w")["content-length"]) <= 9, F.col("w")["content-length"].try_cast("int"))
     return (
         records.where(F.col(warc).startswith("WARC/"))
-        .select(fields(F.get(parts, F.lit(0))).alias("w"), fields(F.get(parts, F.lit(1))).alias("headers"), F.get(parts, F.lit(2)).alias("body"))
+        .select(
+            _fields(F.get(parts, F.lit(0))).alias("w"),
+            _fields(top).alias("headers"),
+            top.alias("top"),
+            F.get(parts, F.lit(2)).alias("body"),
+            F.substr(F.col(warc), F.instr(F.col(warc), "\r\n\r\n") + 4, F.length(F.col(warc))).alias("block"),
+        )
         .select(
             F.col("w")["warc-record-id"].alias("record_id"),
             F.col("w")["warc-type"].alias("kind"),
             F.col("w")["warc-target-uri"].alias("url"),
             timestamp(F.col("w")["warc-date"]).alias("captured"),
+            F.col("w")["warc-profile"].alias("profile"),
+            F.col("w")["warc-refers-to"].alias("refers_to"),
             "headers",
-            F.when(F.col("body").endswith(_END + _END), F.expr("left(body, length(body) - 4)")).otherwise(F.col("body")).alias("payload"),
+            _payload(F.col("block"), F.col("top"), F.col("body"), length).alias("payload"),
         )
     )
 
@@ -114,21 +139,30 @@ def _tag(value: Column) -> Column:
     return F.regexp_replace(value, "^W/", "")
 
 
-def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _other_profile(records: DataFrame) -> Column:
+    if "profile" not in records.columns:
+        return F.lit(False)
+    return (F.col("kind") == "revisit") & F.coalesce(~F.col("profile").endswith(NOT_MODIFIED), F.lit(False))
+
+
+def resolve(records: DataFrame, buckets: int | None = None) -> DataFrame:
     """(record_id, canonical_url, kind, captured, response_id, status, headers, payload_md5) of each record.
 
     A ``revisit`` takes the latest ``response`` of its canonical URL that was captured before it
     (of equal times the greatest record_id). Status: ``full`` for responses; ``resolved`` where
     the entity tags agree (weakly), or, if the revisit has none, the times of last change;
     ``changed`` where they don't; ``unverified`` where the revisit has neither; ``orphan`` where
-    there is no earlier response, the URL or the time is missing. A resolved or unverified
-    revisit gets the response's payload and its headers with the PERMITTED ones replaced. Other
-    kinds of record are left out; repeated records give a row each.
+    there is no earlier response, the URL or the time is missing; ``other_profile`` for a revisit
+    whose ``profile``, if the column is there, is neither null nor that of a not-modified
+    response. A resolved or unverified revisit gets the response's payload and its headers with
+    the PERMITTED ones replaced. Other kinds of record are left out; repeated records give a row
+    each.
 
     Records are spread by (URL, range of time): within a range the join is a running last
     value, and between ranges one row per URL and range is carried forward, so a URL with a
-    third of all records is shared by ``buckets`` tasks. Payloads are not shuffled:
-    ``with_payload`` joins them back. ``captured`` is a timestamp or a whole number.
+    third of all records is shared by ``buckets`` tasks. Records without URL or time take no part.
+    Payloads are not shuffled: ``with_payload`` joins them back. ``captured`` is a timestamp or a
+    whole number.
     """
     given = records.schema["captured"].dataType
     if isinstance(given, T.TimestampType):
@@ -139,41 +173,40 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         "kind",
         "captured",
         "headers",
+        _other_profile(records).alias("other_profile"),
         F.when(F.col("kind") == "response", F.md5(F.coalesce("payload", F.lit("")).cast("binary"))).alias("payload_md5"),
     )
-    rows = durable(rows)  # payloads are read once; what goes on is small
+    every = durable(rows)  # payloads are read once; what goes on is small
+    joins = F.col("canonical_url").isNotNull() & F.col("captured").isNotNull() & ~F.col("other_profile")
+    rows = every.where(joins)
+    if buckets is None:
+        buckets = min(max(rows.count() // RECORDS_PER_BUCKET, BUCKETS[0]), BUCKETS[1])
     steps = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("captured", steps, 1000)).first()[0] or []
+    bounds = rows.agg(F.percentile_approx("captured", steps, 20_000)).first()[0] or []
     bucket = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b <= F.col("captured")))
     rows = rows.withColumn("bucket", bucket)
-    response = F.when(
-        (F.col("kind") == "response") & F.col("canonical_url").isNotNull() & F.col("captured").isNotNull(),
-        F.struct("captured", "record_id", "headers", "payload_md5"),
-    )
-    # rows without URL or time cannot join; a hash of their id spreads them
-    spread = F.when(F.col("canonical_url").isNull() | F.col("captured").isNull(), F.pmod(F.xxhash64("record_id"), F.lit(1024)))
-    rows = rows.withColumns({"response": response, "spread": F.coalesce(spread, F.lit(-1))})
+    response = F.when(F.col("kind") == "response", F.struct("captured", "record_id", "headers", "payload_md5"))
+    rows = rows.withColumn("response", response)
     # strictly earlier: responses of the same second come after revisits of it
     order = ["captured", F.when(F.col("kind") == "revisit", 0).otherwise(1), "record_id"]
-    inside = Window.partitionBy("canonical_url", "bucket", "spread").orderBy(*order)
+    inside = Window.partitionBy("canonical_url", "bucket").orderBy(*order)
     here = rows.withColumn("near", F.last("response", ignorenulls=True).over(inside))
-    lasts = rows.where(F.col("response").isNotNull()).groupBy("canonical_url", "bucket").agg(
-        F.max_by("response", F.struct("captured", "record_id")).alias("newest")
-    )
     # a range without responses needs a carried one too
-    seen = rows.where("canonical_url IS NOT NULL AND captured IS NOT NULL").select("canonical_url", "bucket").distinct()
+    lasts = rows.groupBy("canonical_url", "bucket").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.struct("captured", "record_id"))).alias("newest"))
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        seen.join(lasts, ["canonical_url", "bucket"], "left")
-        .withColumn("far", F.last("newest", ignorenulls=True).over(before))
+        lasts.withColumn("far", F.last("newest", ignorenulls=True).over(before))
         .where(F.col("far").isNotNull())
         .select("canonical_url", "bucket", "far")
     )
     joined = here.join(carried, ["canonical_url", "bucket"], "left").withColumn("found", F.coalesce("near", "far"))
+    alone = every.where(~joins).withColumn("found", F.lit(None).cast(joined.schema["found"].dataType))
+    joined = joined.select(*alone.columns).unionByName(alone)
     own, theirs = F.col("headers"), F.col("found.headers")
     status = (
         F.when(F.col("kind") == "response", "full")
-        .when(F.col("found").isNull() | (F.col("spread") >= 0), "orphan")
+        .when(F.col("other_profile"), "other_profile")
+        .when(F.col("found").isNull(), "orphan")
         .when(own["etag"].isNotNull(), F.when(F.coalesce(_tag(own["etag"]) == _tag(theirs["etag"]), F.lit(False)), "resolved").otherwise("changed"))
         .when(
             own["last-modified"].isNotNull(),
@@ -209,4 +242,7 @@ def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
         .select(F.col("record_id").alias("response_id"), F.md5(body.cast("binary")).alias("payload_md5"), body.alias("payload"))
         .dropDuplicates(["response_id", "payload_md5"])
     )
-    return resolved.join(bodies, ["response_id", "payload_md5"], "left").select(*resolved.columns, "payload")
+    resolved = stored(resolved, "resolved")
+    # a response may have very many revisits
+    by = ["record_id", "captured"]
+    return spread_join(resolved, bodies, ["response_id", "payload_md5"], by, how="left").select(*resolved.columns, "payload")

@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import extended, pieces, texts
+from tidelog.llm.common import extended, kept_by_worker, pieces, refuse, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 120_000, 2_500_000
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 120_000, 1_500_000
 #: Words above this many bytes go through the query that contracts all equal pairs at once.
 LONG_WORD = 512
 #: Bytes of text, and tokens, that are held at a time.
-TEXT_BYTES, DECODE_TOKENS = 9 << 20, 400_000
+TEXT_BYTES, DECODE_TOKENS = 4 << 20, 300_000
+
+# Patterns no match of which goes on over a space between two characters that are not white space.
+SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 
 #: One row per token of a word: word, position, position of the next token, token, next token,
 #: and the rank that the merge table gives for the two. Each round contracts every word's
@@ -97,7 +100,7 @@ def _connection():
     import duckdb
 
     con = duckdb.connect()
-    con.execute("SET threads = 1; SET memory_limit = '220MB'; SET preserve_insertion_order = false")
+    con.execute("SET threads = 1; SET memory_limit = '200MB'; SET preserve_insertion_order = false")
     return con
 
 
@@ -105,7 +108,7 @@ class Encoder:
     """Splits texts by a pattern and encodes the words; a bounded cache keeps known words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split, self.at_spaces = ranks, regex.compile(pattern).findall, pattern in SPACED
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
         if self.byte.min() < 0:
             raise ValueError("every single byte needs a rank")
@@ -141,7 +144,7 @@ class Encoder:
         return [values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
 
     def _fresh(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of the words that the cache lacks; it takes them as long as it has room."""
+        """Ids of the words that the cache lacks."""
         fresh: dict[str, bytes] = {}
         short, long = [], []
         for word in words:
@@ -162,16 +165,19 @@ class Encoder:
         for query, part in [*queue, (SHORT_SQL, part)]:
             if part:
                 fresh.update(zip((w for w, _ in part), self._merge([x for _, x in part], query)))
-        self.words.update(islice(fresh.items(), max(0, CACHE_WORDS - len(self.words))))
         return fresh
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers.
 
-        No match of the pattern goes on over a space between two characters that are not
-        white space, so text is looked up by what stands between spaces; other texts are
-        split whole.
+        No match of a pattern of SPACED goes on over a space between two characters that are
+        not white space, so text is looked up by what stands between spaces; other texts, and
+        all by another pattern, are split whole.
         """
+        if not self.at_spaces:
+            split = [self.split(x) for x in docs]
+            fresh = self._fresh(set(chain.from_iterable(split)))
+            return [b"".join([self.words.get(w) or fresh[w] for w in row]) for row in split]
         rows = [x.split(" ") for x in docs]
         unsafe: set[str] = set()
         fresh_parts = []
@@ -191,30 +197,37 @@ class Encoder:
             else:
                 heads[i] = self.split(row[0])
         fresh = self._fresh(set(chain(words, *whole.values(), *heads.values())))
-        ids = (self.words | fresh).__getitem__
-        spaced = {
-            x: ids(words[i]) if j - i == 1 else b"".join(map(ids, words[i:j]))
-            for x, i, j in zip(fresh_parts, ends, ends[1:])
-        }
+
+        def ids(found: list[str]) -> bytes:
+            return b"".join([self.words.get(w) or fresh[w] for w in found])
+
+        spaced = {x: ids(words[i:j]) for x, i, j in zip(fresh_parts, ends, ends[1:])}
+        out = []
+        for i, row in enumerate(rows):
+            if i in whole:
+                out.append(ids(whole[i]))
+                continue
+            got = list(map(self.spaced.get, row))
+            got[0] = ids(heads[i])
+            if None in got:
+                got = [spaced[x] if y is None else y for x, y in zip(row, got)]
+            out.append(b"".join(got))
         self.spaced.update(islice(spaced.items(), max(0, CACHE_PARTS - len(self.spaced))))
-        get = (self.spaced | spaced).__getitem__
-        return [
-            b"".join(map(ids, whole[i])) if i in whole else b"".join([*map(ids, heads[i]), *map(get, row[1:])])
-            for i, row in enumerate(rows)
-        ]
+        self.words.update(islice(fresh.items(), max(0, CACHE_WORDS - len(self.words))))
+        return out
 
 
 class Decoder:
     """Turns ids back into bytes by an ordered aggregation."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.con = _connection()
+    def __init__(self, ranks: dict[bytes, int], con=None):
+        self.con = con or _connection()
         self.con.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
         self.size = max(ranks.values(), default=-1) + 1
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    def _part(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("an id is not in the vocabulary")
         out = [b""] * len(lengths)
@@ -225,32 +238,60 @@ class Decoder:
         self.con.unregister("toks")
         return out
 
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The bytes of rows of so many ids each, DECODE_TOKENS at a time or one longer row."""
+        ends, start, out = np.cumsum(lengths), 0, []
+        while start < len(lengths):
+            base = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + DECODE_TOKENS, side="right")))
+            out += self._part(ids[base : ends[stop - 1]], lengths[start:stop])
+            start = stop
+        return out
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-_DECODERS: dict[str, Decoder] = {}
 
+class Codec:
+    """An encoder, and a decoder in the same database."""
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    def __init__(self, path: str, pattern: str):
+        ranks = read_ranks(path)
+        self.encoder = Encoder(ranks, pattern)
+        self.decoder = Decoder(ranks, self.encoder.con)
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False
+) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of each row, as the rank file gives them.
 
     Each match of ``pattern`` is encoded separately, without special tokens. A null or empty
-    text has no ids. The rank file must lie at ``ranks_path`` on every machine. A Python
-    worker keeps its encoder, with at most CACHE_WORDS words, from task to task.
+    text has no ids. With ``decoded``, a column of this name holds the bytes that the ids decode
+    to, as ``decode`` gives them. Columns of ``keep`` that are called ``ids`` or ``decoded`` are
+    refused. The rank file must lie at ``ranks_path`` on every machine. A Python worker keeps
+    its encoder, with at most CACHE_WORDS words, from task to task.
     """
+    made = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.BinaryType()} if decoded else {})
+    refuse(keep, "ids", "decoded")
     kept = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (ranks_path, pattern) not in _ENCODERS:
-            _ENCODERS[ranks_path, pattern] = Encoder(read_ranks(ranks_path), pattern)
-        encoder = _ENCODERS[ranks_path, pattern]
+        codec = kept_by_worker(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
+        collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and its passes over the many small lists cost a tenth
-        for batch in pieces(batches, "__text", TEXT_BYTES):
-            rows = encoder.encode(texts(batch.column("__text")))
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, values)], [*keep, "ids"])
-
-    return kept.mapInArrow(work, extended(kept.drop("__text"), ids=T.ArrayType(T.IntegerType())))
+        try:
+            for batch in pieces(batches, "__text", TEXT_BYTES):
+                rows = codec.encoder.encode(texts(batch.column("__text")))
+                lengths = np.array([len(x) // 4 for x in rows], dtype=np.int64)
+                values = np.frombuffer(b"".join(rows), dtype="<i4")
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                columns = [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values))]
+                if decoded:
+                    columns.append(pa.array(codec.decoder.decode(values, lengths), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
+        finally:
+            if collecting:
+                gc.enable()
+
+    return kept.mapInArrow(work, extended(kept.drop("__text"), **made))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -263,18 +304,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     kept = encoded.select(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _DECODERS:
-            _DECODERS[ranks_path] = Decoder(read_ranks(ranks_path))
+        decoder = kept_by_worker(("bpe ids", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
         for batch in batches:
             lengths = np.asarray(pc.list_value_length(batch.column(ids)).fill_null(0)).astype(np.int64)
-            ends, start = np.cumsum(lengths), 0
-            while start < len(lengths):
-                base = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + DECODE_TOKENS, side="right")))
-                part = batch.slice(start, stop - start)
-                flat = np.asarray(part.column(ids).flatten()).astype(np.int32)
-                got = pa.array(_DECODERS[ranks_path].decode(flat, lengths[start:stop]), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, got], [*names, "decoded"])
-                start = stop
+            flat = np.asarray(batch.column(ids).flatten()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoder.decode(flat, lengths), pa.binary())], [*names, "decoded"])
 
     return kept.mapInArrow(work, extended(kept, decoded=T.BinaryType()))

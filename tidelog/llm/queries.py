@@ -20,6 +20,37 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Every aligned window, found by three words on end that agree: any window of an item of ten words or more that
+#: overlaps has such. The items of the tables have more.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), b AS (
+  SELECT min(item_id) AS item_id, count(*) AS n_items, w
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) GROUP BY w
+), dg AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([concat_ws(' ', w[k], w[k + 1], w[k + 2]) FOR k IN range(1, len(w) - 1)]) AS g FROM d
+), bg AS (
+  SELECT item_id, unnest(range(1, len(w) - 1)) AS i, unnest([concat_ws(' ', w[k], w[k + 1], w[k + 2]) FOR k IN range(1, len(w) - 1)]) AS g FROM b
+), diagonal AS (
+  SELECT DISTINCT doc_id, item_id, dg.i - bg.i AS shift FROM dg JOIN bg USING (g)
+), win AS (
+  SELECT doc_id, item_id, n_items, least(16, len(b.w)) AS compared, shift, d.w AS dw, b.w AS bw,
+         unnest(range(0, len(b.w) - least(16, len(b.w)) + 1)) AS s
+  FROM diagonal JOIN d USING (doc_id) JOIN b USING (item_id)
+), counted AS (
+  SELECT doc_id, item_id, n_items, compared, shift + s AS doc_pos,
+         list_sum([CASE WHEN shift + s + j BETWEEN 1 AND len(dw) AND dw[shift + s + j] = bw[s + j] THEN 1 ELSE 0 END
+                   FOR j IN range(1, compared + 1)]) AS matched
+  FROM win
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_pos) AS k FROM counted
+)
+SELECT doc_id, item_id, n_items, CAST(matched AS INTEGER) AS matched, CAST(compared AS INTEGER) AS compared,
+       matched / compared AS similarity, CAST(doc_pos AS INTEGER) AS doc_pos
+FROM best WHERE k = 1 AND matched >= ceil(compared * 0.8 - 1e-9)
+"""
+
 #: Host, path and verdict of the listed URL prefixes.
 URL_RULES = (
     ("com", "/", "allow"),
@@ -213,8 +244,7 @@ FROM w
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -227,4 +257,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_warc_revisits": OP9_SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def parse_hour(c: Column) -> Column:
     return F.when(time.between(first, last), time)
 
 
+def parse_bound(value: str) -> datetime.datetime:
+    """A bound of time, exactly ``yyyy-MM-dd HH``; ValueError if it is none."""
+    if len(value) != 13:
+        raise ValueError(f"{value!r} is not of the form yyyy-MM-dd HH")
+    return datetime.datetime.strptime(value, "%Y-%m-%d %H")
+
+
 def analyse(raw: DataFrame, allowed_start: str | None = None, allowed_end: str | None = None) -> DataFrame:
     """``raw`` with stripped fields ``s_*``, masks, ``parsed_time``, ``removal_reason`` (null: base valid) and ``base_valid``.
 
@@ -43,9 +52,10 @@ def analyse(raw: DataFrame, allowed_start: str | None = None, allowed_end: str |
     bounds = {}
     for name, value in (("start", allowed_start), ("end", allowed_end)):
         if value is not None:
-            bounds[name] = F.to_timestamp(F.lit(value), "yyyy-MM-dd HH").cast("timestamp_ntz")
-    if allowed_start is not None and allowed_end is not None and allowed_start > allowed_end:
+            bounds[name] = parse_bound(value)
+    if len(bounds) == 2 and bounds["start"] > bounds["end"]:
         raise ValueError("allowed_start is after allowed_end")
+    bounds = {name: F.lit(value).cast("timestamp_ntz") for name, value in bounds.items()}
     s = {c: F.col(f"s_{c}") for c in RAW_COLUMNS}
     missing = {c: s[c] == "" for c in RAW_COLUMNS}
     any_of = lambda cols: F.array_contains(F.array(*cols), True)
@@ -185,6 +195,12 @@ def raw_value_counts(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
 
 
+def known_value_counts(counts: DataFrame) -> DataFrame:
+    """``raw_value_counts`` in a few rows: known codes, missing ones, and all others together."""
+    known = F.when(F.col("value").isin("<missing>", *map(str, BEHAVIORS)), F.col("value")).otherwise("<other>")
+    return counts.groupBy(known.alias("value")).agg(F.sum("n").alias("n"))
+
+
 def parseable_time_range(analysed: DataFrame) -> DataFrame:
     """Over all rows whose time can be read, removed ones too."""
     return analysed.agg(F.min("parsed_time").alias("min_time"), F.max("parsed_time").alias("max_time"))

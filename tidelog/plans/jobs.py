@@ -1,14 +1,16 @@
-"""Whole jobs: clean a raw file, build the feature tables, build the dashboard marts."""
+"""Whole jobs: clean a raw file, describe it, import it as a table, build and check feature tables, build the dashboard marts."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.operators import cleaning, features, marts, quality, sequences, stats
-from tidelog.sources import files, publish
-from tidelog.sources.schema import DEFAULT_BURST, require_columns
+from tidelog.plans import sqltext
+from tidelog.sources import files, publish, stage
+from tidelog.sources.schema import DEFAULT_BURST, RAW_COLUMNS, require_columns
 
 
 @dataclass
@@ -25,6 +27,8 @@ def clean_user_behavior(
     *,
     output_csv: str | None = None,
     report_path: str | None = None,
+    markdown_path: str | None = None,
+    values_output: str | None = None,
     allowed_start: str | None = None,
     allowed_end: str | None = None,
     suspicious_repeat_threshold: int = DEFAULT_BURST,
@@ -32,9 +36,10 @@ def clean_user_behavior(
     """Clean a raw CSV into Parquet (and CSV): reasons, bursts, validation of what was written, report.
 
     The output only takes its place once it has been read again and passed; a failure leaves an
-    older output as it was.
+    older output as it was. ``values_output`` gets the rows of each raw behaviour code, of which
+    there may be very many; the report has the known ones and one figure for the others.
     """
-    publish.check_paths(spark, [input_csv], [p for p in (output, output_csv, report_path) if p])
+    publish.check_paths(spark, [input_csv], [p for p in (output, output_csv, report_path, markdown_path, values_output) if p])
     raw = files.read_raw_csv(spark, input_csv, with_position=True)
     analysed = cleaning.analyse(raw, allowed_start, allowed_end)
     kept = cleaning.clean(analysed, keep=(files.POSITION,))
@@ -55,7 +60,9 @@ def clean_user_behavior(
         checks.update(quality.validate_clean(again, threshold=suspicious_repeat_threshold, start=_full(allowed_start), end=_full(allowed_end)))
         quality.reconcile_removals(counters["total_rows"], checks["rows"], reasons)
 
-    rows = publish.publish({"clean": (out, output)}, validate)["clean"]
+    values = cleaning.raw_value_counts(analysed)
+    tables = {"clean": (out, output)} | ({"values": (values, values_output)} if values_output else {})
+    rows = publish.publish(tables, lambda name, again: validate(name, again) if name == "clean" else None)["clean"]
     if output_csv:
         publish.write_csv(spark.read.parquet(output), output_csv, mode="replace")
     report = {
@@ -67,25 +74,51 @@ def clean_user_behavior(
         "distinct_ids": cleaning.distinct_raw_ids(analysed).first().asDict(),
         "duplicates": cleaning.duplicate_diagnostics(raw).first().asDict(),
         "bursts": burst,
-        "behavior_values": {r["value"]: r["n"] for r in cleaning.raw_value_counts(analysed).collect()},
+        "behavior_values": {r["value"]: r["n"] for r in cleaning.known_value_counts(values).collect()},
         "time_range": {k: str(v) for k, v in cleaning.parseable_time_range(analysed).first().asDict().items()},
         "validation": checks,
     }
     if report_path:
-        publish.write_json(report, report_path)
+        publish.write_json(spark, report, report_path)
+    if markdown_path:
+        publish.write_text(spark, quality_report(report), markdown_path)
     return CleaningResult(output, rows, report)
 
 
+def quality_report(report: dict) -> str:
+    """The figures of a cleaning as Markdown."""
+    summary = {"rows read": report["total_rows"], "rows kept": report["clean_rows"], "rows removed": report["total_rows"] - report["clean_rows"]}
+    share = summary["rows removed"] / report["total_rows"] * 100
+    sections = {
+        "Summary": {**summary, "removed, per cent": f"{share:.6f}"},
+        "Reasons for removal": report["removal_reasons"],
+        "Faults, each row under all that it has": report["counters"],
+        "Repeats": {**report["duplicates"], **report["bursts"]},
+        "Distinct raw ids": report["distinct_ids"],
+        "Raw behaviour codes": report["behavior_values"],
+        "Range of time": report["time_range"],
+        "Checks of the clean log, read again": report["validation"],
+    }
+    return publish.render_markdown("Quality of the behaviour log", sections)
+
+
 def _full(hour: str | None) -> str | None:
     return None if hour is None else f"{hour}:00:00"
 
 
+#: What adds up to the rows of the log in each feature table.
+TOTALS = {
+    "user_features": "user_total_count",
+    "item_features": "item_total_count",
+    "category_features": "category_total_count",
+    "time_features": "time_total_count",
+    "user_item_features": "ui_pv_count + ui_fav_count + ui_cart_count + ui_buy_count",
+}
 FEATURE_INPUT = ["time", "user_id", "item_id", "category_id", "behavior_type", "behavior_date", "behavior_hour", "weekday"]
 
 
 def feature_tables(clean: DataFrame, reference: str) -> dict[str, DataFrame]:
-    """The five feature tables of a clean log."""
-    require_columns(clean, FEATURE_INPUT)
+    """The five feature tables of a clean log or of its cells."""
     return {
         "user_features": features.user_features(clean, reference),
         "item_features": features.item_features(clean),
@@ -96,28 +129,105 @@ def feature_tables(clean: DataFrame, reference: str) -> dict[str, DataFrame]:
 
 
 def build_features(spark: SparkSession, input_path: str, output_directory: str, reference: str, window_start=None, window_end=None) -> dict[str, int]:
-    """Build, validate and publish the feature, sequence and conversion tables; all or none appear."""
+    """Build, validate and publish the feature, sequence and conversion tables, in order of their keys; all or none appear.
+
+    The tables are made of the log's cells, which are written once; their totals must agree with the log's rows.
+    """
     clean = files.read_clean(spark, input_path, start=window_start, end=window_end)
-    if clean.isEmpty():
+    total = clean.count()
+    if not total:
         raise ValueError("no row lies in the window")
-    tables = feature_tables(clean, reference)
+    require_columns(clean, FEATURE_INPUT)
+    tables = feature_tables(stage.stored(features.cells(clean), "cells"), reference)
     tables["user_sequence_features"] = sequences.sequence_features(clean)
     tables["conversion_features"] = stats.conversion_features(clean)
 
+    order = {**quality.KEYS, "user_sequence_features": ["user_id"]}
+
     def validate(name: str, again: DataFrame) -> None:
-        keys = quality.KEYS.get(name) or (["user_id"] if name == "user_sequence_features" else None)
+        keys = order.get(name)
         if again.isEmpty():
             raise quality.ValidationError(f"{name} is empty")
         if keys:
             row = quality.pk_check(again, keys, name).first()
             if row["null_keys"] or row["duplicate_keys"]:
                 raise quality.ValidationError(f"{name}: {row.asDict()}")
+        if name in TOTALS:
+            found = again.agg(F.sum(F.expr(TOTALS[name]))).first()[0]
+            if found != total:
+                raise quality.ValidationError(f"{name} counts {found} of {total} rows")
         if name in quality.feature_rules():
             failed = [r["rule"] for r in quality.rule_frame(again, quality.feature_rules()[name]).where("failures > 0").collect()]
             if failed:
                 raise quality.ValidationError(f"{name} breaks {failed}")
 
-    return publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()}, validate)
+    return publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()}, validate, sort_by=order)
+
+
+def check_features(spark: SparkSession, feature_directory: str, report_path: str | None = None, markdown_path: str | None = None) -> dict:
+    """Rules on the published user, hour and sequence tables, and across them: failures by rule, and whether all pass."""
+    names = {"user_features": "user_features", "time_features": "time_features", "sequence_features": "user_sequence_features"}
+    tables = {name: spark.read.parquet(f"{feature_directory}/{path}") for name, path in names.items()}
+    found = {r["rule"]: r["failures"] for r in quality.feature_qa_rules(tables).collect()}
+    shapes = {name: files.parquet_profile(spark, f"{feature_directory}/{path}") for name, path in names.items()}
+    report = {"passed": not any(found.values()), "failures": found, "tables": shapes}
+    if report_path:
+        publish.write_json(spark, report, report_path)
+    if markdown_path:
+        rows = {name: x["rows"] for name, x in shapes.items()}
+        status = f"STATUS = {'PASS' if report['passed'] else 'FAIL'}"
+        publish.write_text(spark, publish.render_markdown("Checks of the feature tables", {"Rows": rows, "Rows that break a rule": found}) + f"\n{status}\n", markdown_path)
+    return report
+
+
+def describe(spark: SparkSession, input_path: str, output_directory: str, csv: bool = False) -> dict[str, int]:
+    """The descriptive tables of a clean log, as Parquet, or as CSV with one file each; rows by table."""
+    clean = files.read_clean(spark, input_path)
+    tables = {
+        "behavior_distribution": stats.behavior_distribution(clean),
+        "behavior_statistics": stats.behavior_statistics(clean),
+        "item_statistics": stats.item_statistics(clean).orderBy("item_id"),
+        "category_statistics": stats.category_statistics(clean).orderBy("category_id"),
+        "top_items": stats.top(stats.item_statistics(clean), "buy_count", "item_id", 10),
+        "top_categories": stats.top(stats.category_statistics(clean), "buy_count", "category_id", 10),
+        "daily_behavior": stats.daily_behavior(clean).orderBy("behavior_date"),
+        "hourly_behavior": stats.hourly_behavior(clean).orderBy("behavior_hour"),
+        "hourly_pivot": stats.hourly_pivot(clean).orderBy("behavior_hour"),
+        "descriptive_funnel": stats.descriptive_funnel(clean),
+        "time_summary": stats.time_summary(clean),
+        "peak_hours": stats.peak_hours(clean),
+    }
+    if not csv:
+        return publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()})
+    rows = {}
+    for name, df in tables.items():
+        publish.write_csv(df, f"{output_directory}/{name}", mode="replace", single_file=name != "item_statistics")
+        rows[name] = spark.read.csv(f"{output_directory}/{name}", header=True).count()
+    return rows
+
+
+def import_table(
+    spark: SparkSession, input_path: str, table: str, *, clean: bool = False, mode: str = "skip", view: str | None = None, cluster_by: list[str] | None = None
+) -> int:
+    """A raw CSV (or, with ``clean``, a clean Parquet log) as a catalogue table, verified; its rows are returned.
+
+    An existing table is kept with mode ``skip``, else it is an error (``fail``), replaced or added
+    to. ``view`` names a view with derived columns over a raw table. Clustering, by default by
+    user and time, and column statistics stand for indexes.
+    """
+    if mode not in publish.MODES:
+        raise ValueError(f"mode must be one of {sorted(publish.MODES)}")
+    df = files.read_clean(spark, input_path) if clean else files.read_typed_csv(spark, input_path)
+    exists = spark.catalog.tableExists(table)
+    before = spark.table(table).count() if exists and mode in ("skip", "append") else 0
+    publish.write_table(df, table, mode=mode, cluster_by=cluster_by or ["user_id", "time"], statistics=True)
+    rows = before if exists and mode == "skip" else before + df.count()
+    publish.verify(spark, table, rows, df.columns, [kind for _, kind in df.dtypes])
+    if view and not clean:
+        mapped = sqltext.mapped_view(spark.table(table).select(*(F.col(c).cast("string") for c in RAW_COLUMNS)))
+        publish.create_view(mapped, view)
+        publish.verify(spark, view, rows, mapped.columns)
+    return rows
 
 
 def build_marts(spark: SparkSession, feature_directory: str, output_directory: str) -> dict[str, int]:

@@ -10,10 +10,10 @@ def _sql(df: DataFrame, text: str) -> DataFrame:
 
 
 def mapped_view(raw: DataFrame) -> DataFrame:
-    """The raw log with date, hour as text, and behaviour names."""
+    """The raw log with date, hour as text, and behaviour names, after all columns that it has."""
     return _sql(
         raw,
-        """SELECT event_id, time, user_id, item_id, item_category, behavior_type, substr(time, 1, 10) AS behavior_date,
+        """SELECT *, substr(time, 1, 10) AS behavior_date,
                   substr(time, 12, 2) AS behavior_hour,
                   CASE behavior_type WHEN '1' THEN 'pv' WHEN '2' THEN 'fav' WHEN '3' THEN 'cart' WHEN '4' THEN 'buy'
                        ELSE 'unknown' END AS behavior_name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.sources.schema import CLEAN, RAW, RAW_COLUMNS, RAW_TYPED, SchemaError
 
@@ -23,28 +24,37 @@ def require_header(spark: SparkSession, path: str, columns: list[str]) -> None:
         raise SchemaError(f"expected header {columns}, found {found}")
 
 
+#: Quotes inside a field are doubled, as CSV writers do.
+_CSV = {"header": True, "escape": '"'}
+
+
 def read_raw_csv(spark: SparkSession, path: str, with_position: bool = False) -> DataFrame:
-    """The raw log, all strings; missing values are empty strings.
+    """The raw log, all strings; missing values are empty strings. A row with more fields than columns fails the read.
 
-    With ``with_position``, the column ``source_position`` orders rows by file and place in it.
+    With ``with_position``, the column ``source_position`` orders rows by file and place in it,
+    whatever the partitions.
     """
     require_header(spark, path, RAW_COLUMNS)
-    df = spark.read.schema(RAW).csv(path, header=True, enforceSchema=False)
-    rows = df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS))
-    return rows.withColumn(POSITION, F.monotonically_increasing_id()) if with_position else rows
+    df = spark.read.schema(T.StructType([*RAW.fields, T.StructField("__more", T.StringType())])).options(**_CSV, enforceSchema=True).csv(path)
+    first = F.when(F.col("__more").isNotNull(), F.raise_error("a row has too many fields").cast("string")).otherwise(F.coalesce("time", F.lit("")))
+    rows = [first.alias("time"), *(F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS[1:])]
+    if not with_position:
+        return df.select(*rows)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*rows, place.alias(POSITION))
 
 
 def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
     """The raw log with integer columns; a value that is no integer fails the read."""
     require_header(spark, path, RAW_COLUMNS)
-    return spark.read.schema(RAW_TYPED).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+    return spark.read.schema(RAW_TYPED).options(**_CSV, enforceSchema=False, mode="FAILFAST").csv(path)
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
     """A clean log as CSV, cast to the clean schema; a value of the wrong type fails the read."""
     names = CLEAN.fieldNames()
     require_header(spark, path, names)
-    options = {"header": True, "enforceSchema": False, "mode": "FAILFAST", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    options = {**_CSV, "enforceSchema": False, "mode": "FAILFAST", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
     return spark.read.schema(CLEAN).options(**options).csv(path)
 
 
@@ -69,7 +79,6 @@ def parquet_profile(spark: SparkSession, path: str) -> dict:
     return {"columns": dict(df.dtypes), "rows": df.count()}
 
 
-def status_passed(path: str) -> bool:
-    """True if a status file says PASS."""
-    with open(path, encoding="utf-8") as f:
-        return "STATUS = PASS" in f.read()
+def status_passed(spark: SparkSession, path: str) -> bool:
+    """True if a status file says PASS, on whatever file system it lies."""
+    return not spark.read.text(path).where(F.col("value").contains("STATUS = PASS")).isEmpty()

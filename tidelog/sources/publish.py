@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +36,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def publish(tables: dict[str, tuple[DataFrame, str]], validate: Callable[[str, DataFrame], None] | None = None) -> dict[str, int]:
+def publish(
+    tables: dict[str, tuple[DataFrame, str]],
+    validate: Callable[[str, DataFrame], None] | None = None,
+    sort_by: dict[str, list[str]] | None = None,
+) -> dict[str, int]:
     """Write all tables beside their targets, read and validate each, and only then swap them in.
 
-    ``tables`` has (DataFrame, target path) by name; the rows of each are returned. If a write or
-    a check fails, nothing that was published before is touched, and the staged files go.
+    ``tables`` has (DataFrame, target path) by name; the rows of each are returned. ``sort_by``
+    names the columns that order a table over all its files. If a write, a check or a swap fails,
+    all that was published before is there again, and the staged files go. Only a driver that dies
+    between two renames leaves tables of both kinds; the older ones then lie beside, as ``-old``.
     """
     staged: dict[str, tuple[str, str]] = {}
     rows: dict[str, int] = {}
@@ -50,15 +55,14 @@ def publish(tables: dict[str, tuple[DataFrame, str]], validate: Callable[[str, D
         for name, (df, target) in tables.items():
             stage = f"{target.rstrip('/')}._staging-{uuid.uuid4().hex}"
             staged[name] = (stage, target)
-            write_parquet(df, stage)
+            write_parquet(df, stage, sort_by=(sort_by or {}).get(name))
             again = spark.read.parquet(stage)
             if [(f.name, f.dataType) for f in again.schema] != [(f.name, f.dataType) for f in df.schema]:
                 raise ValueError(f"{name} reads back with another schema")
             if validate is not None:
                 validate(name, again)
             rows[name] = again.count()
-        for stage, target in staged.values():
-            _swap(spark, stage, target)
+        _swap(spark, list(staged.values()))
     finally:
         for stage, _ in staged.values():
             p, fs = _path(spark, stage)
@@ -67,15 +71,26 @@ def publish(tables: dict[str, tuple[DataFrame, str]], validate: Callable[[str, D
     return rows
 
 
-def _swap(spark: SparkSession, stage: str, target: str) -> None:
-    (new, fs), (old, _), (kept, _) = _path(spark, stage), _path(spark, target), _path(spark, f"{stage}-old")
-    if fs.exists(old) and not fs.rename(old, kept):
-        raise OSError(f"cannot move {target} away")
-    if not fs.rename(new, old):
-        if fs.exists(kept):
-            fs.rename(kept, old)
-        raise OSError(f"cannot publish {target}")
-    if fs.exists(kept):
+def _swap(spark: SparkSession, staged: list[tuple[str, str]]) -> None:
+    """Every stage takes its target's place, or none: what was moved away stays until all renames are through."""
+    begun: list[tuple[str, str]] = []
+    try:
+        for stage, target in staged:
+            (new, fs), (old, _), (kept, _) = _path(spark, stage), _path(spark, target), _path(spark, f"{stage}-old")
+            if fs.exists(old) and not fs.rename(old, kept):
+                raise OSError(f"cannot move {target} away")
+            begun.append((stage, target))
+            if not fs.rename(new, old):
+                raise OSError(f"cannot publish {target}")
+    except BaseException:
+        for stage, target in reversed(begun):
+            (old, fs), (kept, _) = _path(spark, target), _path(spark, f"{stage}-old")
+            fs.delete(old, True)
+            if fs.exists(kept):
+                fs.rename(kept, old)
+        raise
+    for stage, _ in staged:
+        kept, fs = _path(spark, f"{stage}-old")
         fs.delete(kept, True)
 
 
@@ -107,19 +122,31 @@ def create_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def verify(spark: SparkSession, table: str, rows: int, columns: list[str]) -> None:
-    """Raises unless the table or view exists with these columns and so many rows."""
+def verify(spark: SparkSession, table: str, rows: int, columns: list[str], types: list[str] | None = None) -> None:
+    """Raises unless the table or view exists with these columns (of these types) and so many rows."""
     if not spark.catalog.tableExists(table):
         raise ValueError(f"{table} does not exist")
     found = [c.name for c in spark.catalog.listColumns(table)]
     if found != columns:
         raise ValueError(f"{table} has columns {found}")
+    if types is not None and (kinds := [kind for _, kind in spark.table(table).dtypes]) != types:
+        raise ValueError(f"{table} has types {kinds}")
     if (n := spark.table(table).count()) != rows:
         raise ValueError(f"{table} has {n} rows, not {rows}")
 
 
-def write_json(report: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(report, indent=2, default=str, ensure_ascii=False) + "\n", encoding="utf-8")
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, on whatever file system the path names; an older one is replaced."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, report: dict, path: str) -> None:
+    write_text(spark, json.dumps(report, indent=2, default=str, ensure_ascii=False) + "\n", path)
 
 
 def render_markdown(title: str, sections: dict[str, dict]) -> str:

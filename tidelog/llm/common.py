@@ -14,6 +14,9 @@ from tidelog.sources.stage import durable, shared_folder, stored
 
 __all__ = ["durable", "shared_folder", "stored"]
 
+#: Labels (languages, classes) that a model may learn.
+MAX_GROUPS = 1000
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
@@ -128,9 +131,12 @@ def bounded_sample(df: DataFrame, key: Column, group: Column, bound: int) -> Dat
     """At most about ``bound`` rows of each group, chosen by a hash of ``key`` alone.
 
     The share kept follows from one count per group, so no group meets in one task and
-    the choice does not depend on partitioning.
+    the choice does not depend on partitioning. Over MAX_GROUPS groups are refused: their counts
+    come to the driver.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(group.alias("g")).count().collect()}
+    sizes = {r[0]: r[1] for r in df.groupBy(group.alias("g")).count().limit(MAX_GROUPS + 1).collect()}
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"over {MAX_GROUPS} groups to sample from")
     share = F.lit(1.0)
     for value, n in sizes.items():
         if value is not None and n > bound:

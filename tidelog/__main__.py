@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tidelog.plans import jobs
-from tidelog.sources import publish
+from tidelog.sources import publish, stage
 from tidelog.sources.schema import DEFAULT_BURST
 
 
@@ -82,6 +82,8 @@ def main(argv: list[str] | None = None) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
+    finally:
+        stage.clear(spark)
     print(json.dumps(done, default=str))
     return 0
 

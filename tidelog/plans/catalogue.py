@@ -396,7 +396,8 @@ _ICONV = f""", ic AS (SELECT item_id, {_rate("buy", "pv", "item_pv_to_buy_rate")
   SELECT item_id, {", ".join(f"count(*) FILTER (WHERE behavior_type = {k}) AS {n}" for k, n in ((1, "pv"), (2, "fav"), (3, "cart"), (4, "buy")))} FROM c GROUP BY item_id))"""
 
 _users = lambda c: features.user_features(c, REFERENCE)
-_cells = lambda c: stage.stored(features.cells(c), "cells")  # noqa: E731  # the log is read and cleaned once for several tables
+_log = lambda c: stage.stored(c.select(*CLEAN_COLUMNS), "log")  # noqa: E731  # read and cleaned once for what reads it several times
+_cells = lambda c: stage.stored(features.cells(c), "cells")
 _query("c", _user_sql(REFERENCE) + " SELECT * FROM uf", "user_features")(_users)
 _query("c", _ITEM + " SELECT * FROM itf", "item_features")(features.item_features)
 _query("c", _CAT + " SELECT * FROM cf", "category_features")(features.category_features)
@@ -455,7 +456,7 @@ _query("c", _R10 + " SELECT * FROM s10", "recent_10")(lambda c: _text(sequences.
 _query("c", _GAP + " SELECT * FROM gp", "avg_gap_hours")(sequences.avg_gap_hours)
 _query("c", _CHAIN + " SELECT * FROM ch", "chain_flags")(sequences.chain_flags)
 _query("c", _CHAIN + " SELECT * FROM ch", "chain_flags_windowed")(sequences.chain_flags_windowed)
-_query("c", _SEQ + " SELECT * FROM sq", "sequence_features")(lambda c: _text(sequences.sequence_features(c)))
+_query("c", _SEQ + " SELECT * FROM sq", "sequence_features")(lambda c: _text(sequences.sequence_features(_log(c))))
 _A5 = "string_agg(behavior_name, '|' ORDER BY rn DESC) AS recent_5_actions"
 _I5 = """CASE WHEN count(*) > 1 THEN round(CAST(date_diff('second', min("time"), max("time")) AS DOUBLE) / 60.0::DOUBLE / CAST(count(*) - 1 AS DOUBLE), 2)
   ELSE 0.0::DOUBLE END AS avg_recent_5_interval_min"""
@@ -472,7 +473,7 @@ _query(
     _RANK + _LEAD + f""" SELECT * FROM (SELECT user_id, {_A5}, {_I5} FROM k WHERE rn <= 5 GROUP BY user_id)
   LEFT JOIN (SELECT user_id, {_TRANS}, {_ADJ} FROM ld GROUP BY user_id) USING (user_id)""",
     "recent_path_features",
-)(sequences.recent_path_features)
+)(lambda c: sequences.recent_path_features(_log(c)))
 
 # ---- tiers, marts and the wide table -----------------------------------------------------------
 
@@ -499,6 +500,13 @@ _query(
   CAST(sum(category_buy_count) AS BIGINT) AS buy_count, round(avg(category_buy_to_pv_rate), 6) AS avg_buy_rate FROM sg GROUP BY segment""",
     "segment_summary",
 )(lambda c: marts.segment_summary(_segments(c)))
+
+
+def _wide(c):
+    log = _log(c)
+    return _text(features.wide_user_item(_cells(log), REFERENCE, sequences.sequence_features(log)))
+
+
 _query("c", _ICONV + " SELECT * FROM ic", "item_conversion_features")(features.item_conversion_features)
 _query(
     "c",
@@ -507,7 +515,7 @@ _query(
   LEFT JOIN cf USING (category_id) LEFT JOIN (SELECT behavior_date AS ui_last_interaction_date, behavior_hour AS ui_last_interaction_hour, weekday,
     is_weekend, time_period, time_total_count, time_buy_to_pv_rate FROM tf) USING (ui_last_interaction_date, ui_last_interaction_hour)""",
     "wide_user_item",
-)(lambda c: _text(features.wide_user_item(_cells(c), REFERENCE, sequences.sequence_features(c))))
+)(_wide)
 _query("c", _ITEM + " SELECT item_id, item_total_count, item_pv_count, item_buy_count, item_buy_to_pv_rate FROM itf", "item_mart")(
     lambda c: marts.item_mart(features.item_features(c))
 )
@@ -582,8 +590,9 @@ _query(
 
 
 def _rules(c):
-    x = _cells(c)
-    return quality.feature_qa_rules({"user_features": _users(x), "time_features": features.time_features(x), "sequence_features": stage.stored(sequences.sequence_features(c), "sequences")})
+    log = _log(c)
+    x, found = _cells(log), stage.stored(sequences.sequence_features(log), "sequences")
+    return quality.feature_qa_rules({"user_features": _users(x), "time_features": features.time_features(x), "sequence_features": found})
 
 
 _SUM = lambda p: " + ".join(f"{p}{n}_count" for n in _FOUR)

@@ -9,7 +9,7 @@ from tidelog.plans import jobs
 from tidelog.sources import publish
 from tidelog.sources.schema import BEHAVIORS, CLEAN
 
-REFERENCE = "2025-12-19 00:00:00"
+REFERENCE = "2024-04-06 00:00:00"
 
 
 def clean(spark, rows):
@@ -21,28 +21,30 @@ def clean(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def six(spark):
+def eight(spark):
     return clean(
         spark,
         [
-            ("2025-11-18 01:00", 1, 10, 100, 1),
-            ("2025-11-18 02:00", 1, 10, 100, 3),
-            ("2025-11-18 03:00", 1, 10, 100, 4),
-            ("2025-11-19 01:00", 1, 11, 200, 1),
-            ("2025-11-19 02:00", 2, 10, 100, 1),
-            ("2025-11-19 02:00", 2, 10, 100, 1),
+            ("2024-04-02 08:00", 51, 900, 61, 1),
+            ("2024-04-02 10:00", 51, 900, 61, 3),
+            ("2024-04-02 13:00", 51, 900, 61, 4),
+            ("2024-04-04 08:00", 51, 901, 62, 1),
+            ("2024-04-04 20:00", 51, 901, 62, 4),
+            ("2024-04-05 09:00", 52, 900, 61, 1),
+            ("2024-04-05 09:00", 52, 900, 61, 1),
+            ("2024-04-05 09:00", 52, 900, 61, 3),
         ],
     )
 
 
-def test_tables_reconcile(spark, six, tmp_path):
-    six.write.parquet(str(tmp_path / "clean"))
-    rows = jobs.build_features(spark, str(tmp_path / "clean"), str(tmp_path / "out"), REFERENCE, "2025-11-18 00:00:00", "2025-12-18 23:00:00")
+def test_tables_reconcile(spark, eight, tmp_path):
+    eight.write.parquet(str(tmp_path / "clean"))
+    rows = jobs.build_features(spark, str(tmp_path / "clean"), str(tmp_path / "out"), REFERENCE, "2024-04-01 00:00:00", "2024-04-30 23:00:00")
     assert rows == {
         "user_features": 2,
         "item_features": 2,
         "category_features": 2,
-        "time_features": 5,
+        "time_features": 6,
         "user_item_features": 3,
         "user_sequence_features": 2,
         "conversion_features": 1,
@@ -50,38 +52,43 @@ def test_tables_reconcile(spark, six, tmp_path):
     assert jobs.build_marts(spark, str(tmp_path / "out"), str(tmp_path / "marts"))["conversion_funnel"] == 1
 
 
-def test_user_and_item(six):
-    u = {r.user_id: r for r in features.user_features(six, REFERENCE).collect()}
-    assert (u[1].user_total_count, u[1].user_buy_count, u[1].user_buy_to_pv_rate) == (4, 1, 0.5)
-    assert (u[1].user_behavior_span_hours, u[1].user_recency_hours, u[1].user_avg_daily_behavior_count) == (24.0, 719.0, 2.0)
-    assert (u[1].user_activity_level, u[2].user_activity_level) == ("high", "low")
-    i = {r.item_id: r for r in features.item_features(six).collect()}[10]
-    assert (i.item_total_count, i.item_unique_user_count, i.item_unique_buyer_count, i.category_id) == (5, 2, 1, 100)
-    p = features.user_item_features(six).where("user_id = 1 and item_id = 10").first()
-    assert (p.ui_pv_count, p.ui_cart_count, p.ui_buy_count, p.ui_last_interaction_hour, p.ui_has_bought) == (1, 1, 1, 3, 1)
+@pytest.mark.parametrize("written_as", ["rows", "cells"])
+def test_user_and_item(eight, written_as):
+    log = features.cells(eight) if written_as == "cells" else eight
+    u = {r.user_id: r for r in features.user_features(log, REFERENCE).collect()}
+    assert (u[51].user_total_count, u[51].user_buy_count, u[51].user_buy_to_pv_rate) == (5, 2, 1.0)
+    assert (u[51].user_behavior_span_hours, u[51].user_recency_hours, u[51].user_avg_daily_behavior_count) == (60.0, 28.0, 2.5)
+    assert (u[51].user_unique_item_count, u[51].user_unique_category_count, u[52].user_unique_item_count) == (2, 2, 1)
+    assert (u[51].user_activity_level, u[52].user_activity_level) == ("high", "low")
+    i = {r.item_id: r for r in features.item_features(log).collect()}[900]
+    assert (i.item_total_count, i.item_unique_user_count, i.item_unique_buyer_count, i.item_active_day_count, i.category_id) == (6, 2, 1, 2, 61)
+    p = features.user_item_features(log).where("user_id = 51 and item_id = 900").first()
+    assert (p.ui_pv_count, p.ui_cart_count, p.ui_buy_count, p.ui_last_interaction_hour, p.ui_has_bought) == (1, 1, 1, 13, 1)
+    t = {(str(r.behavior_date), r.behavior_hour): r for r in features.time_features(log).collect()}["2024-04-05", 9]
+    assert (t.time_total_count, t.time_unique_user_count, t.time_unique_item_count, t.weekday, t.time_period) == (3, 1, 1, 4, "morning")
 
 
-def test_sequences(six):
-    s = {r.user_id: r for r in sequences.sequence_features(six).collect()}
-    assert s[1].sequence_recent_10_behavior_types == [1, 3, 4, 1] and s[1].sequence_avg_behavior_gap_hours == 8.0
-    assert (s[1].sequence_has_pv_cart, s[1].sequence_has_pv_fav, s[1].sequence_has_pv_buy, s[1].sequence_has_pv_cart_buy) == (1, 0, 1, 1)
-    assert s[2].sequence_recent_10_behavior_types == [1, 1] and s[2].sequence_has_pv_cart == 0
+def test_sequences(eight):
+    s = {r.user_id: r for r in sequences.sequence_features(eight).collect()}
+    assert s[51].sequence_recent_10_behavior_types == [1, 3, 4, 1, 4] and s[51].sequence_avg_behavior_gap_hours == 15.0
+    assert (s[51].sequence_has_pv_cart, s[51].sequence_has_pv_fav, s[51].sequence_has_pv_buy, s[51].sequence_has_pv_cart_buy) == (1, 0, 1, 1)
+    assert s[52].sequence_recent_10_behavior_types == [1, 1, 3] and (s[52].sequence_has_pv_cart, s[52].sequence_has_pv_buy) == (1, 0)
 
 
-def test_conversion(six):
-    c = stats.conversion_features(six).first()
-    assert (c.pv_to_cart_rate, c.pv_to_buy_rate, c.fav_to_buy_rate, c.cart_to_buy_rate) == (0.25, 0.25, 0.0, 1.0)
+def test_conversion(eight):
+    c = stats.conversion_features(eight).first()
+    assert (c.pv_to_cart_rate, c.pv_to_buy_rate, c.fav_to_buy_rate, c.cart_to_buy_rate) == (0.5, 0.5, 0.0, 1.0)
 
 
 def test_canonical_category_breaks_ties_by_id(spark):
-    rows = [("2025-11-18 01:00", 1, 1, c, 1) for c in (5, 5, 3, 3, 1)]
+    rows = [("2024-04-02 07:00", 1, 1, c, 1) for c in (5, 5, 3, 3, 1)]
     assert features.canonical_item_category(clean(spark, rows)).first().category_id == 3
 
 
 def test_chain_forms_agree_and_partitions_do_not_matter(spark):
     rng = random.Random(3)
     rows = [
-        (f"2025-11-{rng.randint(18, 20)} {rng.randint(0, 5):02}:00", rng.randint(1, 25), rng.randint(1, 6), rng.randint(1, 3), rng.randint(1, 4))
+        (f"2024-04-{rng.randint(11, 13)} {rng.randint(0, 5):02}:00", rng.randint(1, 25), rng.randint(1, 6), rng.randint(1, 3), rng.randint(1, 4))
         for _ in range(600)
     ]
     c = clean(spark, rows)
@@ -103,12 +110,12 @@ def test_empty_log(spark):
     assert [r.pct_of_pv for r in stats.descriptive_funnel(c).collect()] == [None] * 4
 
 
-def test_validate_clean(spark, six):
-    assert quality.validate_clean(six)["preserved_repeats"] == 1
+def test_validate_clean(spark, eight):
+    assert quality.validate_clean(eight)["preserved_repeats"] == 1
     with pytest.raises(quality.ValidationError):
-        quality.validate_clean(six, threshold=2)
+        quality.validate_clean(eight, threshold=2)
     with pytest.raises(quality.ValidationError):
-        quality.validate_clean(six.withColumn("behavior_hour", F.lit(99)))
+        quality.validate_clean(eight.withColumn("behavior_hour", F.lit(99)))
 
 
 def test_failed_publish_keeps_the_old(spark, tmp_path):
@@ -126,18 +133,18 @@ def test_failed_publish_keeps_the_old(spark, tmp_path):
     assert spark.read.parquet(target).count() == 9
 
 
-def test_clean_csv_round_trip(spark, six, tmp_path):
+def test_clean_csv_round_trip(spark, eight, tmp_path):
     from tidelog.sources import files
 
-    publish.write_csv(six, str(tmp_path / "c"), single_file=True)
-    assert sorted(map(tuple, files.read_clean_csv(spark, str(tmp_path / "c")).collect())) == sorted(map(tuple, six.collect()))
+    publish.write_csv(eight, str(tmp_path / "c"), single_file=True)
+    assert sorted(map(tuple, files.read_clean_csv(spark, str(tmp_path / "c")).collect())) == sorted(map(tuple, eight.collect()))
 
 
 def test_streaming_counts(spark, tmp_path):
     from tidelog.sources.schema import RAW
     from tidelog.streaming.live import hourly_counts
 
-    rows = [("2025-12-01 10", "1", "1", "1", "1"), ("2025-12-01 10", "1", "1", "1", "4"), ("2025-12-01 11", "2", "1", "1", "9")]
+    rows = [("2024-06-01 10", "1", "1", "1", "1"), ("2024-06-01 10", "1", "1", "1", "4"), ("2024-06-01 11", "2", "1", "1", "9")]
     spark.createDataFrame(rows, RAW).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(RAW).parquet(str(tmp_path / "in"))
     query = hourly_counts(source).writeStream.outputMode("complete").format("memory").queryName("live").start()

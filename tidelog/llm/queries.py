@@ -92,10 +92,58 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"), 4, 2)
     model = langid.train(docs.where(~out))
     return langid.identify(docs.select("doc_id", "text"), model).select(
-        "doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+        "doc_id", out.alias("held_out"), "lang_pred", F.round("lang_score", 6).alias("score")
     )
 
 
+def _op3_sql() -> str:
+    """Counts, smoothed log frequencies and backoff by joins. The training sample is all rows as long as no language
+    has more than langid.SAMPLE_ROWS, as in the small tables."""
+    # The polynomial and the first remainder of CRC-32, a bit at a time.
+    crc = """xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]),
+                           lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)), 4294967295::UBIGINT)"""
+    limit = f"{langid.WORD_LIMIT}::DOUBLE"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, text, {crc} % 4 = 2 AS held_out, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS w FROM documents
+), langs AS (
+  SELECT lang, row_number() OVER (ORDER BY lang) AS l FROM (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL AND NOT held_out AND len(w) > 0)
+), counted AS (
+  SELECT lang, ' ' || w || ' ' AS key, count(*) AS n FROM (SELECT lang, unnest(w) AS w FROM d WHERE lang IS NOT NULL AND NOT held_out) GROUP BY ALL
+), gram AS (
+  SELECT lang, size, key[i : i + size - 1] AS key, n FROM counted, (SELECT unnest([1, 2, 3, 4]) AS size) z, unnest(range(1, length(key) - size + 2)) t(i)
+), top AS (
+  SELECT lang, 0 AS size, key, n FROM counted WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, key) <= {langid.KEEP_WORDS}
+  UNION ALL
+  SELECT lang, size, key, sum(n) AS n FROM gram GROUP BY lang, size, key QUALIFY row_number() OVER (PARTITION BY lang, size ORDER BY sum(n) DESC, key) <= {langid.KEEP_GRAMS}
+), cell AS (
+  SELECT size, key, l, coalesce(n, 0) AS n FROM (SELECT DISTINCT size, key FROM top) CROSS JOIN langs LEFT JOIN top USING (size, key, lang)
+), logs AS (
+  SELECT size, key, l, ln((n + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY size, l) + 0.5::DOUBLE * count(*) OVER (PARTITION BY size, l))) AS x FROM cell
+), entry AS (
+  SELECT size, key, l, greatest(-{limit}, least({limit}, x - avg(x) OVER (PARTITION BY size, key))) AS x FROM logs
+), word AS (
+  SELECT DISTINCT ' ' || w || ' ' AS key FROM (SELECT unnest(w) AS w FROM d)
+), piece AS (
+  SELECT key AS word, 0 AS size, key FROM word
+  UNION ALL
+  SELECT key, size, key[i : i + size - 1] FROM word, (SELECT unnest([1, 2, 3, 4]) AS size) z, unnest(range(1, length(key) - size + 2)) t(i)
+), used AS (
+  SELECT word, size, p.key, rank() OVER (PARTITION BY word ORDER BY CASE size WHEN 0 THEN 9 ELSE size END DESC) AS k
+  FROM piece p SEMI JOIN entry e ON p.size = e.size AND p.key = e.key
+), scored AS (
+  SELECT word, l, CASE WHEN size = 0 THEN sum(x) ELSE greatest(-{limit}, least({limit}, sum(x) / size)) END AS x
+  FROM used JOIN entry USING (size, key) WHERE k = 1 GROUP BY word, size, l
+), total AS (
+  SELECT doc_id, l, coalesce(sum(x), 0) AS x FROM (SELECT doc_id, ' ' || unnest(w) || ' ' AS word FROM d) CROSS JOIN langs LEFT JOIN scored USING (word, l) GROUP BY doc_id, l
+), best AS (
+  SELECT doc_id, arg_min(lang, (-x, l)) AS lang_pred, max(x) AS top, list(x) AS xs FROM total JOIN langs USING (l) GROUP BY doc_id
+)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(round(1 / list_sum([exp(x - top) FOR x IN xs]), 6), 0) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     spans, base = F.col("secret_spans"), F.filter("secret_spans", lambda x: x["kind"] != "model")
@@ -353,6 +401,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
         "op2_url_filter": OP2_SQL,
+        "op3_language_id": _op3_sql(),
         "op4_secret_scan": OP4_SQL,
         "op7_simhash_near_dedup": _op7_sql(),
         "op9_warc_revisits": OP9_SQL,

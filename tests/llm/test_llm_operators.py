@@ -420,9 +420,9 @@ def test_difference_hash_equals_brute_force():
 
 
 def test_resize_is_the_area_mean():
-    a = np.arange(16 * 18, dtype=float).reshape(16, 18)
+    a = np.arange(16 * 18).reshape(16, 18)
     assert np.allclose(media.resize(a, 8, 9), a.reshape(8, 2, 9, 2).mean(axis=(1, 3)))
-    assert np.allclose(media.resize(np.full((5, 3), 7.0), 8, 9), 7)
+    assert np.allclose(media.resize(np.full((5, 3), 7), 8, 9), 7)
     fine = np.kron(a[:3, :5], np.ones((8, 9)))  # each pixel as 8 x 9: parts of pixels come out exact
     assert np.allclose(media.resize(a[:3, :5], 8, 9), fine.reshape(8, 3, 9, 5).mean(axis=(1, 3)))
 

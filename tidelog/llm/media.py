@@ -146,38 +146,48 @@ def encode(payload: bytes) -> bytes:
     return b"P5\n%d %d\n255\n" % (ROW, height) + payload
 
 
-def grey(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else image.astype(np.uint32) @ np.array([299, 587, 114], dtype=np.uint32) / 1000.0
+#: Red, green and blue in a thousandth of grey.
+LUMA = (299, 587, 114)
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area means of the boxes of an even grid, from an integral image; boxes cover part pixels too."""
-    src = grey(image)
-    rows, cols = src.shape
-    total = np.zeros((rows + 1, cols + 1))
-    np.cumsum(src, axis=0, out=total[1:, 1:], dtype=np.float64)
+def box_sums(image: np.ndarray, height: int, width: int) -> tuple[np.ndarray, int]:
+    """Whole numbers whose ratio to the second result are the area means of the boxes of an even grid.
+
+    From an integral image. Boxes cover part pixels too, in units of 1 / height and 1 / width of
+    a pixel, so nothing is rounded.
+    """
+    grey, scale = (image, 1) if image.ndim == 2 else (image.astype(np.int64) @ np.array(LUMA), sum(LUMA))
+    rows, cols = grey.shape
+    total = np.zeros((rows + 1, cols + 1), dtype=np.int64)
+    np.cumsum(grey, axis=0, out=total[1:, 1:], dtype=np.int64)
     np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
 
     def lines(table: np.ndarray, size: int, n: int) -> np.ndarray:
-        edge = np.arange(n + 1) * (size / n)
-        low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low)[:, None]
-        return np.diff(table[low] * (1 - part) + table[low + 1] * part, axis=0)
+        edge = np.arange(n + 1) * size
+        low = np.minimum(edge // n, size - 1)
+        part = (edge - low * n)[:, None]
+        return np.diff(table[low] * (n - part) + table[low + 1] * part, axis=0)
 
-    down = lines(total, rows, height)
-    return lines(down.T, cols, width).T / ((rows / height) * (cols / width))
+    return lines(lines(total, rows, height).T, cols, width).T, rows * cols * scale
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means of the boxes of an even grid."""
+    sums, whole = box_sums(image, height, width)
+    return sums / whole
 
 
 def difference_hash(image: np.ndarray) -> str:
     """16 hex digits: on a grid of 8 rows and 9 columns, whether each cell is darker than the next."""
-    grid = resize(image, 8, 9)
-    return np.packbits(grid[:, :-1] + 1e-6 < grid[:, 1:]).tobytes().hex()
+    sums, _ = box_sums(image, 8, 9)
+    return np.packbits(sums[:, :-1] < sums[:, 1:]).tobytes().hex()
 
 
 def tile(image: np.ndarray, size: tuple[int, int] = TILE) -> bytes:
-    """The resized image, 8 bits, as an NPY file."""
+    """The resized image, 8 bits, halves rounded up, as an NPY file."""
+    sums, whole = box_sums(image, *size)
     out = io.BytesIO()
-    np.save(out, np.rint(resize(image, *size)).clip(0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray((2 * sums + whole) // (2 * whole), dtype=np.uint8), allow_pickle=False)
     return out.getvalue()
 
 

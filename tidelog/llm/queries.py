@@ -283,6 +283,57 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op8_sql() -> str:
+    """Files byte by byte as hex, box sums in whole numbers, CRC-32 a bit at a time."""
+    low = lambda x, n: " || ".join(f"format('{{:02x}}', ({x}) >> {8 * k} & 255)" for k in range(n))  # noqa: E731  # little-endian
+    npy = b"\x93NUMPY\x01\x00v\x00" + b"{'descr': '|u1', 'fortran_order': False, 'shape': (32, 32), }".ljust(117) + b"\n"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT doc_id, n, greatest((n + 63) // 64, 1) AS h, rpad(x, CAST(greatest((n + 63) // 64, 1) * 128 AS INTEGER), '0') AS x FROM d
+), form AS (
+  SELECT *, CASE WHEN h % 4 = 0 THEN 'BM' WHEN h % 4 = 1 AND h % 3 = 0 THEN 'P6' ELSE 'P5' END AS kind FROM p
+), m AS (
+  SELECT *, CASE WHEN kind = 'P6' THEN h // 3 ELSE h END AS rows, CASE WHEN kind = 'P6' THEN 1000 ELSE 1 END AS scale,
+         lower(CASE kind WHEN 'BM' THEN hex(encode('BM')) || {low("1078 + h * 64", 4)} || '00000000' || {low("1078", 4)} || {low("40", 4)} || {low("64", 4)} || {low("4294967296 - h", 4)}
+              || '0100' || '0800' || '00000000' || {low("h * 64", 4)} || {low("2835", 4)} || {low("2835", 4)} || {low("256", 4)} || {low("256", 4)}
+              || array_to_string([repeat(format('{{:02x}}', i), 3) || '00' FOR i IN range(256)], '')
+           WHEN 'P6' THEN hex(encode('P6' || chr(10) || '64 ' || h // 3 || chr(10) || '255' || chr(10)))
+           ELSE hex(encode('P5' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10))) END) || lower(x) AS media
+  FROM form
+), strip AS (
+  SELECT doc_id, kind, rows, unnest(range(h)) AS j, unnest([x[128 * i + 1 : 128 * i + 128] FOR i IN range(h)]) AS x FROM m
+), sample AS (
+  SELECT doc_id, kind, rows, j * 64 + unnest(range(64)) AS k, unnest([CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT) FOR i IN range(64)]) AS v FROM strip
+), pixel AS (
+  SELECT doc_id, rows, k // 64 AS y, k % 64 AS x, v FROM sample WHERE kind <> 'P6'
+  UNION ALL
+  SELECT doc_id, rows, k // 192, k // 3 % 64, v * [299, 587, 114][k % 3 + 1] FROM sample WHERE kind = 'P6'
+), grid(gh, gw) AS (VALUES (32, 32), (8, 9)
+), line AS (
+  SELECT doc_id, rows, gh, gw, y, c, sum(v * (least((x + 1) * gw, (c + 1) * 64) - greatest(x * gw, c * 64))) AS s
+  FROM pixel, grid, unnest(range(x * gw // 64, ((x + 1) * gw - 1) // 64 + 1)) t(c) GROUP BY doc_id, rows, gh, gw, y, c
+), box AS (
+  SELECT doc_id, gh, r, c, CAST(sum(s * (least((y + 1) * gh, (r + 1) * rows) - greatest(y * gh, r * rows))) AS BIGINT) AS s
+  FROM line, unnest(range(y * gh // rows, ((y + 1) * gh - 1) // rows + 1)) t(r) GROUP BY doc_id, gh, r, c
+), tiles AS (
+  SELECT doc_id, string_agg(format('{{:02x}}', (2 * s + rows * 64 * scale) // (2 * rows * 64 * scale)), '' ORDER BY r, c) AS t
+  FROM box JOIN m USING (doc_id) WHERE gh = 32 GROUP BY doc_id
+), hashes AS (
+  SELECT doc_id, string_agg(format('{{:02x}}', n), '' ORDER BY r) AS dh
+  FROM (SELECT a.doc_id, a.r, CAST(sum(CASE WHEN a.s < b.s THEN 1 << CAST(7 - a.c AS INTEGER) ELSE 0 END) AS BIGINT) AS n
+        FROM box a JOIN box b ON a.doc_id = b.doc_id AND a.gh = 8 AND b.gh = 8 AND a.r = b.r AND b.c = a.c + 1 GROUP BY a.doc_id, a.r) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, h * 64 AS payload_bytes, sha256(unhex(x)) AS payload_sha256,
+       CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, [CAST('0x' || right(x, 128)[2 * i + 1 : 2 * i + 2] AS UBIGINT) FOR i IN range(64)]),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END)), 4294967295::UBIGINT) AS BIGINT) AS tail_crc32,
+       len(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+       concat_ws(':', rows, 64, dh, sha256(unhex('{npy.hex()}' || t))) AS feature
+FROM m JOIN tiles USING (doc_id) JOIN hashes USING (doc_id)
+"""
+
+
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl log of ``pages``, as WARC text: each page's response, and 7,001 ticks on a revisit.
 
@@ -404,5 +455,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_language_id": _op3_sql(),
         "op4_secret_scan": OP4_SQL,
         "op7_simhash_near_dedup": _op7_sql(),
+        "op8_media_columns": _op8_sql(),
         "op9_warc_revisits": OP9_SQL,
     }

@@ -444,6 +444,52 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed value: white space of Unicode as a class of characters.
+_WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _op10_sql() -> str:
+    """Merge pairs from the rank file, one contraction per word and round. A mark before the last of several white
+    characters stands for the look-ahead of the pattern, which this dialect lacks."""
+    return rf"""
+WITH RECURSIVE rank AS MATERIALIZED (
+  SELECT hex(from_base64(t)) AS x, r FROM read_csv('{public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'INTEGER'}})
+), merge AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, c.r AS m FROM (SELECT x, r, unnest(range(1, len(x) // 2)) AS i FROM rank) c
+  JOIN rank a ON a.x = c.x[1 : 2 * i] JOIN rank b ON b.x = c.x[2 * i + 1 :]
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT doc_id, list_concat(flatten([regexp_extract_all(s, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+')
+    FOR s IN string_split(regexp_replace(t, '([{_WHITE}])([{_WHITE}][^{_WHITE}])', '\1' || chr(1) || '\2', 'g'), chr(1))]), []) AS w FROM d
+), word AS MATERIALIZED (
+  SELECT row_number() OVER () AS w, s, hex(encode(s)) AS x FROM (SELECT DISTINCT unnest(w) AS s FROM cut)
+), byte AS (
+  SELECT w, unnest(range(len(x) // 2)) AS p, unnest([x[2 * i + 1 : 2 * i + 2] FOR i IN range(len(x) // 2)]) AS x FROM word
+), tok AS (
+  SELECT w, p, r AS t, lead(r) OVER (PARTITION BY w ORDER BY p) AS u, lead(p) OVER (PARTITION BY w ORDER BY p) AS n FROM byte JOIN rank USING (x)
+), step(w, p, n, t, u, m, i) AS (
+  SELECT w, p, n, t, u, merge.m, 0 FROM tok LEFT JOIN merge ON t = a AND u = b
+  UNION ALL
+  SELECT y.w, y.p, y.n, y.t, y.u, merge.m, y.i + 1 FROM (
+    SELECT s.w, s.p, s.i, CASE WHEN s.p = g.p THEN g.after ELSE s.n END AS n, CASE WHEN s.p = g.p THEN g.m ELSE s.t END AS t,
+           CASE WHEN s.p = g.p THEN g.u WHEN s.n = g.p THEN g.m ELSE s.u END AS u
+    FROM step s JOIN (
+      SELECT b.w, b.best.m AS m, b.best.p AS p, c.p AS gone, c.n AS after, c.u
+      FROM (SELECT w, min({{'m': m, 'p': p, 'n': n}}) AS best FROM step WHERE m IS NOT NULL GROUP BY w) b JOIN step c ON c.w = b.w AND c.p = b.best.n
+    ) g ON g.w = s.w WHERE s.p <> g.gone) y LEFT JOIN merge ON y.t = merge.a AND y.u = merge.b
+), last AS (SELECT w, max(i) AS i FROM step GROUP BY w
+), coded AS (
+  SELECT s, count(*) AS n, string_agg(CAST(t AS VARCHAR), ',' ORDER BY p) AS ids FROM step JOIN last USING (w, i) JOIN word USING (w) GROUP BY s
+), placed AS (
+  SELECT doc_id, unnest(w) AS s, unnest(range(len(w))) AS k FROM cut
+), joined AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, string_agg(ids, ',' ORDER BY k) AS ids FROM placed JOIN coded USING (s) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha256, sha256(encode(t)) AS decoded_sha256 FROM d LEFT JOIN joined USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe)}
 
@@ -457,4 +503,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_simhash_near_dedup": _op7_sql(),
         "op8_media_columns": _op8_sql(),
         "op9_warc_revisits": OP9_SQL,
+        "op10_byte_bpe": _op10_sql(),
     }

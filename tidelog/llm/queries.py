@@ -194,6 +194,62 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(documents(spark, sf_dir, "doc_id", "text"), path, end_id=2))
 
 
+# Fixed value: white space of Unicode as a class of characters.
+_WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _op5_sql() -> str:
+    """Normalise, split and merge by the tokenizers file, for texts without its special tokens; CRC-32 by its table."""
+    return rf"""
+WITH RECURSIVE file AS MATERIALIZED (
+  SELECT CAST(content AS JSON) AS j FROM read_text('{public_tokenizers.path("word_bpe_49k.json")}')
+), vocabulary AS MATERIALIZED (
+  SELECT e.key AS x, e.value AS id FROM (SELECT unnest(map_entries(CAST(j -> '$.model.vocab' AS MAP(VARCHAR, INTEGER)))) AS e FROM file)
+), pair AS (
+  SELECT unnest(m) AS ab, unnest(range(len(m))) AS r FROM (SELECT CAST(j -> '$.model.merges' AS VARCHAR[][]) AS m FROM file)
+), merge AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b, r, c.id AS m FROM pair JOIN vocabulary a ON a.x = ab[1] JOIN vocabulary b ON b.x = ab[2] JOIN vocabulary c ON c.x = ab[1] || ab[2]
+), letter AS MATERIALIZED (
+  SELECT format('{{:02X}}', k) AS x, CASE WHEN seen THEN chr(CAST(k AS INTEGER)) ELSE chr(CAST(255 + sum(CASE WHEN seen THEN 0 ELSE 1 END) OVER (ORDER BY k) AS INTEGER)) END AS c
+  FROM (SELECT k, k BETWEEN 33 AND 126 OR k BETWEEN 161 AND 172 OR k BETWEEN 174 AND 255 AS seen FROM range(256) t(k))
+), cut AS (
+  SELECT doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '''s|''t|''re|''ve|''m|''ll|''d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+') AS w FROM documents
+), word AS MATERIALIZED (
+  SELECT row_number() OVER () AS w, s, hex(encode(s)) AS x FROM (SELECT DISTINCT unnest(w) AS s FROM cut)
+), byte AS (
+  SELECT w, unnest(range(len(x) // 2)) AS p, unnest([x[2 * i + 1 : 2 * i + 2] FOR i IN range(len(x) // 2)]) AS x, len(x) // 2 AS size FROM word
+), tok AS (
+  SELECT w, p, id AS t, lead(id) OVER (PARTITION BY w ORDER BY p) AS u, lead(p) OVER (PARTITION BY w ORDER BY p) AS n
+  FROM byte JOIN letter USING (x) JOIN vocabulary v ON v.x = letter.c || CASE WHEN p = size - 1 THEN '</w>' ELSE '' END
+), step(w, p, n, t, u, r, m, i) AS (
+  SELECT w, p, n, t, u, r, m, 0 FROM tok LEFT JOIN merge ON t = a AND u = b
+  UNION ALL
+  SELECT y.w, y.p, y.n, y.t, y.u, merge.r, merge.m, y.i + 1 FROM (
+    SELECT s.w, s.p, s.i, CASE WHEN s.p = g.p THEN g.after ELSE s.n END AS n, CASE WHEN s.p = g.p THEN g.m ELSE s.t END AS t,
+           CASE WHEN s.p = g.p THEN g.u WHEN s.n = g.p THEN g.m ELSE s.u END AS u
+    FROM step s JOIN (
+      SELECT b.w, b.best.m AS m, b.best.p AS p, c.p AS gone, c.n AS after, c.u
+      FROM (SELECT w, min({{'r': r, 'p': p, 'n': n, 'm': m}}) AS best FROM step WHERE r IS NOT NULL GROUP BY w) b JOIN step c ON c.w = b.w AND c.p = b.best.n
+    ) g ON g.w = s.w WHERE s.p <> g.gone) y LEFT JOIN merge ON y.t = merge.a AND y.u = merge.b
+), last AS (SELECT w, max(i) AS i FROM step GROUP BY w
+), coded AS (
+  SELECT s, list(t ORDER BY p) AS ids FROM step JOIN last USING (w, i) JOIN word USING (w) GROUP BY s
+), placed AS (
+  SELECT doc_id, unnest(w) AS s, unnest(range(len(w))) AS k FROM cut
+), joined AS (
+  SELECT doc_id, flatten(list(ids ORDER BY k)) AS ids FROM placed JOIN coded USING (s) GROUP BY doc_id
+), ended AS (
+  SELECT doc_id, list_append(coalesce(ids, []), 2) AS ids FROM cut LEFT JOIN joined USING (doc_id)
+), crc AS MATERIALIZED (
+  SELECT [list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END) FOR i IN range(256)] AS rest
+)
+SELECT doc_id, CAST(coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len(ids) AS n_tokens,
+       CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten([[id & 255, id >> 8 & 255, id >> 16 & 255, id >> 24] FOR id IN ids])::UBIGINT[]),
+                lambda a, b: xor(rest[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8)), 4294967295::UBIGINT) AS BIGINT) AS ids_crc32
+FROM ended, crc
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     out = langid.held_out(F.col("doc_id"), 5, 0)
@@ -444,10 +500,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Fixed value: white space of Unicode as a class of characters.
-_WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
 def _op10_sql() -> str:
     """Merge pairs from the rank file, one contraction per word and round. A mark before the last of several white
     characters stands for the look-ahead of the pattern, which this dialect lacks."""
@@ -500,6 +552,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": OP2_SQL,
         "op3_language_id": _op3_sql(),
         "op4_secret_scan": OP4_SQL,
+        "op5_token_files": _op5_sql(),
         "op7_simhash_near_dedup": _op7_sql(),
         "op8_media_columns": _op8_sql(),
         "op9_warc_revisits": OP9_SQL,

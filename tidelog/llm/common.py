@@ -36,32 +36,41 @@ def spread_join(
     total: int | None = None,
     counts: DataFrame | None = None,
     share: int = 1000,
+    once: bool = False,
 ) -> DataFrame:
     """``rows`` joined with ``other`` by ``keys``, so that no key's rows meet in one task.
 
     A key of more than 1 / ``share`` of all rows is split by a hash of the columns ``by`` over so
     many tasks that none takes more than such a part; the rows of ``other`` with that key are
-    repeated for each. There are fewer than ``share`` such keys, so a list of them is broadcast;
-    they are counted with partial sums. ``total`` is the number of rows, or more, and ``counts``
-    has the rows ``n`` of each key, if these are known. Rows with a null key are spread too; they
-    match nothing. Up to ``share`` rows in all are too few to spread.
+    repeated for each. Keys are counted with partial sums; fewer than ``share`` can be so heavy, so
+    the driver takes that many at most. ``total`` is the number of rows, or more, and ``counts`` has
+    the rows ``n`` of each key, if these are known. Rows with a null key are spread too; they match
+    nothing. Up to ``share`` rows in all are too few to spread. With ``once``, one row of ``other``
+    counts for each key; that takes no shuffle of its own.
     """
     if total is None:
         total = rows.count()
-    if total <= share:
-        return rows.join(other, keys, how)
-    if counts is None:
-        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    tasks = F.ceil(F.col("n") * share / F.lit(total)).cast("int").alias("__tasks")
-    heavy = F.broadcast(counts.where(F.col("n") * share > total).select(*keys, tasks))
+    heavy = []
+    if total > share:
+        if counts is None:
+            counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        top = counts.select(*keys, "n").orderBy(F.desc("n")).limit(share).collect()
+        heavy = [r for r in top if r["n"] * share > total]
+    if not heavy:
+        return rows.join(other.dropDuplicates(keys) if once else other, keys, how)
+    tasks = [(*(r[k] for k in keys), -(-r["n"] * share // total)) for r in heavy if all(r[k] is not None for k in keys)]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("__tasks", T.IntegerType())])
+    split = F.broadcast(rows.sparkSession.createDataFrame(tasks, T.StructType([T.StructField(f.name, f.dataType) for f in schema])))
     row = F.xxhash64(*by)
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     salt = F.when(no_key, F.pmod(row, F.lit(share))).otherwise(F.coalesce(F.pmod(row, F.col("__tasks")), F.lit(0))).cast("int")
-    left = rows.join(heavy, keys, "left").withColumn("__salt", salt).drop("__tasks")
+    left = rows.join(split, keys, "left").withColumn("__salt", salt).drop("__tasks")
     last = F.coalesce(F.col("__tasks"), F.lit(1)) - 1
-    right = other.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__tasks")
+    right = other.join(split, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__tasks")
+    if once:
+        right = right.dropDuplicates([*keys, "__salt"])
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -91,10 +91,9 @@ def _fields(block: Column) -> Column:
     return F.transform(F.array(pairs), lambda p: F.map_from_entries(last(p)))[0]
 
 
-def _payload(block: Column, top: Column, body: Column, length: Column) -> Column:
-    """What follows the HTTP header ``top`` in the record's block, of which ``length`` octets count."""
+def _payload(octets: Column, top: Column, body: Column, length: Column) -> Column:
+    """What follows the HTTP header ``top`` in the record's block of so many octets, of which ``length`` count."""
     ended = F.when(body.endswith(_END + _END), F.expr("left(body, length(body) - 4)")).otherwise(body)
-    octets = F.octet_length(block)
     room = length - F.octet_length(top) - 4
     cut = F.decode(F.substring(F.encode(body, "utf-8"), F.lit(1), F.greatest(room, F.lit(0))), "utf-8")
     # without a length, one that is no number or more than there is, and one that ends before the blank lines, these go
@@ -110,17 +109,20 @@ def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
     Content-Length counts in octets; without a usable length, all but two blank lines at the end.
     ``profile`` and ``refers_to`` are WARC-Profile and WARC-Refers-To.
     """
-    parts = F.split(F.col(warc), "\r\n\r\n", 3)
-    top = F.get(parts, F.lit(1))
+    text, blank = F.col(warc), _END + _END
+    after = lambda x, start: F.when(F.octet_length(x) > F.octet_length(start), F.substr(x, F.length(start) + 5, F.length(x)))
     length = F.when(F.length(F.col("w")["content-length"]) <= 9, F.col("w")["content-length"].try_cast("int"))
+    cut = records.where(text.startswith("WARC/")).select(
+        text.alias("text"), F.substring_index(text, blank, 1).alias("head"), F.substring_index(text, blank, 2).alias("both")
+    )
     return (
-        records.where(F.col(warc).startswith("WARC/"))
+        cut.select("*", after(F.col("both"), F.col("head")).alias("top"))
         .select(
-            _fields(F.get(parts, F.lit(0))).alias("w"),
-            _fields(top).alias("headers"),
-            top.alias("top"),
-            F.get(parts, F.lit(2)).alias("body"),
-            F.substr(F.col(warc), F.instr(F.col(warc), "\r\n\r\n") + 4, F.length(F.col(warc))).alias("block"),
+            _fields(F.col("head")).alias("w"),
+            _fields(F.col("top")).alias("headers"),
+            "top",
+            after(F.col("text"), F.col("both")).alias("body"),
+            (F.octet_length("text") - F.octet_length("head") - 4).alias("octets"),
         )
         .select(
             F.col("w")["warc-record-id"].alias("record_id"),
@@ -130,7 +132,7 @@ def parse_records(records: DataFrame, warc: str = "warc") -> DataFrame:
             F.col("w")["warc-profile"].alias("profile"),
             F.col("w")["warc-refers-to"].alias("refers_to"),
             "headers",
-            _payload(F.col("block"), F.col("top"), F.col("body"), length).alias("payload"),
+            _payload(F.col("octets"), F.col("top"), F.col("body"), length).alias("payload"),
         )
     )
 
@@ -237,12 +239,10 @@ def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
     Responses are found by record_id and digest, so repeated ids with other payloads do not mix.
     """
     body = F.coalesce("payload", F.lit(""))
-    bodies = (
-        records.where("kind = 'response' AND record_id IS NOT NULL")
-        .select(F.col("record_id").alias("response_id"), F.md5(body.cast("binary")).alias("payload_md5"), body.alias("payload"))
-        .dropDuplicates(["response_id", "payload_md5"])
+    bodies = records.where("kind = 'response' AND record_id IS NOT NULL").select(
+        F.col("record_id").alias("response_id"), F.md5(body.cast("binary")).alias("payload_md5"), body.alias("payload")
     )
     resolved = stored(resolved, "resolved")
     # a response may have very many revisits
-    by = ["record_id", "captured"]
-    return spread_join(resolved, bodies, ["response_id", "payload_md5"], by, how="left").select(*resolved.columns, "payload")
+    found = spread_join(resolved, bodies, ["response_id", "payload_md5"], ["record_id", "captured"], how="left", once=True)
+    return found.select(*resolved.columns, "payload")

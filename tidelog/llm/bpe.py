@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidelog.llm.common import extended, kept_by_worker, pieces, refuse, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 120_000, 1_500_000
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 450_000, 150_000, 1_500_000
 #: Words above this many bytes go through the query that contracts all equal pairs at once.
 LONG_WORD = 512
 #: Bytes of text, and tokens, that are held at a time.

@@ -132,6 +132,7 @@ def kept_by_worker(key: Hashable, make: Callable):
     """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages do not pile up."""
     if key not in _KEPT:
         _KEPT.clear()
+        pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

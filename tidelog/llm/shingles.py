@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import simhash
-from tidelog.llm.common import bounded_sample, durable, extended, spread_join, stored, utf8
+from tidelog.llm.common import bitmap, bounded_sample, durable, extended, in_bitmap, pieces, spread_join, stored, utf8
 from tidelog.llm.components import connected_components
 
 #: Words of a shingle; texts are near duplicates at PART / WHOLE of similarity or more.
@@ -21,6 +21,12 @@ WIDTH, PART, WHOLE = 5, 4, 5
 SAMPLE_TEXTS, COMMON = 5_000, 200_000
 #: Texts to verify that are picked out by a broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Bytes of text that a task takes apart at a time.
+TEXT_BYTES = 2 << 20
+#: Numbers of a text's sketch: how many of its shingles fall into each class of hashes.
+CLASSES = 128
+#: Bits of the map of shared shingles, at most (8 MB); more of them let more others pass on to the join.
+BITMAP_BITS = 1 << 26
 #: Rounds in which texts meet one of their block, and pairs left for each row of a block that end them.
 ROUNDS, PAIRS_PER_ROW = 8, 8
 
@@ -82,7 +88,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text", TEXT_BYTES):
             for node, text in zip(batch.column("node").to_pylist(), utf8(batch.column("text"))):
                 hashes = shingle_hashes(text)
                 if len(hashes):
@@ -90,9 +96,11 @@ def _blocks(texts: DataFrame) -> DataFrame:
                     columns = [h, np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(n, n - len(h), -1, dtype=np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "n", "rest"])
 
-    rows = durable(texts.select("node", "text").mapInArrow(work, "h long, node long, n int, rest int"))
-    shared_by = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("h")
-    return durable(spread_join(rows, shared_by, ["h"], ["node"]))
+    rows = stored(texts.select("node", "text").mapInArrow(work, "h long, node long, n int, rest int"), "prefixes")
+    shared_by = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    known, bits = bitmap(shared_by, "h", shared_by.count(), BITMAP_BITS)
+    likely = rows.where(in_bitmap(known, bits, F.col("h")))  # most shingles are of one text; they stay out of the shuffle
+    return stored(spread_join(likely, shared_by.select("h"), ["h"], ["node"], total=rows.count(), counts=shared_by), "blocks")
 
 
 def _may_be_alike(a: str, b: str) -> str:
@@ -100,8 +108,45 @@ def _may_be_alike(a: str, b: str) -> str:
     return f"least({a}.rest, {b}.rest) * {PART + WHOLE} >= {PART} * ({a}.n + {b}.n)"
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose texts are alike."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many shingles fall into each class. Sets can't have more in common than the lesser of these numbers, summed up."""
+    return np.bincount(hashes & (CLASSES - 1), minlength=CLASSES).astype("<u4").tobytes()
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(node, fp, n, sketch): a text's fingerprint of five-word shingles, the number of them, and their sketch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", TEXT_BYTES):
+            rows = utf8(batch.column("text"))
+            sets = [shingle_hashes(x) for x in rows]
+            columns = [
+                batch.column("node"),
+                pa.array([simhash.fingerprint(x, WIDTH) for x in rows], pa.int64()),
+                pa.array([len(h) for h in sets], pa.int32()),
+                pa.array([sketch(h) for h in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "sketch"])
+
+    return stored(texts.select("node", "text").mapInArrow(work, "node long, fp long, n int, sketch binary"), "sketches")
+
+
+def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose texts are alike.
+
+    Sketches tell most of the others apart before any text is moved.
+    """
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    told = spread_join(pairs, side("a"), ["a"], ["b"]).join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CLASSES) for c in ("sketch_a", "sketch_b"))
+            most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+            keep = most * (PART + WHOLE) >= PART * (np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b")))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = durable(told.mapInArrow(may_be, "a long, b long"))
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if nodes.count() <= BROADCAST_KEYS:
         nodes = F.broadcast(nodes)
@@ -109,7 +154,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     both = spread_join(pairs, picked.toDF("a", "text_a"), ["a"], ["b"]).join(picked.toDF("b", "text_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
             keep = []
             for x, y in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b"))):
                 p, q = shingle_hashes(x), shingle_hashes(y)
@@ -119,19 +164,31 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct())
 
 
+def _with_nodes(keyed: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, key, ``keep``, node) of rows: ``node`` is one number for the words of a text."""
+    names = ["doc_id", "key", *keep]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", TEXT_BYTES):
+            got = pa.array([words_hash(x) for x in utf8(batch.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], [*names, "node"])
+
+    return keyed.mapInArrow(work, extended(keyed.select(*names), node=T.LongType()))
+
+
 def _with_roots(blocks: DataFrame, roots: DataFrame, size: int) -> DataFrame:
     """Blocks with the ``root`` of each text's group so far."""
     own = blocks.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return spread_join(blocks, own, ["node"], ["h"], total=size)
 
 
-def _simhash_pairs(texts: DataFrame) -> DataFrame:
+def _simhash_pairs(sketches: DataFrame) -> DataFrame:
     """(a, b): texts whose fingerprints of five-word shingles are equal or differ in two bits, by one text of each fingerprint."""
-    prints = durable(simhash.fingerprints(texts, keep=("node",), width=WIDTH))
+    prints = sketches.select("node", "fp")
     first = durable(prints.groupBy("fp").agg(F.min("node").alias("first")))
     same = spread_join(prints, first, ["fp"], ["node"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = simhash.near_pairs(first).join(first.toDF("a", "node_a"), "a").join(first.toDF("b", "node_b"), "b")
-    return durable(same.union(near.select("node_a", "node_b")))
+    return same.union(near.select("node_a", "node_b"))
 
 
 def _to_heads(blocks: DataFrame, round_: int, size: int) -> DataFrame:
@@ -145,7 +202,7 @@ def _to_heads(blocks: DataFrame, round_: int, size: int) -> DataFrame:
     met = spread_join(rows, heads, ["h"], ["own"], total=size).where((F.col("root") != F.col("head_root")) & F.expr(_may_be_alike("head", "own")))
     ends = [F.col("head.node"), F.col("own.node")]
     # the head stays first: its pairs are many, and a join by it is spread over tasks
-    return durable(met.select(ends[0].alias("a"), ends[1].alias("b")).distinct())
+    return met.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,41 +222,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs. Texts of the same words meet as one. Nulls and repeats are as in ``simhash``.
     """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = pa.array([words_hash(x) for x in utf8(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), got], ["doc_id", "key", "node"])
-
-    prints = durable(keyed.mapInArrow(work, extended(keyed.drop("text"), node=T.LongType())))
+    prints = durable(_with_nodes(keyed))
     first = prints.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     # one row of each node's texts; where a row is repeated, the text comes twice and the pairs are made distinct
-    chosen = first.select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("key"))
-    same = (keyed.key == chosen.key) & keyed.doc_id.eqNullSafe(chosen["__id"])  # both are keys of the join: no text's copies meet
-    texts = stored(keyed.join(chosen, same).select("node", "text"), "distinct")
+    chosen = durable(first.select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
+    on = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))  # both are keys of the join: no text's copies meet
+    copies = durable(prints.select("doc_id", "key").distinct().join(chosen, on, "left_anti").toDF("__id", "__key"))
+    if copies.count() <= BROADCAST_KEYS:
+        alone = keyed.join(F.broadcast(copies), on, "left_anti")  # no text is shuffled
+    else:
+        alone = keyed.join(chosen, on, "left_semi")
+    texts = stored(_with_nodes(alone, "text").select("node", "text"), "distinct")
     blocks = _blocks(texts)
     size = blocks.count()
-    links = _verified(texts, _simhash_pairs(texts))
-    roots = connected_components(links)
-    for round_ in range(ROUNDS):
-        grouped = durable(_with_roots(blocks, roots, size))
-        links = durable(links.union(_verified(texts, _to_heads(grouped, round_, size))).distinct())
+    sketches = _sketches(texts)
+    pairs = _simhash_pairs(sketches).union(_to_heads(blocks.withColumn("root", F.col("node")), 0, size))
+    links = _verified(texts, sketches, durable(pairs.distinct()))
+    for round_ in range(1, ROUNDS):
         roots = connected_components(links)
-        grouped = durable(_with_roots(blocks, roots, size))
+        grouped = stored(_with_roots(blocks, roots, size), "groups")
         in_block = grouped.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h")
-        open_ = durable(in_block.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own").select("h", "n", "own"))
-        pairs = open_.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if pairs <= PAIRS_PER_ROW * size:
+        # blocks of several groups, and how many pairs of texts of different ones they have
+        mixed = durable(in_block.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own"))
+        apart = mixed.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        if apart <= PAIRS_PER_ROW * size:
             break
-    left = durable(spread_join(grouped, open_.select("h"), ["h"], ["node"], total=size))
-    one = lambda x, p: left.select("h", F.struct("node", "n", "rest").alias(x), F.col("root").alias(p))
-    x, y = one("x", "p"), one("y", "q")
-    others = (
-        x.join(y, (x.h == y.h) & (F.col("x.node") < F.col("y.node")) & (F.col("p") != F.col("q")) & F.expr(_may_be_alike("x", "y")))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    roots = connected_components(links.union(_verified(texts, durable(others))))
+        links = durable(links.union(_verified(texts, sketches, _to_heads(grouped, round_, size))).distinct())
+    if apart:
+        left = stored(spread_join(grouped, mixed.select("h"), ["h"], ["node"], total=size), "left")
+        one = lambda x, p: left.select("h", F.struct("node", "n", "rest").alias(x), F.col("root").alias(p))
+        x, y = one("x", "p"), one("y", "q")
+        alike_or_not = (F.col("x.node") < F.col("y.node")) & (F.col("p") != F.col("q")) & F.expr(_may_be_alike("x", "y"))
+        others = x.join(y, (x.h == y.h) & alike_or_not).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = _verified(texts, sketches, durable(others.distinct()))
+        if not more.isEmpty():
+            roots = connected_components(links.union(more))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
     reps = prints.groupBy("node").agg(F.min(row).alias("rep")).join(roots, "node", "left")
     whole = reps.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))

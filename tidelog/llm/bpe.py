@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from tidelog.llm.common import extended, kept_by_worker, pieces, refuse, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 450_000, 150_000, 1_500_000
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 700_000
 #: Words above this many bytes go through the query that contracts all equal pairs at once.
 LONG_WORD = 512
 #: Bytes of text, and tokens, that are held at a time.
-TEXT_BYTES, DECODE_TOKENS = 4 << 20, 300_000
+TEXT_BYTES, DECODE_TOKENS = 3 << 20, 200_000
 
 # Patterns no match of which goes on over a space between two characters that are not white space.
 SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
@@ -100,7 +100,7 @@ def _connection():
     import duckdb
 
     con = duckdb.connect()
-    con.execute("SET threads = 1; SET memory_limit = '200MB'; SET preserve_insertion_order = false")
+    con.execute("SET threads = 1; SET memory_limit = '128MB'; SET preserve_insertion_order = false; SET allocator_flush_threshold = '4MB'")
     return con
 
 

@@ -24,7 +24,7 @@ WORD_LIMIT = 6.0
 UNKNOWN = "und"
 
 #: Words whose scores a Python worker keeps, and bytes of text that are held split up.
-CACHE_WORDS, TEXT_BYTES = 300_000, 1 << 20
+CACHE_WORDS, TEXT_BYTES = 200_000, 1 << 20
 
 _LETTERS = regex.compile(r"\p{L}+")
 _LETTERS_JAVA = r"(\p{L}+)"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, media, secrets, simhash, tokenfiles, toxicity, urlfilter, warc
+from tidelog.llm import bpe, conversations, decontaminate, langid, media, resample, secrets, simhash, statements, tokenfiles, toxicity, urlfilter, warc
 from tidelog.llm.common import documents, stored
 
 
@@ -542,8 +542,34 @@ SELECT doc_id, coalesce(n, 0) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha2
 """
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"), percent=25, seed=7)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) after the damage that the query's contract states; nulls count as one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    role, text = (F.coalesce(F.col(c), space) for c in ("role", "text"))
+    k = F.col("k")
+    times = F.when(k == 0, 0).when(k == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("k"))
+    cut = F.when(k == 1, "").when(k == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    changed = rows.select("conv_id", "turn", F.when(k == 4, "user").otherwise(F.col("role")).alias("role"), cut.alias("text"), F.explode(F.array_repeat(F.lit(0), times)))
+    return changed.drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, _ = conversations.repair(damaged(turns))
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").drop(found["conv_id"])
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe, op11_target_resampling, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -557,4 +583,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_media_columns": _op8_sql(),
         "op9_warc_revisits": OP9_SQL,
         "op10_byte_bpe": _op10_sql(),
+        "op11_target_resampling": statements.OP11_SQL,
+        "op12_conversation_repair": statements.OP12_SQL,
     }

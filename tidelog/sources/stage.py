@@ -4,11 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
+#: Tables that ``stored`` wrote and nobody released.
 _WRITTEN: list[str] = []
+#: Whether Spark deletes the shuffle files of an action as soon as it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written in this block leaves no shuffle files behind; a written table needs none of them again."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,10 +56,28 @@ def durable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned; no DataFrame made of them may be run any more. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
@@ -50,5 +86,4 @@ def clear(spark: SparkSession) -> None:
     Checkpoints of ``durable`` go by themselves where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     while _WRITTEN:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(spark, _WRITTEN.pop())

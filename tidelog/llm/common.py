@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.sources.stage import durable, shared_folder, stored
+from tidelog.sources.stage import durable, release, shared_folder, stored
 
-__all__ = ["durable", "shared_folder", "stored"]
+__all__ = ["durable", "release", "shared_folder", "stored"]
 
 #: Labels (languages, classes) that a model may learn.
 MAX_GROUPS = 1000

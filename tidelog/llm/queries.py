@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, conversations, decontaminate, langid, media, resample, secrets, simhash, statements, tokenfiles, toxicity, urlfilter, warc
+from tidelog.llm import bpe, conversations, decontaminate, langid, media, resample, secrets, shingles, simhash, statements, tokenfiles, toxicity, urlfilter, warc
 from tidelog.llm.common import documents, stored
 
 
@@ -568,8 +568,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingles.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), fingerprints=False)
+    alone = F.col("n_shingles") == 0  # texts without words are linked with nothing
+    return found.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe, op11_target_resampling, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_language_id, op4_secret_scan, op5_token_files, op6_toxicity, op7_simhash_near_dedup, op8_media_columns, op9_warc_revisits, op10_byte_bpe, op11_target_resampling, op12_conversation_repair, op13_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -585,4 +591,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_byte_bpe": _op10_sql(),
         "op11_target_resampling": statements.OP11_SQL,
         "op12_conversation_repair": statements.OP12_SQL,
+        "op13_ngram_jaccard_join": statements.OP13_SQL,
     }

@@ -1,4 +1,4 @@
-"""Near duplicates at a Jaccard similarity of word shingles: SimHash pairs, verified, then completed by prefix filtering."""
+"""Near duplicates at a Jaccard similarity of word shingles, exactly: blocks of a partition of all shingles, verified."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm import simhash
-from tidelog.llm.common import bitmap, bounded_sample, durable, extended, in_bitmap, pieces, spread_join, stored, utf8
+from tidelog.llm import partition, simhash
+from tidelog.llm.common import bounded_sample, extended, pieces, release, spread_join, stored, utf8
 from tidelog.llm.components import connected_components
 
 #: Words of a shingle; texts are near duplicates at PART / WHOLE of similarity or more.
@@ -25,15 +25,13 @@ BROADCAST_KEYS = 500_000
 TEXT_BYTES = 2 << 20
 #: Numbers of a text's sketch: how many of its shingles fall into each class of hashes.
 CLASSES = 128
-#: Bits of the map of shared shingles, at most (8 MB); more of them let more others pass on to the join.
-BITMAP_BITS = 1 << 26
 #: Rounds in which texts meet one of their block, and pairs left for each row of a block that end them.
 ROUNDS, PAIRS_PER_ROW = 8, 8
 
 
-def words_hash(text: bytes) -> int:
-    """One number for the words of a text, signed: texts of the same words have the same shingles."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))).astype(np.int64))
+def words_hash(text: bytes) -> bytes:
+    """128 bits for the words of a text: texts of the same words have the same shingles."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -58,14 +56,6 @@ def alike(n_common: int, n_a: int, n_b: int) -> bool:
     return n_common * (PART + WHOLE) >= PART * (n_a + n_b)
 
 
-def _prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, so many that any set alike has one of them among its own."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: len(hashes) - -(-len(hashes) * PART // WHOLE) + 1]
-
-
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes, and their counts, of the shingles that many texts of a bounded sample have."""
     sample = bounded_sample(texts.withColumn("g", F.lit(0)), F.col("node"), F.col("g"), SAMPLE_TEXTS)
@@ -80,77 +70,48 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
-    """(h, node, n, rest): the prefix shingles that several texts share.
-
-    ``n`` counts a text's shingles, ``rest`` those from ``h`` on in the order of rarity.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", TEXT_BYTES):
-            for node, text in zip(batch.column("node").to_pylist(), utf8(batch.column("text"))):
-                hashes = shingle_hashes(text)
-                if len(hashes):
-                    h, n = _prefix(hashes, *shared.value), len(hashes)
-                    columns = [h, np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(n, n - len(h), -1, dtype=np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "n", "rest"])
-
-    rows = stored(texts.select("node", "text").mapInArrow(work, "h long, node long, n int, rest int"), "prefixes")
-    shared_by = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    known, bits = bitmap(shared_by, "h", shared_by.count(), BITMAP_BITS)
-    likely = rows.where(in_bitmap(known, bits, F.col("h")))  # most shingles are of one text; they stay out of the shuffle
-    return stored(spread_join(likely, shared_by.select("h"), ["h"], ["node"], total=rows.count(), counts=shared_by), "blocks")
-
-
-def _may_be_alike(a: str, b: str) -> str:
-    """What is left of both sets must hold the overlap that the similarity needs."""
-    return f"least({a}.rest, {b}.rest) * {PART + WHOLE} >= {PART} * ({a}.n + {b}.n)"
-
-
 def sketch(hashes: np.ndarray) -> bytes:
-    """How many shingles fall into each class. Sets can't have more in common than the lesser of these numbers, summed up."""
-    return np.bincount(hashes & (CLASSES - 1), minlength=CLASSES).astype("<u4").tobytes()
+    """How many shingles fall into each class, in units of 2 ** ``coarse``, rounded up.
 
+    Sets can't have more in common than the lesser of these numbers, summed up.
+    """
+    n = np.bincount(hashes & (CLASSES - 1), minlength=CLASSES)
+    return (-(-n // (1 << coarse(len(hashes))))).astype("<u2").tobytes()
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    """(node, fp, n, sketch): a text's fingerprint of five-word shingles, the number of them, and their sketch."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", TEXT_BYTES):
-            rows = utf8(batch.column("text"))
-            sets = [shingle_hashes(x) for x in rows]
-            columns = [
-                batch.column("node"),
-                pa.array([simhash.fingerprint(x, WIDTH) for x in rows], pa.int64()),
-                pa.array([len(h) for h in sets], pa.int32()),
-                pa.array([sketch(h) for h in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "sketch"])
-
-    return stored(texts.select("node", "text").mapInArrow(work, "node long, fp long, n int, sketch binary"), "sketches")
+def coarse(n: int) -> int:
+    """Bits by which the counts of ``n`` shingles are too long for a sketch."""
+    return max(0, int(n).bit_length() - 16)
 
 
-def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose texts are alike.
 
     Sketches tell most of the others apart before any text is moved.
     """
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     told = spread_join(pairs, side("a"), ["a"], ["b"]).join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CLASSES) for c in ("sketch_a", "sketch_b"))
-            most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
-            keep = most * (PART + WHOLE) >= PART * (np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b")))
+            if not batch.num_rows:
+                continue
+            sizes = [batch.column(c).to_pylist() for c in ("n_a", "n_b")]
+            counts = []
+            for c, n in zip(("sketch_a", "sketch_b"), sizes):
+                got = np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, CLASSES).astype(np.int64)
+                counts.append(got << np.array([coarse(x) for x in n])[:, None])
+            most = np.minimum(*counts).sum(axis=1)
+            keep = most * (PART + WHOLE) >= PART * (np.array(sizes[0]) + np.array(sizes[1]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = durable(told.mapInArrow(may_be, "a long, b long"))
-    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    pairs = stored(told.mapInArrow(may_be, "a long, b long"), "likely")
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     if nodes.count() <= BROADCAST_KEYS:
-        nodes = F.broadcast(nodes)
-    picked = stored(texts.join(nodes, "node", "left_semi").select("node", "text"), "alike")
+        nodes_ = F.broadcast(nodes)
+    else:
+        nodes_ = nodes
+    picked = stored(texts.select("node", "text").join(nodes_, "node", "left_semi"), "alike")
     both = spread_join(pairs, picked.toDF("a", "text_a"), ["a"], ["b"]).join(picked.toDF("b", "text_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,105 +122,144 @@ def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFr
                 keep.append(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return durable(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct())
+    out = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct(), "links")
+    release(pairs, nodes, picked)
+    return out
 
 
-def _with_nodes(keyed: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, key, ``keep``, node) of rows: ``node`` is one number for the words of a text."""
-    names = ["doc_id", "key", *keep]
+def _hashed(keyed: DataFrame) -> DataFrame:
+    """(doc_id, key, who) of rows: ``who`` stands for the words of a text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", TEXT_BYTES):
-            got = pa.array([words_hash(x) for x in utf8(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], [*names, "node"])
+            got = pa.array([words_hash(x) for x in utf8(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), got], ["doc_id", "key", "who"])
+
+    return stored(keyed.mapInArrow(work, extended(keyed.select("doc_id", "key"), who=T.BinaryType())), "prints")
 
-    return keyed.mapInArrow(work, extended(keyed.select(*names), node=T.LongType()))
 
+def _texts(alone: DataFrame) -> DataFrame:
+    """(who, n, sketch, text, node): one row for texts of the same words, with the number of its shingles, their sketch and a number of its own."""
 
-def _with_roots(blocks: DataFrame, roots: DataFrame, size: int) -> DataFrame:
-    """Blocks with the ``root`` of each text's group so far."""
-    own = blocks.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return spread_join(blocks, own, ["node"], ["h"], total=size)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", TEXT_BYTES):
+            rows = utf8(batch.column("text"))
+            sets = [shingle_hashes(x) for x in rows]
+            columns = [
+                pa.array([words_hash(x) for x in rows], pa.binary()),
+                pa.array([len(h) for h in sets], pa.int64()),
+                pa.array([sketch(h) for h in sets], pa.binary()),
+                batch.column("text"),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["who", "n", "sketch", "text"])
+
+    made = alone.select("text").mapInArrow(work, "who binary, n long, sketch binary, text string")
+    return stored(made.withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
-def _simhash_pairs(sketches: DataFrame) -> DataFrame:
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
     """(a, b): texts whose fingerprints of five-word shingles are equal or differ in two bits, by one text of each fingerprint."""
-    prints = sketches.select("node", "fp")
-    first = durable(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    prints = stored(simhash.fingerprints(texts, keep=("node",), width=WIDTH), "fingerprints")
+    first = stored(prints.groupBy("fp").agg(F.min("node").alias("first")), "first")
     same = spread_join(prints, first, ["fp"], ["node"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = simhash.near_pairs(first).join(first.toDF("a", "node_a"), "a").join(first.toDF("b", "node_b"), "b")
-    return same.union(near.select("node_a", "node_b"))
-
+    out = stored(same.union(near.select("node_a", "node_b")), "near")
+    release(prints, first)
+    return out
 
-def _to_heads(blocks: DataFrame, round_: int, size: int) -> DataFrame:
-    """(a, b): each text of a block with its head, a text chosen anew by each round, where they may be alike.
 
-    Texts of the head's own group are left out.
-    """
-    rows = blocks.select("h", F.struct("node", "n", "rest").alias("own"), "root")
-    order = F.col("own.node") if not round_ else F.xxhash64(F.lit(round_), "own.node")
-    heads = rows.groupBy("h").agg(F.min_by(F.struct("own", "root"), order).alias("head")).select("h", F.col("head.own").alias("head"), F.col("head.root").alias("head_root"))
-    met = spread_join(rows, heads, ["h"], ["own"], total=size).where((F.col("root") != F.col("head_root")) & F.expr(_may_be_alike("head", "own")))
-    ends = [F.col("head.node"), F.col("own.node")]
+def _to_heads(mixed: DataFrame, round_: int) -> DataFrame:
+    """(a, b): each text of a block with its head, a text chosen anew by each round; texts of the head's own group are left out."""
+    chosen = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(round_), "node"))
+    heads = mixed.groupBy("h").agg(chosen.alias("head"), F.count("*").alias("n"))
+    met = spread_join(mixed, heads.select("h", "head"), ["h"], ["node"], counts=heads).where("root <> head.root")
     # the head stays first: its pairs are many, and a join by it is spread over tasks
-    return met.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
+    return met.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, component_id, keeps) of every row; ``key`` is xxhash64 of the text.
+def _mixed(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, node, root): the blocks whose texts are of several groups so far."""
+    rooted = spread_join(blocks.select("h", "node"), roots, ["node"], ["h"], how="left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    out = stored(spread_join(rooted, several.select("h"), ["h"], ["node"], counts=several).distinct(), "mixed")
+    release(rooted)
+    return out
 
-    ``keeps`` is true for the rows of the group's smallest (doc_id, key).
 
-    ``component_id`` is the smallest doc_id reachable over pairs of texts whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more. Pairs that the SimHash
-    operator's pigeonhole blocks find at two bits are verified first; but of texts at 0.8 most
-    fingerprints differ in 3 to 14 bits, where such blocks no longer tell them apart from others.
-    So no pair is missed, the shingles go on: sets that are alike share one of their rarest
-    shingles, and what shares one is compared in full. A block is the texts that share one.
-    Each text is held against one of each of its blocks first, in further rounds against another
+def _linked(texts: DataFrame, blocks: DataFrame, first: list[DataFrame]) -> DataFrame:
+    """(node, root) of every text that is alike to another one; ``first`` are pairs to verify beside those of the blocks' heads.
+
+    Each text is held against the head of each of its blocks, in further rounds against another
     as long as texts of different groups would still make too many pairs; then those of different
-    groups are held against each other. So a large group of near copies does not make all of its
-    pairs. Texts of the same words meet as one. Nulls and repeats are as in ``simhash``.
+    groups are held against each other. So a large group of near copies does not make all of its pairs.
     """
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
-    prints = durable(_with_nodes(keyed))
-    first = prints.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    # one row of each node's texts; where a row is repeated, the text comes twice and the pairs are made distinct
-    chosen = durable(first.select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
-    on = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))  # both are keys of the join: no text's copies meet
-    copies = durable(prints.select("doc_id", "key").distinct().join(chosen, on, "left_anti").toDF("__id", "__key"))
-    if copies.count() <= BROADCAST_KEYS:
-        alone = keyed.join(F.broadcast(copies), on, "left_anti")  # no text is shuffled
-    else:
-        alone = keyed.join(chosen, on, "left_semi")
-    texts = stored(_with_nodes(alone, "text").select("node", "text"), "distinct")
-    blocks = _blocks(texts)
-    size = blocks.count()
-    sketches = _sketches(texts)
-    pairs = _simhash_pairs(sketches).union(_to_heads(blocks.withColumn("root", F.col("node")), 0, size))
-    links = _verified(texts, sketches, durable(pairs.distinct()))
-    for round_ in range(1, ROUNDS):
+    pairs = blocks.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    for more in first:
+        pairs = pairs.union(more)
+    pairs = stored(pairs.distinct(), "pairs")
+    links = _verified(texts, pairs)
+    release(pairs)
+    mixed, size = blocks, 0
+    for round_ in range(1, ROUNDS + 1):
         roots = connected_components(links)
-        grouped = stored(_with_roots(blocks, roots, size), "groups")
-        in_block = grouped.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h")
-        # blocks of several groups, and how many pairs of texts of different ones they have
-        mixed = durable(in_block.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own"))
-        apart = mixed.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if apart <= PAIRS_PER_ROW * size:
+        before, mixed = mixed, _mixed(mixed, roots)
+        if before is not blocks:
+            release(before)
+        in_block = mixed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h")
+        pairs_of = in_block.agg(((F.sum("n").cast("double") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"), F.sum("n").alias("n"))
+        apart, rows = pairs_of.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        size = size or rows
+        if apart <= PAIRS_PER_ROW * size or round_ == ROUNDS:
             break
-        links = durable(links.union(_verified(texts, sketches, _to_heads(grouped, round_, size))).distinct())
+        found = _verified(texts, stored(_to_heads(mixed, round_), "pairs"))
+        joined = stored(links.union(found).distinct(), "links")
+        release(links, found)
+        links = joined
     if apart:
-        left = stored(spread_join(grouped, mixed.select("h"), ["h"], ["node"], total=size), "left")
-        one = lambda x, p: left.select("h", F.struct("node", "n", "rest").alias(x), F.col("root").alias(p))
-        x, y = one("x", "p"), one("y", "q")
-        alike_or_not = (F.col("x.node") < F.col("y.node")) & (F.col("p") != F.col("q")) & F.expr(_may_be_alike("x", "y"))
-        others = x.join(y, (x.h == y.h) & alike_or_not).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        more = _verified(texts, sketches, durable(others.distinct()))
-        if not more.isEmpty():
-            roots = connected_components(links.union(more))
-    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
-    reps = prints.groupBy("node").agg(F.min(row).alias("rep")).join(roots, "node", "left")
-    whole = reps.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
-    named = reps.join(whole, "root", "left").select("node", F.coalesce("least", "rep").alias("first"))
-    keeps = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")), F.lit(False))
-    return spread_join(prints, durable(named), ["node"], ["doc_id", "key"]).select("doc_id", "key", F.col("first.doc_id").alias("component_id"), keeps.alias("keeps"))
+        others = spread_join(mixed, mixed.toDF("h", "other", "other_root"), ["h"], ["node"]).where("root < other_root").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        found = _verified(texts, stored(others.distinct(), "pairs"))
+        roots = connected_components(links.union(found))
+    return roots
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprints: bool = True) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, keeps) of every row; ``key`` is xxhash64 of the text.
+
+    ``keeps`` is true for the rows of the group's smallest (doc_id, key).
+
+    ``component_id`` is the smallest doc_id reachable over pairs of texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more. With ``fingerprints``, pairs that
+    the SimHash operator's pigeonhole blocks find at two bits are verified first; but of texts at 0.8
+    most fingerprints differ in 3 to 14 bits, where such blocks no longer tell them apart from
+    others. So no pair is missed, blocks of a partition of the universe of shingles go on (``partition``):
+    sets that are alike share a signature, and what shares one is compared in full. Texts of the same words meet
+    as one, those without words too. Nulls and repeats are as in ``simhash``.
+    """
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
+    prints = _hashed(keyed)
+    row = F.struct("doc_id", "key")
+    first = stored(prints.groupBy("who").agg(F.min(row).alias("first"), F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("rep"), F.count("*").alias("n")), "first")
+    named = spread_join(prints, first.select("who", "first"), ["who"], ["doc_id", "key"], counts=first)
+    copies = named.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
+    copies = stored(copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
+    on = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    # where the copies are few, no text is shuffled
+    alone = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies, on, "left_anti")
+    texts = _texts(alone)
+    release(copies)
+    similarity = partition.Similarity(PART, WHOLE)
+    found = partition.blocks(texts, shingle_hashes, similarity, _common(texts), TEXT_BYTES)
+    seeds = [_simhash_pairs(texts)] if fingerprints else []
+    roots = _linked(texts, found, seeds)
+    # an equal row may have been taken twice: its texts have the same shingles and are linked, so either will do
+    nodes = texts.groupBy("who").agg(F.min_by("node", "node").alias("node"), F.max("n").alias("n_shingles"))
+    reps = first.select("who", "rep").join(nodes, "who").join(roots, "node", "left").select("who", "n_shingles", "rep", F.coalesce("root", "node").alias("root"))
+    reps = stored(reps, "reps")
+    least = reps.groupBy("root").agg(F.min("rep").alias("least"))
+    of = stored(reps.join(least, "root").select("who", "n_shingles", "least"), "groups")
+    keeps = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("key") == F.col("least.key")), F.lit(False))
+    out = spread_join(prints, of, ["who"], ["doc_id", "key"], counts=first)
+    out = stored(out.select("doc_id", "key", "n_shingles", F.col("least.doc_id").alias("component_id"), keeps.alias("keeps")), "near_duplicates")
+    release(prints, first, texts, found, *seeds, reps, of)
+    return out

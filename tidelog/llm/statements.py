@@ -120,3 +120,23 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted ON c.conv_id IS NOT DISTINCT FROM counted.conv_id
 LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN fixed ON c.conv_id IS NOT DISTINCT FROM fixed.conv_id
 """
+
+#: Every pair of documents that share a shingle, counted; components by reachability.
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x{{20}}\x{{09}}-\x{{0D}}]+') AS w FROM documents
+), s AS (
+  SELECT row, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                 ELSE [concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) FOR i IN range(1, len(w) - 3)] END) AS x FROM d
+), class AS (SELECT list_sort(x) AS x, min(row) AS node FROM s GROUP BY ALL
+), token AS (SELECT node, unnest(x) AS t FROM class
+), link AS (
+  SELECT a, b FROM (SELECT p.node AS a, q.node AS b, count(*) AS c FROM token p JOIN token q ON p.t = q.t AND p.node <> q.node GROUP BY ALL)
+  JOIN class p ON p.node = a JOIN class q ON q.node = b WHERE 100 * c >= 80 * (len(p.x) + len(q.x) - c)
+), reach(node, root) AS (SELECT node, node FROM class UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.node = link.a
+), of AS (
+  SELECT d.row, d.doc_id, len(s.x) AS n, c.node, r.root FROM d JOIN s USING (row) JOIN class c ON list_sort(s.x) = c.x
+  JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON c.node = r.node
+)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id FROM of
+"""

@@ -40,7 +40,7 @@ _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers: each bit of the argument bears on all of the result."""
     x = (x ^ (x >> _S33)) * _C1
     x = (x ^ (x >> _S33)) * _C2
@@ -79,7 +79,7 @@ def scheme(part: int, whole: int, band: int) -> tuple[int, int, np.ndarray]:
     least = Similarity(part, whole).differ(bands(part, whole)[band][1]) + 1
     segments = least + least // 64 + (least >= 8)
     at = np.arange(segments, dtype=np.uint64) + np.uint64(1)
-    return segments, segments // 32 + (segments >= 8), _mix(at * _C1 + np.full(segments, band + 1, np.uint64) * _C2)
+    return segments, segments // 32 + (segments >= 8), mix(at * _C1 + np.full(segments, band + 1, np.uint64) * _C2)
 
 
 def budgets(need: int, size: np.ndarray, cost: np.ndarray, second: np.ndarray, flexible: int) -> np.ndarray:
@@ -119,12 +119,12 @@ def signatures(tokens: np.ndarray, similarity: Similarity, counts: np.ndarray |
         ends = np.searchsorted(segment, np.arange(segments), side="right")
         size = np.diff(ends, prepend=0)
         total = sums[ends] - sums[ends - size]
-        key = _mix(total + salt)
+        key = mix(total + salt)
         role = np.full(segments, FOUND)
         without = total[segment[: ends[flexible - 1]]] - tokens[: ends[flexible - 1]] if flexible else np.empty(0, np.uint64)
         of = segment[: len(without)]
         left = size[of] > 2  # what would be left of fewer is looked for by no budget of two
-        keys.append(_mix((without[left] + salt[of[left]]) ^ _C1))
+        keys.append(mix((without[left] + salt[of[left]]) ^ _C1))
         roles.append(np.full(int(left.sum()), FOUND))
         if band == own:
             cost, second = np.where(size == 0, EMPTY, 4 // np.maximum(size, 1)), size
@@ -138,7 +138,7 @@ def signatures(tokens: np.ndarray, similarity: Similarity, counts: np.ndarray |
             role[v > 0] |= LOOKS
             for i in np.flatnonzero(v == 2):
                 of_i = np.arange(ends[i] - size[i], ends[i])
-                looked = np.concatenate([_mix(total[i] - tokens[of_i] + salt[i]), _mix((total[i : i + 1] + salt[i]) ^ _C1)])
+                looked = np.concatenate([mix(total[i] - tokens[of_i] + salt[i]), mix((total[i : i + 1] + salt[i]) ^ _C1)])
                 keys.append(looked)
                 roles.append(np.full(len(looked), LOOKS))
         keys.append(key)

@@ -25,8 +25,10 @@ BROADCAST_KEYS = 500_000
 TEXT_BYTES = 2 << 20
 #: Numbers of a text's sketch: how many of its shingles fall into each class of hashes.
 CLASSES = 128
-#: Rounds in which texts meet one of their block, and pairs left for each row of a block that end them.
+#: Rounds in which texts meet one of their block, and pairs expected for each row of a block that end them.
 ROUNDS, PAIRS_PER_ROW = 8, 8
+#: Rows of a block that are held against each other in a task.
+TILE = 2048
 
 
 def words_hash(text: bytes) -> bytes:
@@ -38,17 +40,20 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of ``width`` words as sorted hashes.
 
     A-Z are lower-cased, words are runs without ASCII white space; a shorter text is one
-    shingle, none has none.
+    shingle, none has none. A shingle's hash mixes its words' hashes in order.
     """
     words = text.lower().split()
     if not words:
         return np.empty(0, dtype=np.int64)
-    digest, join = xxhash.xxh3_64_intdigest, b" ".join
-    if len(words) <= width:
-        got = [digest(join(words))]
-    else:
-        got = [digest(join(s)) for s in zip(*(words[i:] for i in range(width)))]
-    return np.unique(np.array(got, dtype=np.uint64).view(np.int64))
+    digest = xxhash.xxh3_64_intdigest
+    if len(words) < width:
+        return np.array([digest(b" ".join(words))], dtype=np.uint64).view(np.int64)
+    own = np.array(list(map(digest, words)), dtype=np.uint64)
+    n = len(words) - width + 1
+    got = own[:n]
+    for i in range(1, width):
+        got = partition.mix(got) + own[i : i + n]
+    return np.unique(partition.mix(got).view(np.int64))
 
 
 def alike(n_common: int, n_a: int, n_b: int) -> bool:
@@ -84,11 +89,8 @@ def coarse(n: int) -> int:
     return max(0, int(n).bit_length() - 16)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose texts are alike.
-
-    Sketches tell most of the others apart before any text is moved.
-    """
+def _likely(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for the similarity: most others go before any text is moved."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     told = spread_join(pairs, side("a"), ["a"], ["b"]).join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
@@ -105,7 +107,11 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = most * (PART + WHOLE) >= PART * (np.array(sizes[0]) + np.array(sizes[1]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(told.mapInArrow(may_be, "a long, b long"), "likely")
+    return stored(told.mapInArrow(may_be, "a long, b long"), "likely")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike; ``pairs`` are released."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     if nodes.count() <= BROADCAST_KEYS:
         nodes_ = F.broadcast(nodes)
@@ -168,59 +174,112 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     return out
 
 
-def _to_heads(mixed: DataFrame, round_: int) -> DataFrame:
-    """(a, b): each text of a block with its head, a text chosen anew by each round; texts of the head's own group are left out."""
-    chosen = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(round_), "node"))
-    heads = mixed.groupBy("h").agg(chosen.alias("head"), F.count("*").alias("n"))
-    met = spread_join(mixed, heads.select("h", "head"), ["h"], ["node"], counts=heads).where("root <> head.root")
-    # the head stays first: its pairs are many, and a join by it is spread over tasks
-    return met.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _mixed(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h, node, root): the blocks whose texts are of several groups so far."""
+def _mixed(blocks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, node, root, rows, n, sketch): the blocks whose texts are of several groups so far, how many rows each has, and the texts' sketches."""
     rooted = spread_join(blocks.select("h", "node"), roots, ["node"], ["h"], how="left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
+    rooted = stored(rooted.distinct(), "rooted")
     several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    out = stored(spread_join(rooted, several.select("h"), ["h"], ["node"], counts=several).distinct(), "mixed")
+    mixed = spread_join(rooted, several.select("h", F.col("n").alias("rows")), ["h"], ["node"], counts=several)
+    out = stored(spread_join(mixed, texts.select("node", "n", "sketch"), ["node"], ["h"]), "mixed")
     release(rooted)
     return out
 
 
+def _tiles(mixed: DataFrame, pairs: bool) -> DataFrame:
+    """Rows of ``mixed`` by (h, p, q), sorted within tasks.
+
+    A block of more than TILE rows is cut into tiles by a hash; with ``pairs`` each row comes once for each
+    pair (p, q) of tiles that its own is part of, else p and q are its own tile.
+    """
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    cut = mixed.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    others = F.sequence(F.lit(0), tiles - 1) if pairs else F.array("tile")
+    dealt = cut.withColumn("other", F.explode(others)).withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
+    columns = ["h", "p", "q", "tile", "rows", "node", "root", "n", "sketch"]
+    return dealt.select(*columns).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "root", "node")
+
+
+def _room(own: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Which of the rows ``others`` may be alike to row ``i`` by their sketches."""
+    most = np.minimum(own[others], own[i]).sum(axis=1, dtype=np.int64)
+    return others[most * (PART + WHOLE) >= PART * (n[others] + n[i])]
+
+
+def _compared(mixed: DataFrame, round_: int = 0) -> DataFrame:
+    """(a, b, weight): pairs of texts of a block, of different groups so far, whose sketches leave room for the similarity.
+
+    With a round, only pairs with one text of each tile, chosen by that number, and ``weight`` is the
+    number of the block's rows; without, all pairs. A task holds a pair of tiles at a time.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(run: pa.Table) -> pa.RecordBatch:
+            node, root, n, tile = (run.column(c).to_numpy() for c in ("node", "root", "n", "tile"))
+            p, q, rows = (run.column(c)[0].as_py() for c in ("p", "q", "rows"))
+            own = np.frombuffer(b"".join(run.column("sketch").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
+            if n.max() >= 1 << 16:
+                own = own.astype(np.int64) << np.array([coarse(x) for x in n])[:, None]
+            a, b = [], []
+            if round_:
+                i = int(np.argmin(partition.mix(node.view(np.uint64) + np.full(len(node), round_, np.uint64))))
+                got = _room(own, n, i, np.flatnonzero(root != root[i]))
+                a, b = [np.full(len(got), node[i])], [node[got]]
+            else:
+                ends = np.searchsorted(root, root, side="right")  # rows are sorted by root
+                for i in np.flatnonzero(ends < len(root)):
+                    others = np.arange(ends[i], len(root))
+                    got = _room(own, n, i, others if p == q else others[tile[others] != tile[i]])
+                    a.append(np.full(len(got), node[i]))
+                    b.append(node[got])
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), rows), pa.int64())], ["a", "b", "weight"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("h", "p", "q")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            last = tuple(held[-1].column(c)[-1].as_py() for c in ("h", "p", "q")) if held else None
+            for i, j in zip(cuts, cuts[1:]):
+                if held and (i or last != tuple(keys[:, 0])):
+                    yield pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return _tiles(mixed, not round_).mapInArrow(work, "a long, b long, weight long")
+
+
 def _linked(texts: DataFrame, blocks: DataFrame, first: list[DataFrame]) -> DataFrame:
     """(node, root) of every text that is alike to another one; ``first`` are pairs to verify beside those of the blocks' heads.
 
-    Each text is held against the head of each of its blocks, in further rounds against another
-    as long as texts of different groups would still make too many pairs; then those of different
-    groups are held against each other. So a large group of near copies does not make all of its pairs.
+    Each text is held against the head of each of its blocks, in further rounds against another,
+    as long as the blocks of several groups would still give many likely pairs; then all likely pairs of different
+    groups are verified. So a large group of near copies does not make all of its pairs.
     """
     pairs = blocks.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     for more in first:
         pairs = pairs.union(more)
     pairs = stored(pairs.distinct(), "pairs")
-    links = _verified(texts, pairs)
+    links = _verified(texts, _likely(texts, pairs))
     release(pairs)
-    mixed, size = blocks, 0
     for round_ in range(1, ROUNDS + 1):
         roots = connected_components(links)
-        before, mixed = mixed, _mixed(mixed, roots)
-        if before is not blocks:
-            release(before)
-        in_block = mixed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h")
-        pairs_of = in_block.agg(((F.sum("n").cast("double") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"), F.sum("n").alias("n"))
-        apart, rows = pairs_of.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        size = size or rows
-        if apart <= PAIRS_PER_ROW * size or round_ == ROUNDS:
-            break
-        found = _verified(texts, stored(_to_heads(mixed, round_), "pairs"))
+        mixed = _mixed(blocks, roots, texts)
+        met = stored(_compared(mixed, round_), "met")
+        # what the chosen texts have of likely pairs tells how many there are in all
+        expected, size = met.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] / 2, mixed.count()
+        last = expected <= PAIRS_PER_ROW * size or round_ == ROUNDS
+        likely = _compared(mixed) if last else met
+        found = _verified(texts, stored(likely.select("a", "b").distinct(), "likely"))
         joined = stored(links.union(found).distinct(), "links")
-        release(links, found)
+        release(links, found, met, mixed)
         links = joined
-    if apart:
-        others = spread_join(mixed, mixed.toDF("h", "other", "other_root"), ["h"], ["node"]).where("root < other_root").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        found = _verified(texts, stored(others.distinct(), "pairs"))
-        roots = connected_components(links.union(found))
-    return roots
+        if last:
+            break
+    return connected_components(links)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprints: bool = True) -> DataFrame:

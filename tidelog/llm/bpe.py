@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import gc
+import os
+import tempfile
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -19,8 +21,9 @@ from tidelog.llm.common import extended, kept_by_worker, pieces, refuse, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
 CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 700_000
-#: Words above this many bytes go through the query that contracts all equal pairs at once.
-LONG_WORD = 512
+#: Words above this many bytes are encoded in pieces of so many bytes (a power of two), and bytes on both sides of a
+#: seam that are encoded anew where two pieces do not fit.
+LONG_WORD, PIECE, SEAM = 512, 256, 32
 #: Bytes of text, and tokens, that are held at a time.
 TEXT_BYTES, DECODE_TOKENS = 3 << 20, 200_000
 
@@ -101,6 +104,8 @@ def _connection():
 
     con = duckdb.connect()
     con.execute("SET threads = 1; SET memory_limit = '128MB'; SET preserve_insertion_order = false; SET allocator_flush_threshold = '4MB'")
+    # a query that outgrows its memory spills where the task's other spills go, not to the current folder
+    con.execute(f"SET temp_directory = '{tempfile.gettempdir()}/duckdb-{os.getpid()}'")
     return con
 
 
@@ -125,6 +130,7 @@ class Encoder:
         self.con.register("given", pa.table({"ab": a << 32 | b, "m": m.astype(np.int32), "alone": alone}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        self.token: dict[int, bytes] | None = None  # made for the first long word
         self.words: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
@@ -154,18 +160,90 @@ class Encoder:
                     fresh[word] = np.array([known], dtype="<i4").tobytes()
                 else:
                     (long if len(raw) > LONG_WORD else short).append((word, raw))
-        queue = [(LONG_SQL, [x]) for x in long]
-        part, rows = [], 0
-        for x in short:
-            part.append(x)
-            rows += len(x[1]) ** 2 // 2  # at most so many rows over all rounds
+        fresh.update((word, self._in_pieces(raw)) for word, raw in long)
+        fresh.update(zip((w for w, _ in short), self._merge_all([x for _, x in short])))
+        return fresh
+
+    def _merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; several queries, so that none makes too many rows."""
+        out, part, rows = [None] * len(words), [], 0
+        for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+            if len(words[i]) > LONG_WORD:
+                out[i] = self._merge([words[i]], LONG_SQL)[0]
+                continue
+            part.append(i)
+            rows += len(words[i]) ** 2 // 2  # at most so many rows over all rounds
             if rows > QUERY_ROWS:
-                queue.append((SHORT_SQL, part))
+                for k, ids in zip(part, self._merge([words[k] for k in part], SHORT_SQL)):
+                    out[k] = ids
                 part, rows = [], 0
-        for query, part in [*queue, (SHORT_SQL, part)]:
-            if part:
-                fresh.update(zip((w for w, _ in part), self._merge([x for _, x in part], query)))
-        return fresh
+        for k, ids in zip(part, self._merge([words[k] for k in part], SHORT_SQL) if part else ()):
+            out[k] = ids
+        return out
+
+    def _fit(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """The pairs of tokens that stay these two when their bytes are encoded as one word."""
+        rows = list(pairs)
+        made = self._merge_all([self.token[a] + self.token[b] for a, b in rows])
+        return {p for p, ids in zip(rows, made) if np.frombuffer(ids, "<i4").tolist() == list(p)}
+
+    def _in_pieces(self, raw: bytes) -> bytes:
+        """The ids of a long word, by pieces.
+
+        A sequence of tokens is what contracting leftmost pairs of least rank makes of a word if
+        and only if this holds for every two neighbours of it and their bytes. For take the first
+        contraction of the whole word that crosses a border of the sequence, between the tokens
+        x and y. All contractions before it lay inside tokens, and those inside x and y come in the
+        same order, with the same choices, when x and y are a word of their own; so there the crossing
+        pair is contracted too, and the two do not stay. So pieces are encoded alone, and where the
+        two tokens at a seam do not fit, what is around the seam is encoded as one, with twice as
+        much around it in each further round. In the worst case that is the whole word.
+        """
+        if self.token is None:
+            self.token = {i: x for x, i in self.ranks.items()}
+        cut = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+        made = dict(zip(distinct := list(dict.fromkeys(cut)), self._merge_all(distinct)))
+        pieces_ = [np.frombuffer(made[x], "<i4").tolist() for x in cut]
+        width, good = SEAM, set()
+        while True:
+            seams = [(a[-1], b[0]) for a, b in zip(pieces_, pieces_[1:])]
+            good |= self._fit(set(seams) - good)
+            if all(x in good for x in seams):
+                return np.array(list(chain.from_iterable(pieces_)), dtype="<i4").tobytes()
+            # parts of the word: a piece as it is, or bytes to encode anew
+            parts: list = [pieces_[0]]
+            i = 1
+            while i < len(pieces_):
+                if seams[i - 1] in good:
+                    parts.append(pieces_[i])
+                    i += 1
+                    continue
+                around, left = b"", width
+                while parts and left > 0:
+                    last = parts.pop()
+                    rest, taken = ([], last) if isinstance(last, bytes) else self._taken(last, left, -1)
+                    around, left = taken + around, left - len(taken)
+                    if rest:
+                        parts.append(rest)
+                rest, left = [], width
+                while i < len(pieces_) and left > 0:
+                    rest, taken = self._taken(pieces_[i], left, 1)
+                    around, left, i = around + taken, left - len(taken), i + 1
+                parts += [x for x in (around, rest) if x]
+            anew = [x for x in parts if isinstance(x, bytes)]
+            made = dict(zip(distinct := list(dict.fromkeys(anew)), self._merge_all(distinct)))
+            pieces_ = [np.frombuffer(made[x], "<i4").tolist() if isinstance(x, bytes) else x for x in parts]
+            width *= 2
+
+    def _taken(self, ids: list[int], width: int, side: int) -> tuple[list[int], bytes]:
+        """What is left of a piece, and the bytes of its last (-1) or first (1) tokens, ``width`` bytes or more if it has them."""
+        n = size = 0
+        while n < len(ids) and size < width:
+            size += len(self.token[ids[-1 - n] if side < 0 else ids[n]])
+            n += 1
+        if side < 0:
+            return ids[: len(ids) - n], b"".join(self.token[i] for i in ids[len(ids) - n :])
+        return ids[n:], b"".join(self.token[i] for i in ids[:n])
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers.

@@ -91,6 +91,8 @@ def budgets(need: int, size: np.ndarray, cost: np.ndarray, second: np.ndarray, f
     for at in dearest[spare : spare + flexible]:
         if cost[at] < DEAR:
             break
+        if v[at] == 2:
+            continue
         open_ = [i for i in range(flexible) if v[i] == 1 and i != at and size[i] > 1 and second[i] < cost[at]]
         if not open_:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.functions.expr import behaviour_name, strip
@@ -129,7 +129,12 @@ def burst_groups(df: DataFrame, threshold: int = DEFAULT_BURST, bucket: str = "h
 
 def collapse_bursts(df: DataFrame, threshold: int = DEFAULT_BURST, bucket: str = "hour", position: str = "event_id") -> DataFrame:
     """``df`` with each burst reduced to its first row by ``position``, which must be unique."""
-    groups = burst_groups(df, threshold, bucket, position).select(
+    return without_bursts(df, burst_groups(df, threshold, bucket, position), bucket, position)
+
+
+def without_bursts(df: DataFrame, bursts: DataFrame, bucket: str = "hour", position: str = "event_id") -> DataFrame:
+    """``df`` with each of the ``bursts`` that were found in it reduced to its first row."""
+    groups = bursts.select(
         F.col("bucket").alias("__b"), F.col("user_id").alias("__u"), F.col("item_id").alias("__i"), F.col("behavior_type").alias("__t"), "first_position"
     )
     on = (
@@ -153,8 +158,7 @@ def burst_summary(groups: DataFrame) -> DataFrame:
     )
 
 
-def quality_counters(analysed: DataFrame) -> DataFrame:
-    """One row of overlapping counts of each fault."""
+def _counters() -> list[Column]:
     masks = {f"missing_{c}": f"missing_{c}" for c in RAW_COLUMNS} | {
         "missing_any": "missing_any",
         "invalid_behavior": "bad_behavior",
@@ -163,7 +167,74 @@ def quality_counters(analysed: DataFrame) -> DataFrame:
         "unparseable_time": "bad_time",
         "out_of_range": "out_of_range",
     }
-    return analysed.agg(F.count("*").alias("total_rows"), *(F.count_if(mask).alias(name) for name, mask in masks.items()))
+    return [F.count("*").alias("total_rows"), *(F.count_if(mask).alias(name) for name, mask in masks.items())]
+
+
+def quality_counters(analysed: DataFrame) -> DataFrame:
+    """One row of overlapping counts of each fault."""
+    return analysed.agg(*_counters())
+
+
+#: The raw behaviour codes that a report names; all others together are ``<other>``.
+KNOWN_VALUES = ("<missing>", *map(str, BEHAVIORS), "<other>")
+
+
+def observed(analysed: DataFrame, name: str = "cleaning") -> tuple[DataFrame, Observation]:
+    """``analysed`` with all figures that need no grouping, gathered while it is read for something else.
+
+    ``figures`` turns what was observed into counters, reasons, known codes and range of time. No
+    pass of its own is made; the figures are there when the action over the DataFrame has ended.
+    """
+    value = F.when(F.col("s_behavior_type") == "", "<missing>").otherwise(F.col("s_behavior_type"))
+    known = F.when(value.isin(*KNOWN_VALUES[:-1]), value).otherwise(F.lit("<other>"))
+    seen = Observation(name)
+    exprs = [
+        *_counters(),
+        *(F.count_if(F.col("removal_reason") == reason).alias(f"reason {reason}") for reason in REASONS[:-1]),
+        *(F.count_if(known == x).alias(f"value {x}") for x in KNOWN_VALUES),
+        F.min("parsed_time").alias("min_time"),
+        F.max("parsed_time").alias("max_time"),
+    ]
+    return analysed.observe(seen, *exprs), seen
+
+
+def figures(seen: Observation) -> dict[str, dict]:
+    """``counters``, ``reasons`` (those that occur), ``values`` (likewise) and ``time_range`` of an observation."""
+    got = seen.get
+    part = lambda head: {k.removeprefix(head): v for k, v in got.items() if k.startswith(head) and v}
+    return {
+        "counters": {k: v for k, v in got.items() if not k.startswith(("reason ", "value ")) and k not in ("min_time", "max_time")},
+        "reasons": part("reason "),
+        "values": part("value "),
+        "time_range": {k: got[k] for k in ("min_time", "max_time")},
+    }
+
+
+def raw_groups(raw: DataFrame) -> DataFrame:
+    """Each distinct raw row, not stripped, and how often it occurs (``n``): what distinct ids, duplicates and codes are counted of."""
+    return raw.groupBy(*RAW_COLUMNS).agg(F.count("*").alias("n"))
+
+
+def distinct_ids_of(groups: DataFrame) -> DataFrame:
+    """``distinct_raw_ids`` from ``raw_groups``: one grouping for each column, so no row is expanded for each distinct count."""
+    one = lambda c: groups.select(strip(F.coalesce(c, F.lit(""))).alias("v")).where("v <> ''").groupBy("v").agg(F.lit(1)).agg(F.count("*").alias(f"distinct_{c}"))
+    first, *rest = (one(c) for c in IDS)
+    for df in rest:
+        first = first.join(df)  # of one row each
+    return first
+
+
+def duplicates_of(groups: DataFrame) -> DataFrame:
+    """``duplicate_diagnostics`` from ``raw_groups``."""
+    coarse = groups.groupBy(*(c for c in RAW_COLUMNS if c != "item_category")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    total, fine = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))
+    return coarse.agg(total.alias("total_rows"), (total - fine).alias("full_duplicates"), (total - F.count("*")).alias("four_key_duplicates"))
+
+
+def value_counts_of(groups: DataFrame) -> DataFrame:
+    """``raw_value_counts`` from ``raw_groups``."""
+    value = strip(F.coalesce("behavior_type", F.lit("")))
+    return groups.groupBy(F.when(value == "", "<missing>").otherwise(value).alias("value")).agg(F.sum("n").alias("n"))
 
 
 def removal_reasons(analysed: DataFrame) -> DataFrame:
@@ -171,8 +242,14 @@ def removal_reasons(analysed: DataFrame) -> DataFrame:
 
 
 def distinct_raw_ids(analysed: DataFrame) -> DataFrame:
-    """Distinct strings per id column, invalid ones too, missing ones not."""
-    return analysed.agg(*(F.countDistinct(F.when(F.col(f"s_{c}") != "", F.col(f"s_{c}"))).alias(f"distinct_{c}") for c in IDS))
+    """Distinct strings per id column, invalid ones too, missing ones not.
+
+    A row gives a value for each column, but equal ones are grouped in each task before they are shuffled, and no
+    row is expanded with all its columns for each distinct count.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"s_{c}").alias("v")) for c in IDS))).alias("x")
+    each = analysed.select(values).where("x.v <> ''").groupBy("x.c", "x.v").agg(F.lit(1))
+    return each.agg(*(F.count_if(F.col("c") == c).alias(f"distinct_{c}") for c in IDS))
 
 
 def duplicate_diagnostics(raw: DataFrame) -> DataFrame:
@@ -180,14 +257,7 @@ def duplicate_diagnostics(raw: DataFrame) -> DataFrame:
 
     Two grouped counts, each with partial sums, instead of one distinct count of long structs.
     """
-    four = [c for c in RAW_COLUMNS if c != "item_category"]
-    fine = raw.groupBy(*RAW_COLUMNS).agg(F.count("*").alias("n"))
-    coarse = fine.groupBy(*four).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    return coarse.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.coalesce(F.sum("k"), F.lit(0))).alias("full_duplicates"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("four_key_duplicates"),
-    )
+    return duplicates_of(raw_groups(raw))
 
 
 def raw_value_counts(analysed: DataFrame) -> DataFrame:

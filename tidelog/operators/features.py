@@ -221,17 +221,11 @@ def wide_user_item(c: DataFrame, reference: str, sequences: DataFrame) -> DataFr
     )
 
 
-def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 16) -> DataFrame:
+def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in ``order``, with their place ``rn`` from 1.
 
-    Keys are salted for a first cut, so a key with very many rows is no hot task; the second
-    cut sees ``salts`` times ``n`` rows of a key at most.
+    Spark cuts each task's rows to ``n`` of a key before it shuffles them, so of a key with very many rows only ``n``
+    for each task meet.
     """
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    first = salted.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order)))
-    return (
-        first.where(F.col("rn") <= n)
-        .drop("rn", "__salt")
-        .withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        .where(F.col("rn") <= n)
-    )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("rn", rank).where(F.col("rn") <= n)

@@ -131,10 +131,10 @@ def feature_qa_rules(tables: dict[str, DataFrame]) -> DataFrame:
 
 def user_set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: users that only one of the tables has, and whether the sets agree."""
-    left, right = a.select("user_id").distinct(), b.select("user_id").distinct()
-    only = lambda x, y: x.exceptAll(y).agg(F.count("*")).scalar()
-    one = a.sparkSession.range(1).select(only(left, right).alias("only_left"), only(right, left).alias("only_right"))
-    return one.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+    sides = a.select("user_id", F.lit(1).alias("left"), F.lit(0).alias("right")).union(b.select("user_id", F.lit(0), F.lit(1)))
+    each = sides.groupBy("user_id").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    only = lambda x, y: F.count_if((F.col(x) == 1) & (F.col(y) == 0)).alias(f"only_{x}")
+    return each.agg(only("left", "right"), only("right", "left")).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
 def validate_clean(clean: DataFrame, expected_rows: int | None = None, threshold: int = DEFAULT_BURST, start=None, end=None) -> dict:

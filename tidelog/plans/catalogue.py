@@ -398,14 +398,14 @@ _ICONV = f""", ic AS (SELECT item_id, {_rate("buy", "pv", "item_pv_to_buy_rate")
 _users = lambda c: features.user_features(c, REFERENCE)
 _log = lambda c: stage.stored(c.select(*CLEAN_COLUMNS), "log")  # noqa: E731  # read and cleaned once for what reads it several times
 _cells = lambda c: stage.stored(features.cells(c), "cells")
-_query("c", _user_sql(REFERENCE) + " SELECT * FROM uf", "user_features")(_users)
-_query("c", _ITEM + " SELECT * FROM itf", "item_features")(features.item_features)
-_query("c", _CAT + " SELECT * FROM cf", "category_features")(features.category_features)
-_query("c", _TIME + " SELECT * FROM tf", "time_features")(features.time_features)
+_query("c", _user_sql(REFERENCE) + " SELECT * FROM uf", "user_features")(lambda c: _users(_cells(c)))
+_query("c", _ITEM + " SELECT * FROM itf", "item_features")(lambda c: features.item_features(_cells(c)))
+_query("c", _CAT + " SELECT * FROM cf", "category_features")(lambda c: features.category_features(_cells(c)))
+_query("c", _TIME + " SELECT * FROM tf", "time_features")(lambda c: features.time_features(_cells(c)))
 _query("c", _UI + " SELECT * FROM ui", "user_item_features")(features.user_item_features)
 _query("c", f", {_CANON} SELECT * FROM canon", "canonical_item_category")(features.canonical_item_category)
 _query("c", _user_sql(REFERENCE) + " SELECT user_id, user_total_count, user_activity_level FROM uf", "user_activity_median")(
-    lambda c: _users(c).select("user_id", "user_total_count", "user_activity_level")
+    lambda c: _users(_cells(c)).select("user_id", "user_total_count", "user_activity_level")
 )
 _query(
     "c",
@@ -484,10 +484,10 @@ def _heat_sql(table: str, key: str, total: str, low: str, mid: str, high: str) -
 
 
 _query("c", _ITEM + _heat_sql("itf", "item_id", "item_total_count", "low", "medium", "high"), "item_heat")(
-    lambda c: features.heat(features.item_features(c), "item_id", "item_total_count", ("low", "medium", "high"))
+    lambda c: features.heat(stage.stored(features.item_features(_cells(c)), "features"), "item_id", "item_total_count", ("low", "medium", "high"))
 )
 _query("c", _CAT + _heat_sql("cf", "category_id", "category_total_count", "long_tail", "medium", "popular"), "category_heat")(
-    lambda c: features.heat(features.category_features(c), "category_id", "category_total_count", ("long_tail", "medium", "popular"))
+    lambda c: features.heat(stage.stored(features.category_features(_cells(c)), "features"), "category_id", "category_total_count", ("long_tail", "medium", "popular"))
 )
 _SEG = _CAT + """, sg AS (SELECT category_id, category_total_count, category_buy_count, category_buy_to_pv_rate,
   CASE WHEN category_total_count >= (SELECT quantile_cont(category_total_count, 0.8) FROM cf) THEN 'hot'
@@ -507,6 +507,15 @@ def _wide(c):
     return _text(features.wide_user_item(_cells(log), REFERENCE, sequences.sequence_features(log)))
 
 
+def _kpis(x):
+    return marts.kpis(stage.stored(_users(x), "users"), x.select("item_id").distinct(), x.select("category_id").distinct())
+
+
+def _user_sets(c):
+    log = _log(c)
+    return quality.user_set_equality(_users(_cells(log)), sequences.avg_gap_hours(log))
+
+
 _query("c", _ICONV + " SELECT * FROM ic", "item_conversion_features")(features.item_conversion_features)
 _query(
     "c",
@@ -527,14 +536,14 @@ _query(
     _user_sql(REFERENCE) + """ SELECT user_id, user_total_count, user_active_day_count, user_unique_item_count, user_unique_category_count,
   user_activity_level, user_is_buyer FROM uf""",
     "user_depth_mart",
-)(lambda c: marts.user_depth_mart(_users(c)))
+)(lambda c: marts.user_depth_mart(_users(_cells(c))))
 _query(
     "c",
     _user_sql(REFERENCE) + f""", k AS (SELECT count(*) AS users, CAST(sum(user_is_buyer) AS BIGINT) AS buyers, CAST(sum(user_total_count) AS BIGINT) AS behaviors,
   CAST(sum(user_pv_count) AS BIGINT) AS pv, CAST(sum(user_buy_count) AS BIGINT) AS buys FROM uf)
   SELECT *, (SELECT count(DISTINCT item_id) FROM c) AS items, (SELECT count(DISTINCT category_id) FROM c) AS categories, {_rate("buys", "pv", "buy_rate")} FROM k""",
     "kpis",
-)(lambda c: marts.kpis(_users(c), c.select("item_id").distinct(), c.select("category_id").distinct()))
+)(lambda c: _kpis(_cells(c)))
 _query(
     "c",
     _ITEM + """ SELECT item_id, item_total_count, item_pv_count, item_buy_to_pv_rate FROM itf WHERE item_pv_count >= 5 AND item_total_count > 0
@@ -659,9 +668,9 @@ _query(
   (SELECT count(*) FROM (SELECT user_id FROM sq EXCEPT SELECT user_id FROM uf)) AS only_right)
   SELECT *, only_left = 0 AND only_right = 0 AS equal FROM l""",
     "user_set_equality",
-)(lambda c: quality.user_set_equality(_users(c), sequences.avg_gap_hours(c)))
+)(_user_sets)
 _query("c", _user_sql(REFERENCE) + " SELECT user_activity_level, count(*) AS users FROM uf GROUP BY 1", "tier_distribution")(
-    lambda c: _users(c).groupBy("user_activity_level").agg(F.count("*").alias("users"))
+    lambda c: _users(_cells(c)).groupBy("user_activity_level").agg(F.count("*").alias("users"))
 )
 _FLAGS = ("pv_cart", "pv_fav", "pv_buy", "pv_cart_buy")
 _query("c", _CHAIN + " SELECT " + ", ".join(f"CAST(sum(sequence_has_{f}) AS BIGINT) AS users_{f}" for f in _FLAGS) + " FROM ch", "chain_user_counts")(
@@ -671,8 +680,8 @@ _query("c", _CHAIN + " SELECT " + ", ".join(f"CAST(sum(sequence_has_{f}) AS BIGI
 # ---- larger volume -----------------------------------------------------------------------------
 
 _LREF = "2003-01-01 00:00:00"
-_query("l", _user_sql(_LREF) + " SELECT * FROM uf", "user_features_lineitem")(lambda c: features.user_features(c, _LREF))
-_query("l", _ITEM + " SELECT * FROM itf", "item_features_lineitem")(features.item_features)
+_query("l", _user_sql(_LREF) + " SELECT * FROM uf", "user_features_lineitem")(lambda c: features.user_features(_cells(c), _LREF))
+_query("l", _ITEM + " SELECT * FROM itf", "item_features_lineitem")(lambda c: features.item_features(_cells(c)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

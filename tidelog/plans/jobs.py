@@ -29,59 +29,71 @@ def clean_user_behavior(
     report_path: str | None = None,
     markdown_path: str | None = None,
     values_output: str | None = None,
+    by_date: bool = False,
     allowed_start: str | None = None,
     allowed_end: str | None = None,
     suspicious_repeat_threshold: int = DEFAULT_BURST,
 ) -> CleaningResult:
     """Clean a raw CSV into Parquet (and CSV): reasons, bursts, validation of what was written, report.
 
-    The output only takes its place once it has been read again and passed; a failure leaves an
-    older output as it was. ``values_output`` gets the rows of each raw behaviour code, of which
-    there may be very many; the report has the known ones and one figure for the others.
+    The raw file is read twice. The first pass writes the rows that are valid by themselves, and counters,
+    reasons, codes and the range of time ride on that write as observed metrics; the second one groups equal raw rows, of
+    which distinct ids, duplicates and all codes are counted. Bursts are found in what was written.
+
+    Outputs only take their places once they have been read again and passed, the CSV too; a failure leaves
+    older outputs as they were. With ``by_date`` the Parquet has a folder for each day, so that
+    a window of time reads only its days (``files.read_clean``). ``values_output`` gets the rows of each raw
+    behaviour code, of which there may be very many; the report has the known ones and one figure for the others.
     """
     publish.check_paths(spark, [input_csv], [p for p in (output, output_csv, report_path, markdown_path, values_output) if p])
     raw = files.read_raw_csv(spark, input_csv, with_position=True)
-    analysed = cleaning.analyse(raw, allowed_start, allowed_end)
-    kept = cleaning.clean(analysed, keep=(files.POSITION,))
-    groups = cleaning.burst_groups(kept, suspicious_repeat_threshold, position=files.POSITION)
-    out = cleaning.collapse_bursts(kept, suspicious_repeat_threshold, position=files.POSITION).drop(files.POSITION)
-
-    counters = cleaning.quality_counters(analysed).first().asDict()
+    watched, seen = cleaning.observed(cleaning.analyse(raw, allowed_start, allowed_end))
+    kept = stage.stored(cleaning.clean(watched, keep=(files.POSITION,)), "valid")
+    found = cleaning.figures(seen)
+    counters, reasons = found["counters"], found["reasons"]
     if not counters["total_rows"]:
         raise ValueError(f"{input_csv} has a header and no rows")
-    reasons = {r["reason"]: r["n"] for r in cleaning.removal_reasons(analysed).collect()}
-    reasons.pop("kept", None)
+    equal = stage.stored(cleaning.raw_groups(raw), "raw_groups")
+    groups = stage.stored(cleaning.burst_groups(kept, suspicious_repeat_threshold, position=files.POSITION), "bursts")
+    out = cleaning.without_bursts(kept, groups, position=files.POSITION).drop(files.POSITION)
     burst = cleaning.burst_summary(groups).first().asDict()
     if burst["removable_rows"]:
         reasons[cleaning.REASONS[-1]] = burst["removable_rows"]
-    checks: dict = {}
+    checks: dict[str, dict] = {}
 
-    def validate(_: str, again: DataFrame) -> None:
-        checks.update(quality.validate_clean(again, threshold=suspicious_repeat_threshold, start=_full(allowed_start), end=_full(allowed_end)))
-        quality.reconcile_removals(counters["total_rows"], checks["rows"], reasons)
+    def validate(name: str, again: DataFrame) -> None:
+        if name == "values":
+            return
+        checks[name] = quality.validate_clean(again, threshold=suspicious_repeat_threshold, start=_full(allowed_start), end=_full(allowed_end))
+        quality.reconcile_removals(counters["total_rows"], checks[name]["rows"], reasons)
 
-    values = cleaning.raw_value_counts(analysed)
-    tables = {"clean": (out, output)} | ({"values": (values, values_output)} if values_output else {})
-    rows = publish.publish(tables, lambda name, again: validate(name, again) if name == "clean" else None)["clean"]
+    form = publish.dated_form("behavior_date", ["time", "user_id"]) if by_date else publish.parquet_form()
+    tables = {"clean": (out, output, form)}
     if output_csv:
-        publish.write_csv(spark.read.parquet(output), output_csv, mode="replace")
+        tables["csv"] = (out, output_csv, publish.csv_form())
+    if values_output:
+        tables["values"] = (cleaning.value_counts_of(equal), values_output)
+    rows = publish.publish(tables, validate)["clean"]
     report = {
         "schema_version": 2,
         "total_rows": counters["total_rows"],
         "clean_rows": rows,
         "removal_reasons": reasons,
         "counters": counters,
-        "distinct_ids": cleaning.distinct_raw_ids(analysed).first().asDict(),
-        "duplicates": cleaning.duplicate_diagnostics(raw).first().asDict(),
+        "distinct_ids": cleaning.distinct_ids_of(equal).first().asDict(),
+        "duplicates": cleaning.duplicates_of(equal).first().asDict(),
         "bursts": burst,
-        "behavior_values": {r["value"]: r["n"] for r in cleaning.known_value_counts(values).collect()},
-        "time_range": {k: str(v) for k, v in cleaning.parseable_time_range(analysed).first().asDict().items()},
-        "validation": checks,
+        "behavior_values": found["values"],
+        "time_range": {k: str(v) for k, v in found["time_range"].items()},
+        "validation": checks["clean"],
     }
+    if output_csv:
+        report["validation_csv"] = checks["csv"]
     if report_path:
         publish.write_json(spark, report, report_path)
     if markdown_path:
         publish.write_text(spark, quality_report(report), markdown_path)
+    stage.release(kept, equal, groups)
     return CleaningResult(output, rows, report)
 
 
@@ -99,6 +111,8 @@ def quality_report(report: dict) -> str:
         "Range of time": report["time_range"],
         "Checks of the clean log, read again": report["validation"],
     }
+    if "validation_csv" in report:
+        sections["Checks of the CSV, read again"] = report["validation_csv"]
     return publish.render_markdown("Quality of the behaviour log", sections)
 
 
@@ -197,13 +211,8 @@ def describe(spark: SparkSession, input_path: str, output_directory: str, csv: b
         "time_summary": stats.time_summary(clean),
         "peak_hours": stats.peak_hours(clean),
     }
-    if not csv:
-        return publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()})
-    rows = {}
-    for name, df in tables.items():
-        publish.write_csv(df, f"{output_directory}/{name}", mode="replace", single_file=name != "item_statistics")
-        rows[name] = spark.read.csv(f"{output_directory}/{name}", header=True).count()
-    return rows
+    form = lambda name: [publish.csv_form(single_file=name != "item_statistics")] if csv else []
+    return publish.publish({k: (df, f"{output_directory}/{k}", *form(k)) for k, df in tables.items()})
 
 
 def import_table(

@@ -59,17 +59,25 @@ def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None, start=None, end=None) -> DataFrame:
-    """Clean Parquet with column pruning and a closed time window, both pushed to the scan."""
+    """Clean Parquet with column pruning and a closed time window, both pushed to the scan.
+
+    Of a log with a folder for each day, only the days of the window are listed and read.
+    """
     df = spark.read.parquet(path)
+    if set(CLEAN.fieldNames()) <= set(df.columns) and df.schema != CLEAN:  # a folder's date is told as a date, and last
+        more = [f for f in df.schema.fields if f.name not in CLEAN.fieldNames()]
+        df = spark.read.schema(T.StructType([*CLEAN.fields, *more])).parquet(path).select(*CLEAN.fieldNames(), *(f.name for f in more))
     return window(df, start, end).select(*(columns or df.columns))
 
 
 def window(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows whose time lies in the closed window; a bound that is None is open."""
-    if start is not None:
-        df = df.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        df = df.where(F.col("time") <= F.lit(end).cast("timestamp_ntz"))
+    """Rows whose time lies in the closed window; a bound that is None is open. A column of dates is bounded too, for its folders' sake."""
+    for bound, within in ((start, lambda a, b: a >= b), (end, lambda a, b: a <= b)):
+        if bound is not None:
+            time = F.lit(bound).cast("timestamp_ntz")
+            df = df.where(within(F.col("time"), time))
+            if "behavior_date" in df.columns:
+                df = df.where(within(F.col("behavior_date"), time.cast("date").cast("string")))
     return df
 
 

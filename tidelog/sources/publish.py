@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MODES = {"skip": "ignore", "fail": "errorifexists", "replace": "overwrite", "append": "append"}
 
@@ -37,26 +39,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(
-    tables: dict[str, tuple[DataFrame, str]],
+    tables: dict[str, tuple],
     validate: Callable[[str, DataFrame], None] | None = None,
     sort_by: dict[str, list[str]] | None = None,
 ) -> dict[str, int]:
     """Write all tables beside their targets, read and validate each, and only then swap them in.
 
-    ``tables`` has (DataFrame, target path) by name; the rows of each are returned. ``sort_by``
-    names the columns that order a table over all its files. If a write, a check or a swap fails,
-    all that was published before is there again, and the staged files go. Only a driver that dies
-    between two renames leaves tables of both kinds; the older ones then lie beside, as ``-old``.
+    ``tables`` has (DataFrame, target path) by name, or (DataFrame, target path, form) with a ``Form``
+    for other files than Parquet; the rows of each are returned. ``sort_by`` names the columns that
+    order a table over all its files. If a write, a check or a swap fails, all that was published before
+    is there again, and the staged files go. Only a driver that dies between two renames leaves tables
+    of both kinds; the older ones then lie beside, as ``-old`` (``snapshot`` leaves no such gap).
     """
     staged: dict[str, tuple[str, str]] = {}
     rows: dict[str, int] = {}
     spark = next(iter(tables.values()))[0].sparkSession
     try:
-        for name, (df, target) in tables.items():
+        for name, (df, target, *form) in tables.items():
+            form = form[0] if form else parquet_form((sort_by or {}).get(name))
             stage = f"{target.rstrip('/')}._staging-{uuid.uuid4().hex}"
             staged[name] = (stage, target)
-            write_parquet(df, stage, sort_by=(sort_by or {}).get(name))
-            again = spark.read.parquet(stage)
+            form.write(df, stage)
+            again = form.read(spark, stage, df.schema)
             if [(f.name, f.dataType) for f in again.schema] != [(f.name, f.dataType) for f in df.schema]:
                 raise ValueError(f"{name} reads back with another schema")
             if validate is not None:
@@ -71,6 +75,42 @@ def publish(
     return rows
 
 
+@dataclass(frozen=True)
+class Form:
+    """How a table is written to a path, and read again: ``read`` gets the session, the path and the schema that was written."""
+
+    write: Callable[[DataFrame, str], None]
+    read: Callable[[SparkSession, str, StructType], DataFrame]
+
+
+def parquet_form(sort_by: list[str] | None = None) -> Form:
+    return Form(lambda df, path: write_parquet(df, path, sort_by=sort_by), lambda spark, path, _: spark.read.parquet(path))
+
+
+def csv_form(single_file: bool = False) -> Form:
+    """CSV with a header; what is read again is cast to the schema, and a value of another type fails the check."""
+    form = "yyyy-MM-dd HH:mm:ss"
+    options = {"header": True, "escape": '"', "enforceSchema": False, "mode": "FAILFAST", "timestampNTZFormat": form, "timestampFormat": form}
+    return Form(
+        lambda df, path: write_csv(df, path, single_file=single_file),
+        lambda spark, path, schema: spark.read.schema(schema).options(**options).csv(path),
+    )
+
+
+def dated_form(column: str, within: list[str]) -> Form:
+    """Parquet with a folder for each value of a text column of dates, so that a window of time reads only its days.
+
+    Rows are dealt out by ranges of the date and of ``within``, so a day of very many rows is
+    several files, each sorted; a small day is one.
+    """
+
+    def write(df: DataFrame, path: str) -> None:
+        order = [column, *within]
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(column).option("compression", "snappy").parquet(path)
+
+    return Form(write, lambda spark, path, schema: spark.read.schema(schema).parquet(path).select(*schema.fieldNames()))
+
+
 def _swap(spark: SparkSession, staged: list[tuple[str, str]]) -> None:
     """Every stage takes its target's place, or none: what was moved away stays until all renames are through."""
     begun: list[tuple[str, str]] = []

@@ -13,6 +13,7 @@ set makes can hide a pair.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -106,11 +107,12 @@ def signatures(tokens: np.ndarray, similarity: Similarity, counts: np.ndarray |
     n = len(tokens)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    own = next(i for i, (_, high) in enumerate(bands(similarity.part, similarity.whole)) if n <= high)
-    first = own
-    while first and similarity.largest(bands(similarity.part, similarity.whole)[first - 1][1]) >= n:
+    every = bands(similarity.part, similarity.whole)
+    own = first = bisect_left(every, n, key=lambda band: band[1])
+    while first and similarity.largest(every[first - 1][1]) >= n:
         first -= 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(tokens, out=sums[1:])
     place = tokens >> np.uint64(32)
     common = counts is not None and counts.any()
     keys, roles = [], []
@@ -118,9 +120,11 @@ def signatures(tokens: np.ndarray, similarity: Similarity, counts: np.ndarray |
         segments, flexible, salt = scheme(similarity.part, similarity.whole, band)
         # tokens are sorted, so a segment is a run of them
         segment = ((place * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
-        ends = np.searchsorted(segment, np.arange(segments), side="right")
-        size = np.diff(ends, prepend=0)
-        total = sums[ends] - sums[ends - size]
+        size = np.bincount(segment, minlength=segments)
+        ends = size.cumsum()
+        upto = sums[ends]
+        total = upto.copy()
+        total[1:] -= upto[:-1]
         key = mix(total + salt)
         role = np.full(segments, FOUND)
         without = total[segment[: ends[flexible - 1]]] - tokens[: ends[flexible - 1]] if flexible else np.empty(0, np.uint64)

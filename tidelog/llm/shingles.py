@@ -29,6 +29,8 @@ CLASSES = 128
 ROUNDS, PAIRS_PER_ROW = 8, 8
 #: Rows of a block that are held against each other in a task.
 TILE = 2048
+#: Rows of a run that is compared together with others.
+SMALL = 16
 
 
 def words_hash(text: bytes) -> bytes:
@@ -48,12 +50,16 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     if len(words) < width:
         return np.array([digest(b" ".join(words))], dtype=np.uint64).view(np.int64)
-    own = np.array(list(map(digest, words)), dtype=np.uint64)
+    own = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
     n = len(words) - width + 1
-    got = own[:n]
+    places = partition.mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)  # an odd number for each place
+    got = own[:n] * places[:1]
     for i in range(1, width):
-        got = partition.mix(got) + own[i : i + n]
-    return np.unique(partition.mix(got).view(np.int64))
+        got += own[i : i + n] * places[i : i + 1]
+    got = np.sort(partition.mix(got).view(np.int64))
+    new = np.ones(n, dtype=bool)
+    np.not_equal(got[1:], got[:-1], out=new[1:])
+    return got[new]
 
 
 def alike(n_common: int, n_a: int, n_b: int) -> bool:
@@ -199,55 +205,95 @@ def _tiles(mixed: DataFrame, pairs: bool) -> DataFrame:
     return dealt.select(*columns).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "root", "node")
 
 
-def _room(own: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Which of the rows ``others`` may be alike to row ``i`` by their sketches."""
-    most = np.minimum(own[others], own[i]).sum(axis=1, dtype=np.int64)
-    return others[most * (PART + WHOLE) >= PART * (n[others] + n[i])]
+def _room(own: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
+    """Which of the pairs of rows (i, j) may be alike by their sketches; some pairs at a time."""
+    i, j = np.broadcast_arrays(np.asarray(i), np.asarray(j))
+    most = np.empty(len(i), dtype=np.int64)
+    for k in range(0, len(i), 4096):
+        part = slice(k, k + 4096)
+        most[part] = np.minimum(own[i[part]], own[j[part]]).sum(axis=1, dtype=np.int64)
+    return most * (PART + WHOLE) >= PART * (n[i] + n[j])
+
+
+def _pairs_of(runs: dict[str, np.ndarray], starts: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of ``_compared`` in rows that are whole runs, beginning at ``starts``."""
+    node, root, n, tile, own = (runs[c] for c in ("node", "root", "n", "tile", "sketch"))
+    sizes = np.diff(starts, append=len(node))
+    if round_:
+        mixed = partition.mix(node.view(np.uint64) + np.full(len(node), round_, np.uint64))
+        least = np.repeat(np.minimum.reduceat(mixed, starts), sizes)
+        at = np.flatnonzero(mixed == least)
+        run = np.repeat(np.arange(len(starts)), sizes)
+        head = np.zeros(len(starts), dtype=np.int64)
+        head[run[at]] = at
+        i, j = head[run], np.arange(len(node))
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        good = _room(own, n, i, j)
+        return i[good], j[good]
+    cross = runs["p"] != runs["q"]
+    left, right = [], []
+    end = np.repeat(starts + sizes, sizes)
+    small = np.repeat(sizes <= SMALL, sizes)
+    for d in range(1, min(SMALL, int(sizes.max()))):  # short runs all at once, by the distance of the rows
+        i = np.flatnonzero(small & (np.arange(len(node)) + d < end))
+        j = i + d
+        apart = (root[i] != root[j]) & ~(cross[i] & (tile[i] == tile[j]))
+        i, j = i[apart], j[apart]
+        good = _room(own, n, i, j)
+        left.append(i[good])
+        right.append(j[good])
+    for k in np.flatnonzero(sizes > SMALL):
+        a, b = starts[k], starts[k] + sizes[k]
+        ends = a + np.searchsorted(root[a:b], root[a:b], side="right")  # rows of a run are sorted by root
+        for i in range(a, b):
+            j = np.arange(ends[i - a], b)
+            if cross[i]:
+                j = j[tile[j] != tile[i]]
+            j = j[_room(own, n, i, j)] if len(j) else j
+            left.append(np.full(len(j), i))
+            right.append(j)
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
 
 
 def _compared(mixed: DataFrame, round_: int = 0) -> DataFrame:
     """(a, b, weight): pairs of texts of a block, of different groups so far, whose sketches leave room for the similarity.
 
     With a round, only pairs with one text of each tile, chosen by that number, and ``weight`` is the
-    number of the block's rows; without, all pairs. A task holds a pair of tiles at a time.
+    number of the block's rows; without, all pairs. A task holds a batch and a pair of tiles at a time.
     """
+    keys, numbers = ("h", "p", "q"), ("h", "p", "q", "tile", "rows", "node", "root", "n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(run: pa.Table) -> pa.RecordBatch:
-            node, root, n, tile = (run.column(c).to_numpy() for c in ("node", "root", "n", "tile"))
-            p, q, rows = (run.column(c)[0].as_py() for c in ("p", "q", "rows"))
-            own = np.frombuffer(b"".join(run.column("sketch").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
-            if n.max() >= 1 << 16:
-                own = own.astype(np.int64) << np.array([coarse(x) for x in n])[:, None]
-            a, b = [], []
-            if round_:
-                i = int(np.argmin(partition.mix(node.view(np.uint64) + np.full(len(node), round_, np.uint64))))
-                got = _room(own, n, i, np.flatnonzero(root != root[i]))
-                a, b = [np.full(len(got), node[i])], [node[got]]
-            else:
-                ends = np.searchsorted(root, root, side="right")  # rows are sorted by root
-                for i in np.flatnonzero(ends < len(root)):
-                    others = np.arange(ends[i], len(root))
-                    got = _room(own, n, i, others if p == q else others[tile[others] != tile[i]])
-                    a.append(np.full(len(got), node[i]))
-                    b.append(node[got])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), rows), pa.int64())], ["a", "b", "weight"])
-
-        held: list[pa.RecordBatch] = []
+        held: dict[str, np.ndarray] = {}
+
+        def found(runs: dict[str, np.ndarray]) -> pa.RecordBatch:
+            changed = np.zeros(len(runs["h"]), dtype=bool)
+            changed[0] = True
+            for c in keys:
+                changed[1:] |= runs[c][1:] != runs[c][:-1]
+            i, j = _pairs_of(runs, np.flatnonzero(changed), round_)
+            return pa.RecordBatch.from_arrays([pa.array(runs["node"][i]), pa.array(runs["node"][j]), pa.array(runs["rows"][i])], ["a", "b", "weight"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("h", "p", "q")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            last = tuple(held[-1].column(c)[-1].as_py() for c in ("h", "p", "q")) if held else None
-            for i, j in zip(cuts, cuts[1:]):
-                if held and (i or last != tuple(keys[:, 0])):
-                    yield pairs(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(batch.slice(i, j - i))
+            runs = {c: np.asarray(batch.column(c)).astype(np.int64) for c in numbers}
+            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
+            shift = np.array([coarse(x) for x in runs["n"]]) if runs["n"].max() >= 1 << 16 else None
+            runs["sketch"] = own if shift is None else own.astype(np.int64) << shift[:, None]
+            if held:
+                runs = {c: np.concatenate([held[c], runs[c]]) for c in runs}
+            last = np.ones(len(runs["h"]), dtype=bool)
+            for c in keys:
+                last &= runs[c] == runs[c][-1]
+            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if cut:
+                yield found({c: x[:cut] for c, x in runs.items()})
+            held = {c: x[cut:] for c, x in runs.items()}
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield found(held)
 
     return _tiles(mixed, not round_).mapInArrow(work, "a long, b long, weight long")
 

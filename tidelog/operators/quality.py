@@ -129,6 +129,23 @@ def feature_qa_rules(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.unionByName(more.withColumn("status", F.when(F.col("failures") == 0, "PASS").otherwise("FAIL")))
 
 
+#: The columns whose values a report counts, by table.
+SPREAD = {
+    "user_features": ["user_activity_level", "user_is_buyer", "user_is_repeat_buyer"],
+    "time_features": ["is_weekend", "time_period"],
+    "sequence_features": [f"sequence_has_{x}" for x in ("pv_cart", "pv_fav", "pv_buy", "pv_cart_buy")],
+}
+
+
+def distributions(tables: dict[str, DataFrame]) -> DataFrame:
+    """(feature, value, n): rows of each value of tiers, flags and periods. Each table is read once for all its columns."""
+    parts = []
+    for name, columns in SPREAD.items():
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns)))
+        parts.append(tables[name].select(each.alias("x")).groupBy("x.feature", "x.value").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def user_set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: users that only one of the tables has, and whether the sets agree."""
     sides = a.select("user_id", F.lit(1).alias("left"), F.lit(0).alias("right")).union(b.select("user_id", F.lit(0), F.lit(1)))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import cleaning, features, marts, quality, sequences, stats
+from tidelog.operators import cleaning, daystate, features, marts, quality, sequences, stats
 from tidelog.plans import sqltext
-from tidelog.sources import stage
+from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events, clean_lineitem, dirty_events, raw_events
 from tidelog.sources.schema import CLEAN_COLUMNS
 
@@ -684,6 +684,56 @@ _query("l", _user_sql(_LREF) + " SELECT * FROM uf", "user_features_lineitem")(la
 _query("l", _ITEM + " SELECT * FROM itf", "item_features_lineitem")(lambda c: features.item_features(_cells(c)))
 
 
+# ---- layouts and states ------------------------------------------------------------------------
+
+_WINDOW = ("2024-01-05 03:00:00", "2024-01-20 12:00:00")
+
+
+@_query("c", f"""SELECT behavior_date, count(*) AS behavior_count, count(DISTINCT user_id) AS users FROM c
+  WHERE "time" BETWEEN TIMESTAMP '{_WINDOW[0]}' AND TIMESTAMP '{_WINDOW[1]}' GROUP BY 1""")
+def dated_log_window(c):
+    """The log written with a folder for each day, then a window of it, of which only its days are read."""
+    path = stage.path_for(c.sparkSession, "dated")
+    publish.dated_form("behavior_date", ["time", "user_id"]).write(c.select(*CLEAN_COLUMNS), path)
+    log = files.read_clean(c.sparkSession, path, ["behavior_date", "user_id"], *_WINDOW)
+    by_user = log.groupBy("behavior_date", "user_id").agg(F.count("*").alias("n"))
+    return by_user.groupBy("behavior_date").agg(F.sum("n").alias("behavior_count"), F.count("*").alias("users"))
+
+
+def _folded(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state of the log, of which three parts by date come one after the other, the second one twice into the sets."""
+    x = _cells(c)
+    put = lambda state: tuple(stage.stored(df, name) for df, name in zip(state, ("sums", "sets")))
+    part = F.pmod(F.unix_date(F.to_date("behavior_date")), F.lit(3))
+    state = put(daystate.of_rows(x.where(part == 0)))
+    for k in (1, 2):
+        day = put(daystate.of_rows(x.where(part == k)))
+        folded = put(daystate.fold(state, day))
+        stage.release(*state, *day)
+        state = folded
+    return state
+
+
+_query("c", _ITEM + " SELECT * EXCLUDE (category_id) FROM itf", "day_state_items")(lambda c: daystate.item_totals(_folded(c)))
+_query("c", _CAT + " SELECT * FROM cf", "day_state_categories")(lambda c: daystate.category_totals(_folded(c)))
+_query(
+    "c",
+    _user_sql(REFERENCE) + """ SELECT user_id, user_total_count, user_pv_count, user_fav_count, user_cart_count, user_buy_count, user_unique_item_count,
+  user_unique_category_count, user_active_day_count, user_first_behavior_time, user_last_behavior_time FROM uf""",
+    "day_state_users",
+)(lambda c: daystate.user_totals(_folded(c)))
+
+
+@_query("c", _CAT + " SELECT * FROM cf")
+def snapshot_categories(c):
+    """Two versions published by manifest, of half of the log and of all of it; the newest is read."""
+    spark, root = c.sparkSession, stage.path_for(c.sparkSession, "versions")
+    x = _cells(c)
+    for part in (x.where("user_id % 2 = 0"), x):
+        snapshot.publish_snapshot({"categories": features.category_features(part)}, root)
+    return snapshot.read(spark, root, "categories")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import cleaning, features, marts, quality, sequences, stats
 from tidelog.plans import sqltext
-from tidelog.sources import files, publish, stage
+from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.schema import DEFAULT_BURST, RAW_COLUMNS, require_columns
 
 
@@ -142,21 +142,32 @@ def feature_tables(clean: DataFrame, reference: str) -> dict[str, DataFrame]:
     }
 
 
-def build_features(spark: SparkSession, input_path: str, output_directory: str, reference: str, window_start=None, window_end=None) -> dict[str, int]:
+def build_features(
+    spark: SparkSession, input_path: str, output_directory: str, reference: str, window_start=None, window_end=None, *, versions: bool = False, more: bool = False
+) -> dict[str, int]:
     """Build, validate and publish the feature, sequence and conversion tables, in order of their keys; all or none appear.
 
     The tables are made of the log's cells, which are written once; their totals must agree with the log's rows.
+    With ``versions`` they appear as one new version of ``snapshot``, so not even a driver that dies leaves tables of
+    two kinds; ``check_features`` and ``build_marts`` read either. ``more`` adds the tables of user activity by
+    quantiles, recent paths, item conversion and the wide table of pairs.
     """
     clean = files.read_clean(spark, input_path, start=window_start, end=window_end)
     total = clean.count()
     if not total:
         raise ValueError("no row lies in the window")
     require_columns(clean, FEATURE_INPUT)
-    tables = feature_tables(stage.stored(features.cells(clean), "cells"), reference)
+    cells = stage.stored(features.cells(clean), "cells")
+    tables = feature_tables(cells, reference)
     tables["user_sequence_features"] = sequences.sequence_features(clean)
     tables["conversion_features"] = stats.conversion_features(clean)
-
     order = {**quality.KEYS, "user_sequence_features": ["user_id"]}
+    if more:
+        tables["user_activity"] = features.user_activity_p20_p80(cells)
+        tables["user_recent_paths"] = sequences.recent_path_features(clean)
+        tables["item_conversion"] = features.item_conversion_features(cells)
+        tables["wide_user_item"] = features.wide_user_item(cells, reference, tables["user_sequence_features"])
+        order |= {"user_activity": ["user_id"], "user_recent_paths": ["user_id"], "item_conversion": ["item_id"], "wide_user_item": ["user_id", "item_id"]}
 
     def validate(name: str, again: DataFrame) -> None:
         keys = order.get(name)
@@ -175,22 +186,29 @@ def build_features(spark: SparkSession, input_path: str, output_directory: str,
             if failed:
                 raise quality.ValidationError(f"{name} breaks {failed}")
 
-    return publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()}, validate, sort_by=order)
+    if versions:
+        _, rows = snapshot.publish_snapshot(tables, output_directory, validate, {k: publish.parquet_form(v) for k, v in order.items()})
+    else:
+        rows = publish.publish({k: (df, f"{output_directory}/{k}") for k, df in tables.items()}, validate, sort_by=order)
+    stage.release(cells)
+    return rows
 
 
 def check_features(spark: SparkSession, feature_directory: str, report_path: str | None = None, markdown_path: str | None = None) -> dict:
     """Rules on the published user, hour and sequence tables, and across them: failures by rule, and whether all pass."""
     names = {"user_features": "user_features", "time_features": "time_features", "sequence_features": "user_sequence_features"}
-    tables = {name: spark.read.parquet(f"{feature_directory}/{path}") for name, path in names.items()}
+    paths = {name: snapshot.resolve(spark, feature_directory, path) for name, path in names.items()}
+    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
     found = {r["rule"]: r["failures"] for r in quality.feature_qa_rules(tables).collect()}
-    shapes = {name: files.parquet_profile(spark, f"{feature_directory}/{path}") for name, path in names.items()}
-    report = {"passed": not any(found.values()), "failures": found, "tables": shapes}
+    shapes = {name: files.parquet_profile(spark, path) for name, path in paths.items()}
+    spread = {f"{r['feature']} {r['value']}": r["n"] for r in quality.distributions(tables).collect()}
+    report = {"passed": not any(found.values()), "failures": found, "tables": shapes, "distributions": spread}
     if report_path:
         publish.write_json(spark, report, report_path)
     if markdown_path:
         rows = {name: x["rows"] for name, x in shapes.items()}
         status = f"STATUS = {'PASS' if report['passed'] else 'FAIL'}"
-        publish.write_text(spark, publish.render_markdown("Checks of the feature tables", {"Rows": rows, "Rows that break a rule": found}) + f"\n{status}\n", markdown_path)
+        publish.write_text(spark, publish.render_markdown("Checks of the feature tables", {"Rows": rows, "Rows that break a rule": found, "Distributions": spread}) + f"\n{status}\n", markdown_path)
     return report
 
 
@@ -215,18 +233,29 @@ def describe(spark: SparkSession, input_path: str, output_directory: str, csv: b
     return publish.publish({k: (df, f"{output_directory}/{k}", *form(k)) for k, df in tables.items()})
 
 
+#: The column of a table that keeps its loads apart.
+LOADED = "loaded_from"
+
+
 def import_table(
-    spark: SparkSession, input_path: str, table: str, *, clean: bool = False, mode: str = "skip", view: str | None = None, cluster_by: list[str] | None = None
+    spark: SparkSession, input_path: str, table: str, *, clean: bool = False, mode: str = "skip", view: str | None = None, cluster_by: list[str] | None = None, once: bool = False
 ) -> int:
     """A raw CSV (or, with ``clean``, a clean Parquet log) as a catalogue table, verified; its rows are returned.
 
     An existing table is kept with mode ``skip``, else it is an error (``fail``), replaced or added
     to. ``view`` names a view with derived columns over a raw table. Clustering, by default by
-    user and time, and column statistics stand for indexes.
+    user and time, and column statistics stand for indexes. With ``once`` the table keeps the rows of each
+    loaded file apart, so a load that is run again, after a crash too, takes the place of its own rows
+    instead of adding them twice; its last column names the file.
     """
     if mode not in publish.MODES:
         raise ValueError(f"mode must be one of {sorted(publish.MODES)}")
-    df = files.read_clean(spark, input_path) if clean else files.read_typed_csv(spark, input_path)
+    source = LOADED if once else None
+    df = files.read_clean(spark, input_path, source=source) if clean else files.read_typed_csv(spark, input_path, source)
+    if once:
+        rows = publish.load_once(df, table, mode, LOADED, cluster_by or ["user_id", "time"])
+        publish.verify(spark, table, rows, df.columns)
+        return rows
     exists = spark.catalog.tableExists(table)
     before = spark.table(table).count() if exists and mode in ("skip", "append") else 0
     publish.write_table(df, table, mode=mode, cluster_by=cluster_by or ["user_id", "time"], statistics=True)
@@ -241,7 +270,7 @@ def import_table(
 
 def build_marts(spark: SparkSession, feature_directory: str, output_directory: str) -> dict[str, int]:
     """The dashboard's tables, from published feature tables."""
-    read = lambda name: spark.read.parquet(f"{feature_directory}/{name}")
+    read = lambda name: spark.read.parquet(snapshot.resolve(spark, feature_directory, name))
     tables = {
         "item_conversion": marts.item_mart(read("item_features")),
         "category_conversion": marts.category_mart(read("category_features")),

@@ -44,10 +44,11 @@ def read_raw_csv(spark: SparkSession, path: str, with_position: bool = False) ->
     return df.select(*rows, place.alias(POSITION))
 
 
-def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The raw log with integer columns; a value that is no integer fails the read."""
+def read_typed_csv(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """The raw log with integer columns; a value that is no integer fails the read. ``source`` is as in ``read_clean``."""
     require_header(spark, path, RAW_COLUMNS)
-    return spark.read.schema(RAW_TYPED).options(**_CSV, enforceSchema=False, mode="FAILFAST").csv(path)
+    df = spark.read.schema(RAW_TYPED).options(**_CSV, enforceSchema=False, mode="FAILFAST").csv(path)
+    return df.select("*", F.expr(_SOURCE).alias(source)) if source else df
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -58,16 +59,24 @@ def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN).options(**options).csv(path)
 
 
-def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None, start=None, end=None) -> DataFrame:
+#: A column that tells files apart, and a file from what was there under its name before.
+_SOURCE = "substring(sha2(concat_ws('|', _metadata.file_path, _metadata.file_size, _metadata.file_modification_time), 256), 1, 16)"
+
+
+def read_clean(spark: SparkSession, path: str, columns: list[str] | None = None, start=None, end=None, source: str | None = None) -> DataFrame:
     """Clean Parquet with column pruning and a closed time window, both pushed to the scan.
 
-    Of a log with a folder for each day, only the days of the window are listed and read.
+    Of a log with a folder for each day, only the days of the window are listed and read. ``source`` names
+    a last column that tells which file a row came from.
     """
-    df = spark.read.parquet(path)
-    if set(CLEAN.fieldNames()) <= set(df.columns) and df.schema != CLEAN:  # a folder's date is told as a date, and last
-        more = [f for f in df.schema.fields if f.name not in CLEAN.fieldNames()]
-        df = spark.read.schema(T.StructType([*CLEAN.fields, *more])).parquet(path).select(*CLEAN.fieldNames(), *(f.name for f in more))
-    return window(df, start, end).select(*(columns or df.columns))
+    reader = spark.read
+    df = reader.parquet(path)
+    names = df.columns
+    if dict(df.dtypes).get("behavior_date") == "date":  # told from folders: the last column, and not as text
+        names = [*(c for c in CLEAN.fieldNames() if c in names), *(c for c in names if c not in CLEAN.fieldNames())]
+        kinds = {f.name: f for f in [*df.schema.fields, *CLEAN.fields]}
+        df = reader.schema(T.StructType([kinds[c] for c in names])).parquet(path)
+    return window(df, start, end).select(*(columns or names), *([F.expr(_SOURCE).alias(source)] if source else []))
 
 
 def window(df: DataFrame, start=None, end=None) -> DataFrame:

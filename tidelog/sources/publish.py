@@ -158,6 +158,29 @@ def write_table(df: DataFrame, table: str, mode: str = "skip", cluster_by: list[
         df.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
+def load_once(df: DataFrame, table: str, mode: str, source: str, cluster_by: list[str]) -> int:
+    """Add rows to a table that has a partition for each file that was loaded, named by the last column, ``source``; its rows are returned.
+
+    A file's partition is overwritten as a whole, so what is loaded twice counts once, and a load that died is
+    made good by the next one. With mode ``replace`` the table begins anew; ``skip`` and ``fail`` are as in ``write_table``.
+    """
+    spark = df.sparkSession
+    exists = spark.catalog.tableExists(table)
+    if exists and mode == "skip":
+        return spark.table(table).count()
+    if exists and mode == "fail":
+        raise ValueError(f"{table} already exists")
+    if exists and mode == "append" and source not in spark.table(table).columns:
+        raise ValueError(f"{table} does not keep its loads apart")
+    order = [source, *cluster_by]
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+    if not exists or mode == "replace":
+        out.format("parquet").partitionBy(source).saveAsTable(table)
+    else:
+        out.option("partitionOverwriteMode", "dynamic").insertInto(table)
+    return spark.table(table).count()
+
+
 def create_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 

@@ -54,11 +54,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def path_for(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = path_for(spark, name)
     with _shuffles_cleaned(spark):
         df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import daystate, features, sequences
 from tidelog.plans import jobs
-from tidelog.sources import files, publish, snapshot
+from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events
 from tidelog.sources.schema import CLEAN, CLEAN_COLUMNS, RAW_COLUMNS
 
@@ -91,8 +92,8 @@ def _scan(df):
     nodes = [plan]
     while nodes:
         node = nodes.pop()
-        if "FileSourceScan" in node.getClass().getName():
-            metrics = node.metrics()
+        metrics = node.metrics()
+        if "FileSourceScan" in node.getClass().getName() and metrics.contains("numPartitions"):
             return metrics.apply("numFiles").value(), metrics.apply("numPartitions").value(), node.toString()
         children = node.children()
         nodes += [children.apply(i) for i in range(children.size())]
@@ -216,3 +217,61 @@ def test_a_load_that_is_run_again_counts_once(spark, tmp_path):
             load("fail")
     finally:
         spark.sql("DROP TABLE IF EXISTS once_log")
+
+
+def _exchanges(df):
+    """Keys of the shuffles of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_tables_in_buckets_are_joined_without_a_shuffle(spark, dated):
+    log = files.read_clean(spark, dated)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = stage.bucketed(features.cells(log), "cells", ["user_id"])
+        found = stage.bucketed(sequences.sequence_features(log), "sequences", ["user_id"])
+        pairs = features.user_item_features(cells)
+        users = features.user_features(cells, REFERENCE).join(found, "user_id", "left")
+        assert _exchanges(pairs.join(users, "user_id", "left")) == []
+        wide = features.wide_user_item(cells, REFERENCE, found)
+        assert "user_id" not in _exchanges(wide)
+        plain = features.wide_user_item(log, REFERENCE, sequences.sequence_features(log))
+        assert "user_id" in _exchanges(plain)
+        assert wide.exceptAll(plain).count() == plain.exceptAll(wide).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    hot = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("user_id"))
+    flat = stage.bucketed(hot, "hot", ["user_id"], buckets=16)
+    assert _exchanges(flat.groupBy("user_id").count()) and flat.count() == 4000
+    path = cells.stored_at
+    stage.release(cells, found)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_state_of_days_equals_all_rows(spark, dated, monkeypatch):
+    monkeypatch.setattr(daystate, "SHORT", 3)  # both kinds of block
+    log = files.read_clean(spark, dated)
+    many = spark.range(20_000).select(
+        F.lit("2024-03-01 05:00:00").cast("timestamp_ntz").alias("time"), (F.col("id") * 7 - 50_000).alias("user_id"), F.lit(3).cast("long").alias("item_id"), F.lit(4).cast("long").alias("category_id"),
+        F.lit(4).alias("behavior_type"), F.lit("buy").alias("behavior_name"), F.lit("2024-03-01").alias("behavior_date"), F.lit(5).alias("behavior_hour"), F.lit(4).alias("weekday"),
+    )
+    parts = [features.cells(x) for x in (log.where("behavior_date < '2024-01-10'"), log.where("behavior_date >= '2024-01-10'"), many)]
+    keep = lambda state: tuple(stage.stored(x, "state") for x in state)
+    states = [keep(daystate.of_rows(x)) for x in parts]
+    folded = keep(daystate.fold(keep(daystate.fold(states[0], states[1])), states[2]))
+    other = keep(daystate.fold(states[2], keep(daystate.fold(states[1], states[0]))))
+    whole = features.cells(log.unionByName(many))
+    same = lambda a, b: sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(a.columns)).collect()))
+    for state in (folded, other):
+        assert same(daystate.item_totals(state), features.item_features(whole))
+        assert same(daystate.category_totals(state), features.category_features(whole))
+        assert same(daystate.user_totals(state), features.user_features(whole, REFERENCE))
+    assert folded[1].where("bits IS NOT NULL").count() > 0 and folded[1].where("bits IS NULL").count() > 0
+    # a day that is folded into the sets twice changes no number
+    again = daystate.fold(folded, (states[1][0].where("false"), states[1][1]))
+    assert same(daystate.counts(again[1]), daystate.counts(folded[1]))
+    # folding reads the day and the state, and no log
+    plan = daystate.fold(folded, states[2])[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "behavior_hour" not in plan

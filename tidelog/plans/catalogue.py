@@ -503,8 +503,10 @@ _query(
 
 
 def _wide(c):
-    log = _log(c)
-    return _text(features.wide_user_item(_cells(log), REFERENCE, sequences.sequence_features(log)))
+    log = stage.bucketed(c.select(*CLEAN_COLUMNS), "log", ["user_id"])
+    cells = stage.bucketed(features.cells(log), "cells", ["user_id"])
+    found = stage.bucketed(sequences.sequence_features(log), "sequences", ["user_id"])
+    return _text(features.wide_user_item(cells, REFERENCE, found))
 
 
 def _kpis(x):

@@ -8,9 +8,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables that ``stored`` wrote and nobody released.
 _WRITTEN: list[str] = []
+#: Catalogue tables of ``bucketed`` by path.
+_TABLES: dict[str, str] = {}
 #: Whether Spark deletes the shuffle files of an action as soon as it ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,7 +75,33 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None, most: float = 4.0) -> DataFrame:
+    """``df`` stored in ``buckets`` files by a hash of ``keys``, each sorted by them; by default as many as a shuffle has partitions.
+
+    Grouping by the keys, alone or with others, and joins of two such tables with as many buckets need no
+    shuffle. Where the rows of one key are more than ``most`` buckets' share, one task would read them all
+    again and again; such a table is stored without buckets, and Spark splits the key when it shuffles.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = path_for(spark, name), f"{name}_{uuid.uuid4().hex}"
+    with _shuffles_cleaned(spark):
+        out = df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+        out.option("compression", "zstd").option("path", path).saveAsTable(table)
+    _TABLES[path] = table
+    kept = spark.table(table)
+    kept.stored_at = path
+    rows, largest = kept.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if rows > 1000 and largest * n > most * rows:
+        flat = stored(kept, name)
+        release(kept)
+        return flat
+    return kept
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 

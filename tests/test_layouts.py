@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import daystate, features, sequences
+from tidelog.operators import daystate, features, ranges, sequences
 from tidelog.plans import jobs
 from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events
@@ -275,3 +275,41 @@ def test_a_state_of_days_equals_all_rows(spark, dated, monkeypatch):
     # folding reads the day and the state, and no log
     plan = daystate.fold(folded, states[2])[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "behavior_hour" not in plan
+
+
+def _ahead(rows, n):
+    """Next ``n`` names of each row's pair, by hand."""
+    out = {}
+    for i, (u, k, t, b, name) in enumerate(rows):
+        later = [r[4] for r in rows[i + 1 : i + 1 + n] if r[:2] == (u, k)]
+        out.setdefault((u, k, t, b, name), []).append(tuple(later + [None] * (n - len(later))))
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def test_leads_of_a_pair_with_half_of_the_log(spark, tmp_path):
+    names = {1: "pv", 2: "fav", 3: "cart", 4: "buy"}
+    rows = [(u % 7, u % 5, i, 1 + (i * 7 + u) % 4) for u in range(60) for i in range(8)] + [(1, 1, 100 + i, 1 + (i * i) % 4) for i in range(500)]
+    rows = sorted({(u, k, t, b) for u, k, t, b in rows})
+    rows = [(*r, names[r[3]]) for r in rows]
+    frame = spark.createDataFrame(rows, "user_id long, item_id long, time long, behavior_type int, behavior_name string").repartition(5)
+    for stretch in (3, 10, 100_000):
+        got = ranges.leads(frame, ["user_id", "item_id"], ["time", "behavior_type"], "behavior_name", 3, stretch)
+        assert got.columns == [*frame.columns, "n1", "n2", "n3"]
+        found = {}
+        for r in got.collect():
+            found.setdefault(tuple(r)[:5], []).append(tuple(r)[5:])
+        assert {k: sorted(v, key=str) for k, v in found.items()} == _ahead(rows, 3), stretch
+    assert ranges.leads(frame.where("false"), ["user_id", "item_id"], ["time"], "behavior_name", 3).count() == 0
+
+
+def test_quantiles_by_rank_equal_the_sorted_values(spark):
+    values = [(i * i) % 977 - 300 for i in range(4001)] + [5] * 3000
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)] * 5, "x long")
+    got = ranges.quantiles_by_rank(frame, "x", (0.0, 0.1, 0.2, 0.5, 0.77, 1.0))
+    values.sort()
+    for q, x in got.items():
+        at = q * (len(values) - 1)
+        low = int(at)
+        high = min(low + 1, len(values) - 1)
+        assert abs(x - (values[low] + (values[high] - values[low]) * (at - low))) < 1e-9
+    assert ranges.quantiles_by_rank(frame.where("x IS NULL"), "x", (0.5,)) == {0.5: None}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators import ranges
 from tidelog.operators.features import last_n
 
 NEWEST = ("time", "item_id", "behavior_type")
@@ -106,29 +107,38 @@ def recent_5_interval(c: DataFrame) -> DataFrame:
 
 
 def _leads(c: DataFrame) -> DataFrame:
-    w = Window.partitionBy("user_id", "item_id").orderBy("time", "behavior_type")
-    return c.withColumns({f"n{k}": F.lead("behavior_name", k).over(w) for k in (1, 2, 3)})
+    """The behaviours of the next three rows of each pair, by stretches of equal length: a pair of very many rows is no hot task."""
+    return ranges.leads(c.select("user_id", "item_id", "time", "behavior_type", "behavior_name"), ["user_id", "item_id"], ["time", "behavior_type"], "behavior_name", 3)
 
 
-def adjacent_transitions(c: DataFrame) -> DataFrame:
-    """Rows of a user where a view of an item is followed at once by fav, cart or buy of it."""
+def _transitions() -> list[Column]:
     step = lambda n: F.count_if((F.col("behavior_name") == "pv") & (F.col("n1") == n)).alias(f"pv_to_{n}_count")
-    return _leads(c).groupBy("user_id").agg(step("fav"), step("cart"), step("buy"))
+    return [step("fav"), step("cart"), step("buy")]
 
 
-def adjacent_chains(c: DataFrame) -> DataFrame:
-    """Whether pv-fav-buy, pv-cart-buy or pv-fav-cart-buy of an item occurs without a gap."""
+def _chains() -> Column:
     is_ = lambda *names: F.coalesce(
         (F.col("behavior_name") == "pv") & F.array_join(F.array(*(f"n{i + 1}" for i in range(len(names)))), ",").eqNullSafe(",".join(names)), F.lit(False)
     )
     chain = is_("fav", "buy") | is_("cart", "buy") | is_("fav", "cart", "buy")
-    return _leads(c).groupBy("user_id").agg(F.max(chain.cast("int")).alias("has_behavior_chain"))
+    return F.max(chain.cast("int")).alias("has_behavior_chain")
+
+
+def adjacent_transitions(c: DataFrame) -> DataFrame:
+    """Rows of a user where a view of an item is followed at once by fav, cart or buy of it."""
+    return _leads(c).groupBy("user_id").agg(*_transitions())
+
+
+def adjacent_chains(c: DataFrame) -> DataFrame:
+    """Whether pv-fav-buy, pv-cart-buy or pv-fav-cart-buy of an item occurs without a gap."""
+    return _leads(c).groupBy("user_id").agg(_chains())
 
 
 def recent_path_features(c: DataFrame) -> DataFrame:
+    """Recent actions and their mean gap, transitions and chains; the last two of one look ahead."""
     gap = F.timestamp_diff("SECOND", F.min("time"), F.max("time")).cast("double")
     recent = _recent_5(c).groupBy("user_id").agg(
         F.array_join(_in_order("behavior_name"), "|").alias("recent_5_actions"),
         F.when(F.count("*") > 1, F.round(gap / F.lit(60.0) / (F.count("*") - 1).cast("double"), 2)).otherwise(F.lit(0.0)).alias("avg_recent_5_interval_min"),
     )
-    return recent.join(adjacent_transitions(c), "user_id", "left").join(adjacent_chains(c), "user_id", "left").na.fill(0)
+    return recent.join(_leads(c).groupBy("user_id").agg(*_transitions(), _chains()), "user_id", "left").na.fill(0)

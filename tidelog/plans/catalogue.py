@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import cleaning, daystate, features, marts, quality, sequences, stats
+from tidelog.operators import cleaning, daystate, features, marts, quality, ranges, sequences, stats
 from tidelog.plans import sqltext
 from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events, clean_lineitem, dirty_events, raw_events
@@ -736,6 +736,19 @@ def snapshot_categories(c):
     return snapshot.read(spark, root, "categories")
 
 
+_QS = (0.0, 0.2, 0.25, 0.5, 0.75, 0.8, 0.99, 1.0)
+
+
+@_query("l", """, u AS (SELECT user_id, count(*) AS n FROM c GROUP BY user_id), i AS (SELECT user_id, item_id, count(*) AS n FROM c GROUP BY ALL) """ + " UNION ALL ".join(
+    f"SELECT {q}::DOUBLE AS q, (SELECT quantile_cont(n, {q}::DOUBLE) FROM u) AS of_users, (SELECT round(quantile_cont(epoch(\"time\"), {q}::DOUBLE), 2) FROM c) AS of_times" for q in _QS))
+def quantiles_by_rank(c):
+    """Quantiles of totals by user, and of all times, by their ranks."""
+    users = ranges.quantiles_by_rank(c.groupBy("user_id").agg(F.count("*").alias("n")), "n", _QS)
+    seconds = F.unix_timestamp(F.col("time").cast("timestamp")).cast("double").alias("s")
+    times = ranges.quantiles_by_rank(c.select(seconds), "s", _QS)
+    return c.sparkSession.createDataFrame([(q, users[q], round(times[q], 2)) for q in _QS], "q double, of_users double, of_times double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

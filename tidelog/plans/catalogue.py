@@ -12,6 +12,7 @@ from tidelog.plans import sqltext
 from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events, clean_lineitem, dirty_events, raw_events
 from tidelog.sources.schema import CLEAN_COLUMNS
+from tidelog.streaming import bursts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -736,6 +737,22 @@ def snapshot_categories(c):
     return snapshot.read(spark, root, "categories")
 
 
+_COLLAPSED = _ORACLES["burst_collapse"].removeprefix(_WITH["c"])
+
+
+@_query("c", _COLLAPSED)
+def streamed_burst_collapse(c):
+    """The log as three files that a stream delivers one by one; counts and first rows are carried from batch to batch."""
+    spark = c.sparkSession
+    given, root, checkpoint = (stage.path_for(spark, name) for name in ("arrivals", "bursts", "stream"))
+    parts = c.select("event_id", "time", "user_id", "item_id", "category_id", "behavior_type").repartitionByRange(3, F.xxhash64("event_id"))
+    parts.write.parquet(given)
+    log = bursts.BurstLog(spark, root, 3, "month")
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    log.run(stream, checkpoint)
+    return log.collapsed()
+
+
 _QS = (0.0, 0.2, 0.25, 0.5, 0.75, 0.8, 0.99, 1.0)
 
 

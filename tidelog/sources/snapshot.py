@@ -90,8 +90,9 @@ def publish_snapshot(
     root: str,
     validate: Callable[[str, DataFrame], None] | None = None,
     forms: dict[str, publish.Form] | None = None,
+    notes: dict | None = None,
 ) -> tuple[int, dict[str, int]]:
-    """Publish tables as a new version of ``root``: the version, and the rows of each.
+    """Publish tables as a new version of ``root``: the version, and the rows of each. ``notes`` go into the manifest.
 
     Tables of the version before that are not given stay as they were. If a write or a check fails, or the
     driver dies at any step, readers go on to find the version before; what was written of the new one is
@@ -115,7 +116,7 @@ def publish_snapshot(
     if any(manifest(spark, root, n) for n in taken):
         raise ConflictError(f"{root} has a newer version than {before['version']}")
     version = max([before["version"], *taken]) + 1
-    _put(spark, f"{root}/manifests/{version:0{_DIGITS}d}.json", _sealed({"version": version, "tables": placed}))
+    _put(spark, f"{root}/manifests/{version:0{_DIGITS}d}.json", _sealed({"version": version, "tables": placed, "notes": notes or {}}))
     return version, rows
 
 

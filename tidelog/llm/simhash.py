@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, extended, refuse, spread_join, utf8
+from tidelog.llm.common import durable, extended, refuse, spread_join, stored, utf8
 from tidelog.llm.components import connected_components
 
 
@@ -79,13 +79,11 @@ def near_pairs(fps: DataFrame, distance: int = 2, blocks: int = 6) -> DataFrame:
             )
         ).alias("k"),
     ).select("k.choice", "k.block", "fp")
+    # many fingerprints may share a block, so each block's rows are spread over tasks
+    keyed = stored(keyed, "blocks")
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return (
-        left.join(right, (left.choice == right.choice) & (left.block == right.block) & (F.col("a") < F.col("b")) & near)
-        .select("a", "b")
-        .distinct()
-    )
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return spread_join(left, right, ["choice", "block"], ["a"]).where(near).select("a", "b").distinct()
 
 
 def hex16(fp: Column) -> Column:

@@ -241,8 +241,9 @@ def _features(data: bytes) -> list:
 
 def features(stored: DataFrame, media: str = "media") -> DataFrame:
     """The other columns of ``stored``, and what the decoded image gives; all null where ``media`` is
-    null or no Netpbm or BMP file. ``tile`` is an NPY file of TILE samples."""
-    names = [c for c in stored.columns if c != media and c not in {n for n, _, _ in _FEATURES}]
+    null or no Netpbm or BMP file. ``tile`` is an NPY file of TILE samples. Columns that have a feature's name are refused."""
+    names = [c for c in stored.columns if c != media]
+    refuse(names, *(n for n, _, _ in _FEATURES))
     kept = stored.select(*names, F.col(media).alias("__media"))
 
     def one(data: bytes | None) -> list:

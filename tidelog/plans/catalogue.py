@@ -11,7 +11,7 @@ from tidelog.operators import cleaning, daystate, features, marts, quality, rang
 from tidelog.plans import sqltext
 from tidelog.sources import files, publish, snapshot, stage
 from tidelog.sources.adapters import REFERENCE, clean_events, clean_lineitem, dirty_events, raw_events
-from tidelog.sources.schema import CLEAN_COLUMNS
+from tidelog.sources.schema import CLEAN_COLUMNS, RAW_COLUMNS
 from tidelog.streaming import bursts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,12 +171,14 @@ def raw_status_judgement(d):
 _FLAGGED = ("behavior_date", "behavior_hour", "weekday", "behavior_name", "item_category")
 
 
-@_query("r", "SELECT " + ", ".join(f"list_contains(json_keys(to_json(r)), '{c}') AS has_{c}" for c in _FLAGGED) + " FROM r LIMIT 1")
+_HAS = lambda c: f"coalesce(bool_or({c} <> ''), false)" if c in RAW_COLUMNS else "false"
+
+
+@_query("r", "SELECT " + ", ".join(f"{_HAS(c)} AS has_{c}" for c in _FLAGGED) + ", count(*) AS rows FROM r")
 def schema_feature_flags(r):
-    """Which derived columns the log already has; nothing but the schema is read."""
-    names = set(r.columns)
-    flags = {f"has_{c}": c in names for c in _FLAGGED}
-    return r.sparkSession.createDataFrame([tuple(flags.values())], ", ".join(f"{k} boolean" for k in flags))
+    """Which derived columns the log already has, filled in some row at least, and its rows."""
+    filled = lambda c: F.coalesce(F.bool_or(F.col(c) != ""), F.lit(False)) if c in r.columns else F.lit(False)
+    return r.agg(*(filled(c).alias(f"has_{c}") for c in _FLAGGED), F.count("*").alias("rows"))
 
 
 _TYPE = lambda c: f"CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END AS type_of_{c}"

@@ -313,3 +313,29 @@ def test_quantiles_by_rank_equal_the_sorted_values(spark):
         high = min(low + 1, len(values) - 1)
         assert abs(x - (values[low] + (values[high] - values[low]) * (at - low))) < 1e-9
     assert ranges.quantiles_by_rank(frame.where("x IS NULL"), "x", (0.5,)) == {0.5: None}
+
+
+def test_statistics_change_estimates_and_the_order_of_joins(spark):
+    tables = {"st_log": 6000, "st_items": 3000, "st_rare": 4}
+    try:
+        publish.plan_by_statistics(spark)
+        publish.write_table(spark.range(6000).select((F.col("id") % 3000).alias("item"), (F.col("id") % 1000).alias("kind"), F.when(F.col("id") < 5900, 1).otherwise(F.col("id")).alias("x")), "st_log", statistics=True)
+        publish.write_table(spark.range(3000).select(F.col("id").alias("item"), F.lit("a").alias("a")), "st_items", statistics=True)
+        publish.write_table(spark.range(4).select(F.col("id").alias("kind"), F.lit("b").alias("b")), "st_rare", statistics=True)
+
+        def look(on):
+            publish.plan_by_statistics(spark, on)
+            query = spark.table("st_log").join(spark.table("st_items"), "item").join(spark.table("st_rare"), "kind")
+            plan = query._jdf.queryExecution().optimizedPlan()
+            estimate = spark.table("st_log").where("x > 3000")._jdf.queryExecution().optimizedPlan().stats().rowCount()
+            names = [x for x in plan.toString().replace("`", "").split() if "st_" in x]
+            return [n for line in names for n in tables if n in line], int(str(estimate.get())) if estimate.isDefined() else None, query.count()
+
+        with_, without = look(True), look(False)
+        assert with_[2] == without[2] == 24
+        assert with_[1] is not None and with_[1] < 1000 and without[1] is None  # the histogram knows that few are so large
+        assert with_[0] != without[0] and with_[0].index("st_rare") < with_[0].index("st_items")
+    finally:
+        publish.plan_by_statistics(spark, False)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

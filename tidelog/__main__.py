@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     clean.add_argument("--report")
     clean.add_argument("--markdown")
     clean.add_argument("--values-output")
+    clean.add_argument("--by-date", action="store_true", help="a folder for each day")
     clean.add_argument("--allowed-start")
     clean.add_argument("--allowed-end")
     clean.add_argument("--suspicious-repeat-threshold", type=int, default=DEFAULT_BURST)
@@ -32,6 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     features.add_argument("--reference", required=True)
     features.add_argument("--window-start")
     features.add_argument("--window-end")
+    features.add_argument("--versions", action="store_true", help="publish as a new version by manifest")
+    features.add_argument("--more", action="store_true", help="user activity, recent paths, item conversion and the wide table too")
     describe = sub.add_parser("describe", help="write the descriptive tables of a clean log")
     describe.add_argument("--input", required=True)
     describe.add_argument("--output-directory", required=True)
@@ -43,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     table.add_argument("--mode", default="skip", choices=sorted(publish.MODES))
     table.add_argument("--view")
     table.add_argument("--cluster-by", nargs="*")
+    table.add_argument("--once", action="store_true", help="a file that is loaded again counts once")
     check = sub.add_parser("check", help="check published feature tables")
     check.add_argument("--features", required=True)
     check.add_argument("--report")
@@ -52,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     marts.add_argument("--output-directory", required=True)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    publish.plan_by_statistics(spark)
     try:
         if a.job == "clean":
             done = jobs.clean_user_behavior(
@@ -62,16 +67,17 @@ def main(argv: list[str] | None = None) -> int:
                 report_path=a.report,
                 markdown_path=a.markdown,
                 values_output=a.values_output,
+                by_date=a.by_date,
                 allowed_start=a.allowed_start,
                 allowed_end=a.allowed_end,
                 suspicious_repeat_threshold=a.suspicious_repeat_threshold,
             ).report
         elif a.job == "features":
-            done = jobs.build_features(spark, a.input, a.output_directory, a.reference, a.window_start, a.window_end)
+            done = jobs.build_features(spark, a.input, a.output_directory, a.reference, a.window_start, a.window_end, versions=a.versions, more=a.more)
         elif a.job == "describe":
             done = jobs.describe(spark, a.input, a.output_directory, a.csv)
         elif a.job == "import":
-            done = {"rows": jobs.import_table(spark, a.input, a.table, clean=a.clean, mode=a.mode, view=a.view, cluster_by=a.cluster_by)}
+            done = {"rows": jobs.import_table(spark, a.input, a.table, clean=a.clean, mode=a.mode, view=a.view, cluster_by=a.cluster_by, once=a.once)}
         elif a.job == "check":
             done = jobs.check_features(spark, a.features, a.report, a.markdown)
             if not done["passed"]:

@@ -147,9 +147,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "fail", single_file: bool =
     out.write.mode(MODES[mode]).options(header=True, timestampNTZFormat=form, timestampFormat=form).csv(path)
 
 
+#: Settings under which Spark plans by the statistics of tables: estimates by column, and the order of joins.
+_BY_STATISTICS = ("spark.sql.cbo.enabled", "spark.sql.cbo.planStats.enabled", "spark.sql.cbo.joinReorder.enabled", "spark.sql.statistics.histogram.enabled")
+
+
+def plan_by_statistics(spark: SparkSession, on: bool = True) -> None:
+    """From now on ``spark`` orders joins and estimates filters by what ``write_table`` gathered, its histograms included."""
+    for key in _BY_STATISTICS:
+        spark.conf.set(key, str(on).lower())
+
+
 def write_table(df: DataFrame, table: str, mode: str = "skip", cluster_by: list[str] | None = None, statistics: bool = False) -> None:
     """A catalogue table. ``cluster_by`` sorts files by range, so that scans skip row groups; that and
-    column ``statistics`` take the place of indexes."""
+    column ``statistics``, with histograms where ``plan_by_statistics`` is on, take the place of indexes."""
     out = df
     if cluster_by:
         out = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)

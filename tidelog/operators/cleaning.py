@@ -244,11 +244,11 @@ def removal_reasons(analysed: DataFrame) -> DataFrame:
 def distinct_raw_ids(analysed: DataFrame) -> DataFrame:
     """Distinct strings per id column, invalid ones too, missing ones not.
 
-    A row gives a value for each column, but equal ones are grouped in each task before they are shuffled, and no
-    row is expanded with all its columns for each distinct count.
+    Equal combinations are grouped first; of these, not of raw rows, each column's values are.
     """
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"s_{c}").alias("v")) for c in IDS))).alias("x")
-    each = analysed.select(values).where("x.v <> ''").groupBy("x.c", "x.v").agg(F.lit(1))
+    equal = analysed.groupBy(*(f"s_{c}" for c in IDS)).agg(F.lit(1))
+    each = equal.select(values).where("x.v <> ''").groupBy("x.c", "x.v").agg(F.lit(1))
     return each.agg(*(F.count_if(F.col("c") == c).alias(f"distinct_{c}") for c in IDS))
 
 

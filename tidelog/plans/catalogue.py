@@ -121,14 +121,16 @@ _cols = lambda p: ", ".join(f"{p}{n}_count" for n in _FOUR)
 @_query("r", """SELECT count(*) AS total_rows, min("time") AS min_time, max("time") AS max_time, count(DISTINCT user_id) AS users,
   count(DISTINCT item_id) AS items, count(DISTINCT item_category) AS categories, count(DISTINCT behavior_type) AS behaviors FROM r""")
 def raw_overview(r):
-    return r.agg(
-        F.count("*").alias("total_rows"),
-        F.min("time").alias("min_time"),
-        F.max("time").alias("max_time"),
-        F.countDistinct("user_id").alias("users"),
-        F.countDistinct("item_id").alias("items"),
-        F.countDistinct("item_category").alias("categories"),
-        F.countDistinct("behavior_type").alias("behaviors"),
+    """Equal combinations are counted first; of these, not of raw rows, each column's values are grouped."""
+    columns = {"user_id": "users", "item_id": "items", "item_category": "categories", "behavior_type": "behaviors"}
+    equal = r.groupBy(*columns).agg(F.count("*").alias("n"), F.min("time").alias("low"), F.max("time").alias("high"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("x")
+    values = equal.select(each, "n", "low", "high").groupBy("x.c", "x.v").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return values.agg(
+        F.coalesce(F.sum(F.when(F.col("c") == "user_id", F.col("n"))), F.lit(0)).alias("total_rows"),
+        F.min("low").alias("min_time"),
+        F.max("high").alias("max_time"),
+        *(F.count_if((F.col("c") == c) & F.col("v").isNotNull()).alias(name) for c, name in columns.items()),
     )
 
 
@@ -677,6 +679,21 @@ _query(
 _query("c", _user_sql(REFERENCE) + " SELECT user_activity_level, count(*) AS users FROM uf GROUP BY 1", "tier_distribution")(
     lambda c: _users(_cells(c)).groupBy("user_activity_level").agg(F.count("*").alias("users"))
 )
+_SPREAD_SQL = {"user_features": "uf", "time_features": "tf", "sequence_features": "sq"}
+_query(
+    "c",
+    _user_sql(REFERENCE) + _TIME + _SEQ + " " + " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, CAST({x} AS VARCHAR) AS value, count(*) AS n FROM {t} GROUP BY 2" for k, t in _SPREAD_SQL.items() for x in quality.SPREAD[k]
+    ),
+    "feature_distributions",
+)(lambda c: _spread(_log(c)))
+
+
+def _spread(log):
+    x = _cells(log)
+    return quality.distributions({"user_features": _users(x), "time_features": features.time_features(x), "sequence_features": sequences.sequence_features(log)})
+
+
 _FLAGS = ("pv_cart", "pv_fav", "pv_buy", "pv_cart_buy")
 _query("c", _CHAIN + " SELECT " + ", ".join(f"CAST(sum(sequence_has_{f}) AS BIGINT) AS users_{f}" for f in _FLAGS) + " FROM ch", "chain_user_counts")(
     lambda c: sequences.chain_flags(c).agg(*(F.sum(f"sequence_has_{f}").alias(f"users_{f}") for f in _FLAGS))

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import extended, kept_by_worker, pieces, refuse, texts
+from tidelog.llm.common import extended, give_back, kept_by_worker, pieces, refuse, texts
 
 #: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 700_000
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 450_000
 #: Words above this many bytes are encoded in pieces of so many bytes (a power of two), and bytes on both sides of a
 #: seam that are encoded anew where two pieces do not fit.
 LONG_WORD, PIECE, SEAM = 512, 256, 32
 #: Bytes of text, and tokens, that are held at a time.
-TEXT_BYTES, DECODE_TOKENS = 3 << 20, 200_000
+TEXT_BYTES, DECODE_TOKENS = 3 << 19, 100_000
 
 # Patterns no match of which goes on over a space between two characters that are not white space.
 SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
@@ -356,7 +356,9 @@ def encode(
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and its passes over the many small lists cost a tenth
         try:
-            for batch in pieces(batches, "__text", TEXT_BYTES):
+            for i, batch in enumerate(pieces(batches, "__text", TEXT_BYTES)):
+                if i % 16 == 0:
+                    give_back()
                 rows = codec.encoder.encode(texts(batch.column("__text")))
                 lengths = np.array([len(x) // 4 for x in rows], dtype=np.int64)
                 values = np.frombuffer(b"".join(rows), dtype="<i4")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
@@ -125,6 +126,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 _KEPT: dict = {}
 
 
@@ -132,7 +141,7 @@ def kept_by_worker(key: Hashable, make: Callable):
     """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages do not pile up."""
     if key not in _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -19,6 +19,18 @@ CHECKED = (
     "recent_path_features",
     "segment_summary",
     "wide_user_item",
+    "raw_overview",
+    "distinct_raw_ids",
+    "schema_feature_flags",
+    "user_set_equality",
+    "kpis",
+    "dated_log_window",
+    "day_state_items",
+    "day_state_users",
+    "snapshot_categories",
+    "streamed_burst_collapse",
+    "quantiles_by_rank",
+    "feature_distributions",
 )
 
 

@@ -79,6 +79,31 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert run() == expected
 
 
+def test_pairs_that_share_many_blocks_come_about_once(spark):
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join([*common, *(f"q{i}_{k}" for k in range(60))])) for i in range(12)]  # 0.75 alike: no links, but likely
+    texts = shingles._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    none = np.empty(0, np.int64)
+    blocks = partition.blocks(texts, shingles.shingle_hashes, partition.Similarity(4, 5), (none, none), 1 << 20)
+    mixed = shingles._mixed(blocks, spark.createDataFrame([], "node long, root long"), texts)
+    assert mixed.count() > 12 * 20  # each text is in many blocks
+    pairs = [tuple(sorted(r[:2])) for r in shingles._compared(mixed).collect()]
+    assert len(set(pairs)) == 12 * 11 // 2 and len(pairs) <= 2 * len(set(pairs))
+
+
+def test_sketches_leave_room_for_what_is_alike():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 60, 128, 129, 700, 5_000, 90_000):
+        a = np.sort(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+        b = np.sort(np.concatenate([a[n // 10 :], rng.integers(-(1 << 63), 1 << 63, n // 10, dtype=np.int64)]))
+        b = b[: max(1, len(b) - n // 200)]
+        for x, y in ((shingles.fine(a), shingles.fine(b)), (shingles.sketch(a), shingles.sketch(b)), (shingles.sketch(a), shingles.fine(b))):
+            assert shingles.room(x, y, len(a), len(b)) >= shingles.alike(len(np.intersect1d(a, b)), len(a), len(b))
+    same = np.arange(0, 128 * 1_000, 128)  # all in one class, more than a byte holds
+    for h in (same, same[:255], same[:256], same[:511], same[:512]):
+        assert shingles.counts([shingles.sketch(h)])[0, 0] >= len(h) and shingles.room(shingles.sketch(h), shingles.fine(h), len(h), len(h))
+
+
 def test_query(spark, sf_dir):
     df = queries.op13_ngram_jaccard_join(spark, sf_dir)
     assert df.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]

@@ -23,8 +23,11 @@ SAMPLE_TEXTS, COMMON = 5_000, 200_000
 BROADCAST_KEYS = 500_000
 #: Bytes of text that a task takes apart at a time.
 TEXT_BYTES = 2 << 20
-#: Numbers of a text's sketch: how many of its shingles fall into each class of hashes.
-CLASSES = 128
+#: Numbers of a text's sketch: how many of its shingles fall into each class of hashes; at most so many are in the
+#: finer one, which has a class for each shingle or more.
+CLASSES, FINE_CLASSES = 128, 1 << 14
+#: Blocks of a text, the least ones, by which a pair is known to meet in an earlier block.
+LEAST, NO_BLOCK = 16, (1 << 63) - 1
 #: Rounds in which texts meet one of their block, and pairs expected for each row of a block that end them.
 ROUNDS, PAIRS_PER_ROW = 8, 8
 #: Rows of a block that are held against each other in a task.
@@ -81,18 +84,36 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """How many shingles fall into each class, in units of 2 ** ``coarse``, rounded up.
+def sketch(hashes: np.ndarray, classes: int = CLASSES) -> bytes:
+    """How many shingles fall into each class, in a byte each, in units of 2 ** (the first byte), rounded up.
 
     Sets can't have more in common than the lesser of these numbers, summed up.
     """
-    n = np.bincount(hashes & (CLASSES - 1), minlength=CLASSES)
-    return (-(-n // (1 << coarse(len(hashes))))).astype("<u2").tobytes()
+    n = np.bincount(hashes & (classes - 1), minlength=classes)
+    unit = max(0, int(n.max()).bit_length() - 8)
+    if -(-int(n.max()) >> unit) > 255:
+        unit += 1
+    return bytes([unit]) + (-(-n >> unit)).astype(np.uint8).tobytes()
 
 
-def coarse(n: int) -> int:
-    """Bits by which the counts of ``n`` shingles are too long for a sketch."""
-    return max(0, int(n).bit_length() - 16)
+def counts(sketches: list[bytes]) -> np.ndarray:
+    """The numbers of sketches of one length, a row for each."""
+    rows = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1)
+    units, n = rows[:, :1], rows[:, 1:]
+    return n.astype(np.int64) << units.astype(np.int64) if units.any() else n
+
+
+def fine(hashes: np.ndarray) -> bytes:
+    """A sketch with as many classes as shingles or more, a power of two."""
+    return sketch(hashes, min(FINE_CLASSES, max(CLASSES, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 1)))
+
+
+def room(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """True if sets with these sketches, of any numbers of classes, may be alike."""
+    x, y = (counts([s])[0].astype(np.int64) for s in (a, b))
+    classes = min(len(x), len(y))
+    x, y = (z.reshape(-1, classes).sum(axis=0) for z in (x, y))
+    return alike(int(np.minimum(x, y).sum()), n_a, n_b)
 
 
 def _likely(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -104,27 +125,38 @@ def _likely(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = [batch.column(c).to_pylist() for c in ("n_a", "n_b")]
-            counts = []
-            for c, n in zip(("sketch_a", "sketch_b"), sizes):
-                got = np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, CLASSES).astype(np.int64)
-                counts.append(got << np.array([coarse(x) for x in n])[:, None])
-            most = np.minimum(*counts).sum(axis=1)
-            keep = most * (PART + WHOLE) >= PART * (np.array(sizes[0]) + np.array(sizes[1]))
+            a, b, n_a, n_b = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
+            if len({*map(len, a), *map(len, b)}) == 1:
+                most = np.minimum(counts(a), counts(b)).sum(axis=1, dtype=np.int64)
+                keep = most * (PART + WHOLE) >= PART * (np.array(n_a) + np.array(n_b))
+            else:
+                keep = [room(*row) for row in zip(a, b, n_a, n_b)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(told.mapInArrow(may_be, "a long, b long"), "likely")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; ``pairs`` are released."""
+    """The pairs (a, b) whose texts are alike; ``pairs`` are released.
+
+    Finer sketches come first: texts are joined only to the pairs that these leave.
+    """
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     if nodes.count() <= BROADCAST_KEYS:
         nodes_ = F.broadcast(nodes)
     else:
         nodes_ = nodes
-    picked = stored(texts.select("node", "text").join(nodes_, "node", "left_semi"), "alike")
-    both = spread_join(pairs, picked.toDF("a", "text_a"), ["a"], ["b"]).join(picked.toDF("b", "text_b"), "b")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", TEXT_BYTES):
+            got = pa.array([fine(shingle_hashes(x)) for x in utf8(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], ["node", "n", "text", "sketch"])
+
+    picked = texts.select("node", "n", "text").join(nodes_, "node", "left_semi")
+    picked = stored(picked.mapInArrow(sketched, "node long, n long, text string, sketch binary"), "alike")
+    likely = _likely(picked, pairs)
+    picked_ = picked.select("node", "text")
+    both = spread_join(likely, picked_.toDF("a", "text_a"), ["a"], ["b"]).join(picked_.toDF("b", "text_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
@@ -135,7 +167,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     out = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct(), "links")
-    release(pairs, nodes, picked)
+    release(pairs, nodes, picked, likely)
     return out
 
 
@@ -181,13 +213,18 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _mixed(blocks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, node, root, rows, n, sketch): the blocks whose texts are of several groups so far, how many rows each has, and the texts' sketches."""
+    """(h, node, root, rows, n, sketch, least): the blocks whose texts are of several groups so far, and how many rows each has.
+
+    Of the texts, their sketches and the LEAST least blocks that each is in, in order.
+    """
     rooted = spread_join(blocks.select("h", "node"), roots, ["node"], ["h"], how="left").select("h", "node", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted.distinct(), "rooted")
     several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = spread_join(rooted, several.select("h", F.col("n").alias("rows")), ["h"], ["node"], counts=several)
-    out = stored(spread_join(mixed, texts.select("node", "n", "sketch"), ["node"], ["h"]), "mixed")
-    release(rooted)
+    mixed = stored(spread_join(rooted, several.select("h", F.col("n").alias("rows")), ["h"], ["node"], counts=several), "several")
+    least = F.slice(F.concat(F.sort_array(F.collect_list("h")), F.array_repeat(F.lit(NO_BLOCK), LEAST)), 1, LEAST)
+    of = mixed.groupBy("node").agg(least.alias("least")).join(texts.select("node", "n", "sketch"), "node")
+    out = stored(spread_join(mixed, of, ["node"], ["h"]), "mixed")
+    release(rooted, mixed)
     return out
 
 
@@ -201,10 +238,20 @@ def _tiles(mixed: DataFrame, pairs: bool) -> DataFrame:
     cut = mixed.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     others = F.sequence(F.lit(0), tiles - 1) if pairs else F.array("tile")
     dealt = cut.withColumn("other", F.explode(others)).withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
-    columns = ["h", "p", "q", "tile", "rows", "node", "root", "n", "sketch"]
+    columns = ["h", "p", "q", "tile", "rows", "node", "root", "n", "sketch", "least"]
     return dealt.select(*columns).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "root", "node")
 
 
+def _met(least: np.ndarray, h: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) of a block also meet in a lesser one: it is among the least of both."""
+    out = np.empty(len(i), dtype=bool)
+    for k in range(0, len(i), 4096):
+        a, b = least[i[k : k + 4096]], least[j[k : k + 4096]]
+        same = (a[:, :, None] == b[:, None, :]) & (a < h[i[k : k + 4096], None])[:, :, None]
+        out[k : k + 4096] = same.any(axis=(1, 2))
+    return out
+
+
 def _room(own: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
     """Which of the pairs of rows (i, j) may be alike by their sketches; some pairs at a time."""
     i, j = np.broadcast_arrays(np.asarray(i), np.asarray(j))
@@ -254,14 +301,17 @@ def _pairs_of(runs: dict[str, np.ndarray], starts: np.ndarray, round_: int) -> t
             left.append(np.full(len(j), i))
             right.append(j)
     empty = np.empty(0, np.int64)
-    return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
+    i, j = (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
+    first = ~_met(runs["least"], runs["h"], i, j)
+    return i[first], j[first]
 
 
 def _compared(mixed: DataFrame, round_: int = 0) -> DataFrame:
     """(a, b, weight): pairs of texts of a block, of different groups so far, whose sketches leave room for the similarity.
 
     With a round, only pairs with one text of each tile, chosen by that number, and ``weight`` is the
-    number of the block's rows; without, all pairs. A task holds a batch and a pair of tiles at a time.
+    number of the block's rows; without, all pairs, each only in the first of the blocks that it is known to share: all
+    texts of a block are compared there, so none is lost. A task holds a batch and a pair of tiles at a time.
     """
     keys, numbers = ("h", "p", "q"), ("h", "p", "q", "tile", "rows", "node", "root", "n")
 
@@ -280,9 +330,8 @@ def _compared(mixed: DataFrame, round_: int = 0) -> DataFrame:
             if not batch.num_rows:
                 continue
             runs = {c: np.asarray(batch.column(c)).astype(np.int64) for c in numbers}
-            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype="<u2").reshape(-1, CLASSES)
-            shift = np.array([coarse(x) for x in runs["n"]]) if runs["n"].max() >= 1 << 16 else None
-            runs["sketch"] = own if shift is None else own.astype(np.int64) << shift[:, None]
+            runs["sketch"] = counts(batch.column("sketch").to_pylist())
+            runs["least"] = np.asarray(batch.column("least").flatten()).reshape(-1, LEAST)
             if held:
                 runs = {c: np.concatenate([held[c], runs[c]]) for c in runs}
             last = np.ones(len(runs["h"]), dtype=bool)

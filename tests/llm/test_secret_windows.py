@@ -77,3 +77,19 @@ def test_key_after_a_long_route_is_found_and_redacted(spark, sf_dir):
     got = {r.doc_id: r for r in secrets.redact(secrets.scan(rows, net)).collect()}
     assert all(KEY not in r.text for r in got.values())
     assert [s.kind for s in got[1].secret_spans] == ["model"] and [s.kind for s in got[2].secret_spans] == ["hex", "model"]
+
+
+def test_all_findings_count_however_many(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    key = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    rows = [(10_000 + i, f"alpha beta gamma delta number {i} token={key(i)} and name-of-part-{i} end") for i in range(7_000)]
+    frame = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {x for r in frame.where("text IS NOT NULL").collect() for x in secrets.findings(r.text)}
+    secret = [x for x in found if x[1]]
+    assert len(secret) >= 7_000
+    held = sum(x[2] % secrets.SPLITS == 1 for x in [*secret, *secrets._bare(secret)])
+    monkeypatch.setattr(secrets, "EPOCHS", 4)
+    net = secrets.train(frame)
+    assert net.held_out["secrets"] >= held and net.held_out["recall"] >= 0.9 and net.held_out["precision"] >= 0.9
+    again = secrets.train(frame.repartition(3))
+    assert again.threshold == net.threshold and (again.conv == net.conv).all() and again.held_out == net.held_out

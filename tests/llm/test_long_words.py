@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from tidelog.llm import bpe
@@ -24,3 +25,14 @@ def test_long_words_equal_the_library():
     short = ["".join(rng.choices(letters, k=rng.randint(20, 400))) for _ in range(30)]
     whole = encoder._merge([x.encode() for x in short], bpe.SHORT_SQL)
     assert [encoder._in_pieces(x.encode()) for x in short] == whole
+
+
+def test_decoding_rows_of_any_length_and_gaps_in_the_ranks():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, "é".encode(): 301}
+    decoder = bpe.Decoder(ranks)
+    rows = [[], [97], [300, 301], [300] * 3, [98] * 4, [301, 97, 300, 0, 255], [], list(range(256))]
+    token = {i: x for x, i in ranks.items()}
+    flat = np.array([i for r in rows for i in r], dtype=np.int32)
+    assert decoder.decode(flat, np.array([len(r) for r in rows])) == [b"".join(token[i] for i in r) for r in rows]
+    with pytest.raises(ValueError):  # within the range of the ranks, but none of them
+        decoder.decode(np.array([97, 280], dtype=np.int32), np.array([2]))

@@ -1,5 +1,6 @@
 """Words of many bytes without a split: pieces and seams against the public library."""
 
+import itertools
 import random
 
 import numpy as np
@@ -36,3 +37,14 @@ def test_decoding_rows_of_any_length_and_gaps_in_the_ranks():
     assert decoder.decode(flat, np.array([len(r) for r in rows])) == [b"".join(token[i] for i in r) for r in rows]
     with pytest.raises(ValueError):  # within the range of the ranks, but none of them
         decoder.decode(np.array([97, 280], dtype=np.int32), np.array([2]))
+
+
+def test_one_query_holds_the_words_of_a_piece_of_text(monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    words = sorted({f"{a}{b}{c}ßq{k}"[: 3 + k % 9].encode() for k, (a, b, c) in enumerate(itertools.product("thexzäö", repeat=3))})
+    calls, merge = [], encoder._merge
+    monkeypatch.setattr(encoder, "_merge", lambda part, query: calls.append(query) or merge(part, query))
+    made = encoder._merge_all(words * 40)
+    assert calls == [bpe.SHORT_SQL]
+    assert made == merge(words, bpe.LONG_SQL) * 40

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from tidelog.llm.common import extended, give_back, kept_by_worker, pieces, refuse, texts
 
-#: Words and parts of texts kept from batch to batch, and rows that one recursive query makes at most.
-CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 450_000
+#: Words and parts of texts kept from batch to batch, and tokens in all rows that one recursive query makes at most.
+CACHE_WORDS, CACHE_PARTS, QUERY_ROWS = 300_000, 100_000, 1_500_000
 #: Words above this many bytes are encoded in pieces of so many bytes (a power of two), and bytes on both sides of a
 #: seam that are encoded anew where two pieces do not fit.
 LONG_WORD, PIECE, SEAM = 512, 256, 32
@@ -30,33 +30,23 @@ TEXT_BYTES, DECODE_TOKENS = 3 << 19, 100_000
 # Patterns no match of which goes on over a space between two characters that are not white space.
 SPACED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 
-#: One row per token of a word: word, position, position of the next token, token, next token,
-#: and the rank that the merge table gives for the two. Each round contracts every word's
-#: leftmost pair of least rank and joins the pairs that changed to the merge table; a word
-#: without a pair ends. Positions take 10 bits of ``best``.
-SHORT_SQL = """
-WITH RECURSIVE step(w, p, n, t, u, r, i) AS (
-  SELECT w, p, n, t, u, m, 0::SMALLINT
-  FROM tok LEFT JOIN merges ON ab = ((t::BIGINT << 32) | u)
+#: A pair that the merge table does not have.
+NONE = (1 << 31) - 1
+
+#: One row per word: its tokens, and the ranks that the merge table gives for each two neighbours. Each round contracts
+#: every word's leftmost pair of least rank and looks up the two pairs that changed; a word without a pair ends.
+SHORT_SQL = f"""
+WITH RECURSIVE step(w, t, r) AS (
+  SELECT w, t, r FROM tok
   UNION ALL
-  SELECT x.w, x.p, x.n, x.t, x.u, CASE WHEN x.k IS NULL THEN x.r ELSE m.m END, x.i + 1::SMALLINT
-  FROM (
-    SELECT s.w, s.p, s.i, s.r,
-           CASE WHEN s.p = g.p THEN g.after ELSE s.n END AS n,
-           CASE WHEN s.p = g.p THEN g.m ELSE s.t END AS t,
-           CASE WHEN s.p = g.p THEN g.u WHEN s.n = g.p THEN g.m ELSE s.u END AS u,
-           CASE WHEN s.p = g.p THEN (g.m::BIGINT << 32) | g.u
-                WHEN s.n = g.p THEN (s.t::BIGINT << 32) | g.m END AS k
-    FROM step s JOIN (
-      SELECT b.w, (b.best >> 20)::INTEGER AS m, ((b.best >> 10) & 1023)::SMALLINT AS p,
-             c.p AS gone, c.n AS after, c.u
-      FROM (SELECT w, min((r::BIGINT << 20) | (p::BIGINT << 10) | n) AS best
-            FROM step WHERE r IS NOT NULL GROUP BY w) b
-      JOIN step c ON c.w = b.w AND c.p = (b.best & 1023)) g ON g.w = s.w
-    WHERE s.p <> g.gone) x
-  LEFT JOIN merges m ON m.ab = x.k
-), last AS (SELECT w, max(i) AS i FROM step GROUP BY w)
-SELECT w, list(t ORDER BY p) AS ids FROM step JOIN last USING (w, i) GROUP BY w ORDER BY w
+  SELECT w, list_concat(list_append(t[:p - 1], best), t[p + 2:]),
+         list_concat(CASE WHEN p > 1 THEN list_append(r[:p - 2], coalesce(a.m, {NONE})) ELSE [] END,
+                     CASE WHEN p < len(r) THEN list_prepend(coalesce(b.m, {NONE}), r[p + 2:]) ELSE [] END)
+  FROM (SELECT *, list_position(r, best) AS p FROM (SELECT w, t, r, list_min(r) AS best FROM step) WHERE best < {NONE}) x
+  LEFT JOIN merges a ON a.ab = ((t[p - 1]::BIGINT << 32) | best)
+  LEFT JOIN merges b ON b.ab = ((best::BIGINT << 32) | t[p + 2])
+)
+SELECT w, t AS ids FROM step WHERE coalesce(list_min(r), {NONE}) = {NONE} ORDER BY w
 """
 
 #: The same fixpoint for long words. Equal pairs of a word's least rank are contracted in
@@ -132,6 +122,11 @@ class Encoder:
         self.con.register("given", pa.table({"ab": a << 32 | b, "m": m.astype(np.int32), "alone": alone}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        self.pair = np.full(1 << 16, NONE, dtype=np.int32)  # what the merge table gives for two bytes
+        place = {int(x): i for i, x in enumerate(self.byte)}
+        for x, y, rank in rows:
+            if x in place and y in place:
+                self.pair[place[x] << 8 | place[y]] = rank
         self.token: dict[int, bytes] | None = None  # made for the first long word
         self.words: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -139,13 +134,16 @@ class Encoder:
     def _merge(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.array([len(x) for x in words])
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-        w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        p = np.arange(len(flat), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
-        t = self.byte[flat]
-        u = np.append(t[1:], -1).astype(np.int32)
-        u[np.cumsum(lengths) - 1] = -1  # none: no pair of the merge table has it
-        short = np.int16 if query is SHORT_SQL else np.int32
-        self.con.register("tok", pa.table({"w": w, "p": p.astype(short), "n": (p + 1).astype(short), "t": t, "u": u}))
+        t, ends = self.byte[flat], np.cumsum(lengths)
+        if query is SHORT_SQL:
+            r = np.delete(self.pair[flat.astype(np.int64) << 8 | np.append(flat[1:], 0)], ends - 1)
+            starts, places = (np.concatenate([[0], x]).astype(np.int32) for x in (ends, ends - np.arange(1, len(words) + 1)))
+            lists = {"t": pa.ListArray.from_arrays(starts, pa.array(t)), "r": pa.ListArray.from_arrays(places, pa.array(r))}
+            self.con.register("tok", pa.table({"w": np.arange(len(words), dtype=np.int32)} | lists))
+        else:
+            w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+            p = np.arange(len(flat), dtype=np.int32) - np.repeat(ends - lengths, lengths).astype(np.int32)
+            self.con.register("tok", pa.table({"w": w, "p": p, "t": t}))
         ids = self.con.sql(query).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("tok")
         values, offsets = np.asarray(ids.values).astype("<i4"), ids.offsets.to_pylist()
@@ -159,7 +157,7 @@ class Encoder:
             if word not in self.words:
                 raw = word.encode()
                 if (known := self.ranks.get(raw)) is not None:
-                    fresh[word] = np.array([known], dtype="<i4").tobytes()
+                    fresh[word] = known.to_bytes(4, "little")
                 else:
                     (long if len(raw) > LONG_WORD else short).append((word, raw))
         fresh.update((word, self._in_pieces(raw)) for word, raw in long)
@@ -272,7 +270,7 @@ class Encoder:
         ends = [i for i, word in enumerate(words) if word[0] == " "] + [len(words)]
         whole, heads = {}, {}
         for i, row in enumerate(rows):
-            if len(row) == 1 or not row[0] or row[0][-1].isspace() or not unsafe.isdisjoint(row):
+            if len(row) == 1 or not row[0] or row[0][-1].isspace() or (unsafe and not unsafe.isdisjoint(row)):
                 whole[i] = self.split(docs[i])
             else:
                 heads[i] = self.split(row[0])
@@ -360,13 +358,13 @@ def encode(
     kept = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept_by_worker(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and its passes over the many small lists cost a tenth
         try:
             for i, batch in enumerate(pieces(batches, "__text", TEXT_BYTES)):
                 if i % 16 == 0:
                     give_back()
+                codec = kept_by_worker(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
                 rows = codec.encoder.encode(texts(batch.column("__text")))
                 lengths = np.array([len(x) // 4 for x in rows], dtype=np.int64)
                 values = np.frombuffer(b"".join(rows), dtype="<i4")
@@ -392,8 +390,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     kept = encoded.select(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = kept_by_worker(("bpe ids", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
         for batch in batches:
+            decoder = kept_by_worker(("bpe ids", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
             lengths = np.asarray(pc.list_value_length(batch.column(ids)).fill_null(0)).astype(np.int64)
             flat = np.asarray(batch.column(ids).flatten()).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoder.decode(flat, lengths), pa.binary())], [*names, "decoded"])

@@ -91,6 +91,16 @@ def test_pairs_that_share_many_blocks_come_about_once(spark):
     assert len(set(pairs)) == 12 * 11 // 2 and len(pairs) <= 2 * len(set(pairs))
 
 
+def test_rounds_move_no_more_than_they_need(spark):
+    texts = spark.createDataFrame([(i, 3, shingles.sketch(np.arange(3))) for i in range(4)], "node long, n long, sketch binary")
+    blocks = spark.createDataFrame([(h, i) for h in (1, 2) for i in range(2 * h - 2, 2 * h)], "h long, node long")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    mixed = shingles._mixed(blocks, roots, texts)
+    assert {r["h"] for r in mixed.collect()} == {2}  # a later round begins with these
+    assert "least" not in shingles._tiles(mixed, False).columns and "least" in shingles._tiles(mixed, True).columns
+    assert [tuple(sorted(r[:2])) for r in shingles._compared(mixed, 1).collect()] == [(2, 3)]
+
+
 def test_sketches_leave_room_for_what_is_alike():
     rng = np.random.default_rng(5)
     for n in (1, 3, 60, 128, 129, 700, 5_000, 90_000):

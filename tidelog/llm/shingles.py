@@ -212,19 +212,21 @@ def _simhash_pairs(texts: DataFrame) -> DataFrame:
     return out
 
 
-def _mixed(blocks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+def _mixed(blocks: DataFrame, roots: DataFrame, texts: DataFrame, distinct: bool = False) -> DataFrame:
     """(h, node, root, rows, n, sketch, least): the blocks whose texts are of several groups so far, and how many rows each has.
 
-    Of the texts, their sketches and the LEAST least blocks that each is in, in order.
+    Of the texts, their sketches and the LEAST least blocks that each is in, in order. Groups only grow, so what
+    an earlier call gave has all blocks that can be of several groups; its rows are ``distinct``.
     """
-    rooted = spread_join(blocks.select("h", "node"), roots, ["node"], ["h"], how="left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted.distinct(), "rooted")
+    once = blocks.select("h", "node") if distinct else stored(blocks.select("h", "node").distinct(), "distinct")
+    rooted = spread_join(once, roots, ["node"], ["h"], how="left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
     several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     mixed = stored(spread_join(rooted, several.select("h", F.col("n").alias("rows")), ["h"], ["node"], counts=several), "several")
     least = F.slice(F.concat(F.sort_array(F.collect_list("h")), F.array_repeat(F.lit(NO_BLOCK), LEAST)), 1, LEAST)
     of = mixed.groupBy("node").agg(least.alias("least")).join(texts.select("node", "n", "sketch"), "node")
     out = stored(spread_join(mixed, of, ["node"], ["h"]), "mixed")
-    release(rooted, mixed)
+    release(once, rooted, mixed)
     return out
 
 
@@ -232,13 +234,13 @@ def _tiles(mixed: DataFrame, pairs: bool) -> DataFrame:
     """Rows of ``mixed`` by (h, p, q), sorted within tasks.
 
     A block of more than TILE rows is cut into tiles by a hash; with ``pairs`` each row comes once for each
-    pair (p, q) of tiles that its own is part of, else p and q are its own tile.
+    pair (p, q) of tiles that its own is part of, else p and q are its own tile and ``least``, of no use there, is left out.
     """
     tiles = F.ceil(F.col("rows") / TILE).cast("int")
     cut = mixed.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     others = F.sequence(F.lit(0), tiles - 1) if pairs else F.array("tile")
     dealt = cut.withColumn("other", F.explode(others)).withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
-    columns = ["h", "p", "q", "tile", "rows", "node", "root", "n", "sketch", "least"]
+    columns = ["h", "p", "q", "tile", "rows", "node", "root", "n", "sketch", *["least"] * pairs]
     return dealt.select(*columns).repartition("h", "p", "q").sortWithinPartitions("h", "p", "q", "root", "node")
 
 
@@ -331,7 +333,8 @@ def _compared(mixed: DataFrame, round_: int = 0) -> DataFrame:
                 continue
             runs = {c: np.asarray(batch.column(c)).astype(np.int64) for c in numbers}
             runs["sketch"] = counts(batch.column("sketch").to_pylist())
-            runs["least"] = np.asarray(batch.column("least").flatten()).reshape(-1, LEAST)
+            if not round_:
+                runs["least"] = np.asarray(batch.column("least").flatten()).reshape(-1, LEAST)
             if held:
                 runs = {c: np.concatenate([held[c], runs[c]]) for c in runs}
             last = np.ones(len(runs["h"]), dtype=bool)
@@ -360,9 +363,13 @@ def _linked(texts: DataFrame, blocks: DataFrame, first: list[DataFrame]) -> Data
     pairs = stored(pairs.distinct(), "pairs")
     links = _verified(texts, _likely(texts, pairs))
     release(pairs)
+    before = None
     for round_ in range(1, ROUNDS + 1):
         roots = connected_components(links)
-        mixed = _mixed(blocks, roots, texts)
+        mixed = _mixed(blocks if before is None else before, roots, texts, before is not None)
+        if before is not None:
+            release(before)
+        before = mixed
         met = stored(_compared(mixed, round_), "met")
         # what the chosen texts have of likely pairs tells how many there are in all
         expected, size = met.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] / 2, mixed.count()
@@ -370,10 +377,11 @@ def _linked(texts: DataFrame, blocks: DataFrame, first: list[DataFrame]) -> Data
         likely = _compared(mixed) if last else met
         found = _verified(texts, stored(likely.select("a", "b").distinct(), "likely"))
         joined = stored(links.union(found).distinct(), "links")
-        release(links, found, met, mixed)
+        release(links, found, met)
         links = joined
         if last:
             break
+    release(before)
     return connected_components(links)
 
 

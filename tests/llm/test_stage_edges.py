@@ -2,12 +2,13 @@
 
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tidelog.llm import media, queries, secrets
+from tidelog.llm import common, media, queries, secrets
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,18 @@ def test_a_rule_match_without_a_digit_is_scored(spark):
     net = secrets.fit([])
     (row,) = secrets.scan(docs, net, scores=True).collect()
     assert [s.kind for s in row.secret_spans] == ["assign"] and row.secret_spans[0].score is not None and len(row.secret_scores) == 1
+
+
+def test_idle_workers_let_go_of_what_they_keep(monkeypatch):
+    monkeypatch.setattr(common, "IDLE_S", 0.4)
+    for name in ("_KEPT", "_USED"):
+        monkeypatch.setattr(common, name, {})
+    made = []
+    for _ in range(6):  # asked for again and again, it stays
+        assert common.kept_by_worker("a", lambda: made.append(1) or made) is made
+        time.sleep(0.1)
+    assert made == [1]
+    time.sleep(1.2)
+    assert not common._KEPT
+    common.kept_by_worker("a", lambda: made.append(1) or made)
+    assert made == [1, 1]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import threading
+import time
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
@@ -134,16 +136,45 @@ def give_back() -> None:
         trim(0)
 
 
+#: Seconds after which a Python worker lets go of what it keeps, if no task asks for it: an executor has more idle
+#: workers than cores, and each would hold its models all through the stages that come after.
+IDLE_S = 10
+
 _KEPT: dict = {}
+_USED: dict = {}
+_LOCK = threading.Lock()
+
+
+def _let_go(idle: float) -> None:
+    """Forget what was not asked for in ``idle`` seconds; ends once nothing is kept."""
+    while True:
+        time.sleep(idle / 4)
+        with _LOCK:
+            if time.monotonic() - _USED.get("at", 0) < idle:
+                continue
+            _KEPT.clear()
+            _USED.clear()
+        give_back()
+        return
 
 
 def kept_by_worker(key: Hashable, make: Callable):
-    """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages do not pile up."""
-    if key not in _KEPT:
+    """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages do not pile up.
+
+    It is kept until it was not asked for in IDLE_S seconds, so it is to be asked for at each batch. What a task holds stays its own.
+    """
+    with _LOCK:
+        watched = bool(_USED)
+        _USED["at"] = time.monotonic()
+        made = _KEPT.get(key)
+    if not watched:
+        threading.Thread(target=_let_go, args=(IDLE_S,), daemon=True).start()
+    if made is None:
         _KEPT.clear()
         give_back()
-        _KEPT[key] = make()
-    return _KEPT[key]
+        made = _KEPT[key] = make()
+        _USED["at"] = time.monotonic()
+    return made
 
 
 def bounded_sample(df: DataFrame, key: Column, group: Column, bound: int) -> DataFrame:
